@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, quality, tokens, urls
+from tidemark.llm import mixing, ngramjoin, quality, substring, tokens, urls
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_ngram_jaccard_join": ngramjoin.op5_ngram_jaccard_join,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_url_filters": urls.op7_url_filters,
+    "op9_substring_dedup": substring.op9_substring_dedup,
 }
 
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
+    "op5_ngram_jaccard_join": ngramjoin.OP5_SQL,
     "op7_url_filters": urls.OP7_SQL,
+    "op9_substring_dedup": substring.OP9_SQL,
 }
