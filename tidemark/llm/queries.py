@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, ngramjoin, quality, substring, tokens, urls
+from tidemark.llm import lmscore, mixing, ngramjoin, quality, substring, tokens, urls, warc
 
 QUERIES = {
+    "op1_context_tree_score": lmscore.op1_context_tree_score,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_warc": warc.op3_warc,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_ngram_jaccard_join": ngramjoin.op5_ngram_jaccard_join,
     "op6_token_counts": tokens.op6_token_counts,
@@ -15,6 +17,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_warc": warc.OP3_SQL,
     "op4_mix_sources": mixing.OP4_SQL,
     "op5_ngram_jaccard_join": ngramjoin.OP5_SQL,
     "op7_url_filters": urls.OP7_SQL,
