@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import lmscore, mixing, ngramjoin, quality, substring, tokens, urls, warc
+from tidemark.llm import decontam, licenses, lmscore, mixing, ngramjoin, quality, substring, tokens, urls, warc
 
 QUERIES = {
     "op1_context_tree_score": lmscore.op1_context_tree_score,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_ngram_jaccard_join": ngramjoin.op5_ngram_jaccard_join,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_url_filters": urls.op7_url_filters,
+    "op8_benchmark_leaks": decontam.op8_benchmark_leaks,
     "op9_substring_dedup": substring.op9_substring_dedup,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE = {
@@ -22,4 +24,5 @@ ORACLE = {
     "op5_ngram_jaccard_join": ngramjoin.OP5_SQL,
     "op7_url_filters": urls.OP7_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
 }
