@@ -76,6 +76,8 @@ def plain(column: pa.Array) -> pa.Array:
     """A string column without nulls, as large_string (a long text has no 2 GB limit)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    # Joined with nothing, so that the offsets start at 0: kernels that change texts misread those of a slice.
+    column = pa.concat_arrays([column, column.slice(0, 0)])
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
