@@ -1,0 +1 @@
+"""Ledger analytics on PySpark."""

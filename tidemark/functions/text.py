@@ -1,0 +1,63 @@
+"""Expressions over ledger rows: serialised form, severities, names, redaction, canonical JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: The hash before the first row, and payload keys that are never shown (lower case).
+GENESIS = "0" * 64
+SENSITIVE = ("national_id", "national_id_encrypted", "national_id_blind_index", "contact_info", "contact_info_encrypted", "password", "password_hash", "token", "secret", "ssn", "bank_account", "phone", "email")
+REDACTED = "[REDACTED]"
+
+
+def serialised(prefix: str = "") -> Column:
+    """A row's bytes before the previous hash: fields joined by |, null payloads as the word null."""
+    c = lambda x: F.col(prefix + x)
+    old_new = [F.coalesce(c(x), F.lit("null")) for x in ("old_value_text", "new_value_text")]
+    return F.concat_ws("|", c("sequence_id").cast("string"), c("actor_user_id").cast("string"), c("action"), c("table_name"), c("row_id").cast("string"), *old_new, c("created_at_text"))
+
+
+def entry_hash(previous: Column) -> Column:
+    return F.sha2(F.concat(serialised(), previous), 256)
+
+
+def severity(action: Column, table: Column) -> Column:
+    """First match wins: DELETE is CRITICAL, salary_history WARNING, all else INFO."""
+    return F.when(action == "DELETE", "CRITICAL").when(table == "salary_history", "WARNING").otherwise("INFO")
+
+
+def severity_label(x: Column) -> Column:
+    return F.when(x.isNull() | (x == "INFO"), "low").when(x == "WARNING", "medium").when(x == "CRITICAL", "critical").otherwise(F.lower(x))
+
+
+def actor_name(full_name: Column, email: Column, actor: Column) -> Column:
+    """Full name unless blank or Unknown, else email unless blank, else System or unresolved_user#id."""
+    name = F.nullif(F.nullif(F.trim(full_name), F.lit("")), F.lit("Unknown"))
+    return F.coalesce(name, F.nullif(F.trim(email), F.lit("")), F.when(actor.isNull(), "System").otherwise(F.concat(F.lit("unresolved_user#"), actor.cast("string"))))
+
+
+def payload(text: Column) -> Column:
+    """A flat JSON object as map<string,string>; null values keep their key."""
+    return F.from_json(text, "map<string,string>")
+
+
+def redacted(values: Column) -> Column:
+    """Values of sensitive keys replaced, whatever the case of the key."""
+    return F.transform_values(values, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE), REDACTED).otherwise(v))
+
+
+def masked_payload(values: Column, blind_index: Column) -> Column:
+    """What may be written of a payload: four secret keys out, two placeholders and the blind index in."""
+    gone = F.map_filter(values, lambda k, _: ~k.isin("national_id_encrypted", "contact_info_encrypted", "national_id", "contact_info", "national_id_blind_index"))
+    return F.map_concat(gone, F.create_map(F.lit("national_id"), F.lit(REDACTED), F.lit("contact_info"), F.lit(REDACTED), F.lit("national_id_blind_index"), blind_index))
+
+
+def sorted_json(values: Column) -> Column:
+    """A map as JSON with sorted keys."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))))
+
+
+def duration(seconds: Column) -> Column:
+    """s, min, hours or days, with fewer decimals for the larger units."""
+    return F.when(seconds < 60, F.format_string("%.2f s", seconds)).when(seconds < 3600, F.format_string("%.1f min", seconds / 60)).when(seconds < 86400, F.format_string("%.1f hours", seconds / 3600)).otherwise(F.format_string("%.1f days", seconds / 86400))
