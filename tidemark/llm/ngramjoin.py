@@ -3,8 +3,8 @@
 1. Shingles that one document alone has cannot be part of any overlap. Packed postings tell how many of a document's
    shingles others have too; documents below the threshold share are linked with nothing, and drop out exactly.
 2. Documents with equal sets stand for one another; one of each set goes on.
-3. What is left meets in buckets, one for each of the smallest shingle hashes of a set (prefix filter: two sets at the
-   threshold share one of them).
+3. What is left meets in buckets, one for each shingle of a set's prefix (two sets at the threshold share one of them).
+   Prefixes take the least frequent shingles first, so a passage that many sets share makes no large bucket.
 4. Each bucket's most shared set is compared with the others first. Links found so join components, and pairs within a
    component need no further look, so a group of near copies costs its size rather than its square.
 5. Pairs across components that share a bucket are searched with an R-tree over the sets' count vectors: shingles are
@@ -28,7 +28,11 @@ from tidemark.llm import postings as P
 from tidemark.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-GROUPS = 64
+GROUPS = 128
+#: A shingle that so many sets have goes to the end of the order, by frequency.
+FREQUENT = 8
+#: Largest count that a point's coordinate holds; a point that has it anywhere is never ruled out.
+FULL = 65535
 FANOUT = 16
 BLOCK = 1024
 STAR_ROUNDS = 2
@@ -156,8 +160,12 @@ def sized(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(_answer, _REPLY_SQL).groupBy("slice").applyInArrow(_gather, _SIZED_SQL)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """rep, n, the set's hashes, its count vector and its prefix, for the rows whose set has the key asked for."""
+_SETS_SQL = "rep long, n long, hashes binary, point binary, slice long"
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """rep, n, the set's hashes, its count vector and the number of its slice, for the rows whose set has the key asked for."""
+    number = 0
     for batch in C.slices(batches):
         for low in range(0, batch.num_rows, P.MOST_ROWS):
             part = batch.slice(low, P.MOST_ROWS)
@@ -166,14 +174,89 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterat
             asked = part.column("key").to_pylist()
             mine = [i for i, k in enumerate(keys) if k == asked[i]]
             edge = np.concatenate([[0], np.cumsum(sizes)])
-            out = {"rep": part.column("rep").take(pa.array(mine, pa.int64())), "n": pa.array(sizes[mine].astype(np.int64)), "hashes": [], "point": [], "prefix": []}
+            hashes, points = [], []
             for i in mine:
                 own = h[edge[i] : edge[i + 1]]
-                n = len(own)
-                out["hashes"].append(own.tobytes())
-                out["point"].append(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes())
-                out["prefix"].append(own[: n - -(-percent * n // 100) + 1].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([out["rep"], out["n"], pa.array(out["hashes"], pa.binary()), pa.array(out["point"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=["rep", "n", "hashes", "point", "prefix"])
+                hashes.append(own.tobytes())
+                points.append(np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
+            columns = [part.column("rep").take(pa.array(mine, pa.int64())), pa.array(sizes[mine].astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(points, pa.binary()), pa.array(np.full(len(mine), P.slice_number(number)))]
+            number += 1
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "hashes", "point", "slice"])
+
+
+_FREQ = {"shard": pa.int64(), "slice": pa.int64(), "hashes": pa.binary(), "counts": pa.binary()}
+_FREQ_SQL = "shard long, slice long, hashes binary, counts binary"
+
+
+def _freq_key(h: np.ndarray, shards: int) -> np.ndarray:
+    """The bits of a hash that its frequency is counted by: those of the shard and 32 more."""
+    return h >> np.uint64(32 - (shards.bit_length() - 1))
+
+
+def _send_sets(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """A message to each shard for each slice: its distinct keys and how many of the slice's sets have them."""
+    for batch in batches:
+        name = batch.column("slice").to_numpy()
+        for number in np.unique(name):
+            own = batch.column("hashes").filter(pa.array(name == number)).to_pylist()
+            h, counts = np.unique(np.frombuffer(b"".join(own), np.uint64), return_counts=True)
+            cut = P.segments(h, shards)
+            low32 = (_freq_key(h, shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            counts = np.minimum(counts, FULL).astype(np.uint16)
+            out: dict[str, list] = {k: [] for k in _FREQ}
+            for shard in np.flatnonzero(np.diff(cut)):
+                x, y = cut[shard], cut[shard + 1]
+                for k, v in (("shard", int(shard)), ("slice", int(number)), ("hashes", low32[x:y].tobytes()), ("counts", counts[x:y].tobytes())):
+                    out[k].append(v)
+            if out["shard"]:
+                yield P.rows(out, _FREQ)
+
+
+def _answer_sets(table: pa.Table) -> pa.Table:
+    """For each slice the keys that FREQUENT sets or more have, with a grade of the frequency."""
+    shard = np.uint64(table.column("shard")[0].as_py())
+    names, parts = table.column("slice").to_pylist(), [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+    h = np.concatenate(parts)
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()])
+    kinds, inverse = np.unique(h, return_inverse=True)
+    total = np.bincount(inverse, weights=counts)[inverse]
+    many = total >= FREQUENT
+    grade = np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
+    edge = np.cumsum([0] + [len(x) for x in parts])
+    out: dict[str, list] = {"slice": [], "hashes": [], "counts": []}
+    for i, name in enumerate(names):
+        own = slice(edge[i], edge[i + 1])
+        if many[own].any():
+            out["slice"].append(name)
+            out["hashes"].append((h[own][many[own]].astype(np.uint64) | (shard << np.uint64(32))).tobytes())
+            out["counts"].append(grade[own][many[own]].tobytes())
+    return pa.Table.from_pydict(out, schema=pa.schema([(k, _FREQ[k]) for k in ("slice", "hashes", "counts")]))
+
+
+def _prefixes(sets: pa.Table, frequent: pa.Table, shards: int, percent: int) -> pa.Table:
+    """rep, n and the prefix of each set of a slice: rare shingles by hash, then frequent ones by grade, then hash."""
+    keys = np.frombuffer(b"".join(frequent.column("hashes").to_pylist()), np.uint64)
+    grades = np.frombuffer(b"".join(frequent.column("counts").to_pylist()), np.uint8)
+    order = np.argsort(keys)
+    keys, grades = keys[order], grades[order]
+    out = []
+    for blob, n in zip(sets.column("hashes").to_pylist(), sets.column("n").to_pylist()):
+        h = np.frombuffer(blob, np.uint64)
+        if len(keys):
+            key = _freq_key(h, shards)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            h = h[np.argsort(np.where(keys[at] == key, grades[at], 0), kind="stable")]
+        out.append(h[: n - -(-percent * n // 100) + 1].view(np.int64))
+    return pa.table({"rep": sets.column("rep"), "n": sets.column("n"), "prefix": pa.array(out, pa.list_(pa.int64()))})
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, prefix for each set: what it must share one of with any set that reaches the threshold."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    shards = P.n_shards(8 * total)
+    sent = sets.select("slice", "hashes").mapInArrow(lambda b: _send_sets(b, shards), _FREQ_SQL)
+    frequent = sent.groupBy("shard").applyInArrow(_answer_sets, "slice long, hashes binary, counts binary")
+    return sets.select("rep", "n", "hashes", "slice").groupBy("slice").cogroup(frequent.groupBy("slice")).applyInArrow(lambda x, y: _prefixes(x, y, shards, percent), "rep long, n long, prefix array<long>")
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -207,8 +290,8 @@ class CountTree:
             keep = np.zeros(len(q), bool)
             for x in range(0, len(q), 1 << 14):
                 y = slice(x, x + (1 << 14))
-                bound = np.minimum(points[q[y]], tops[node[y]]).sum(axis=1)
-                keep[y] = bound >= needed(sizes[q[y]], low[node[y]], percent)
+                least = np.minimum(points[q[y]], tops[node[y]])
+                keep[y] = (least.sum(axis=1, dtype=np.int64) >= needed(sizes[q[y]], low[node[y]], percent)) | (least == FULL).any(axis=1)
             q, node = q[keep], node[keep]
             if depth:
                 width = len(self.levels[depth - 1][0])
@@ -224,7 +307,7 @@ def _search(table: pa.Table, percent: int) -> pa.Table:
     pair = table.column("pair").to_numpy()
     side = table.column("side").to_numpy()
     rep, comp, size = (table.column(k).to_numpy() for k in ("rep", "component", "n"))
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
     order = np.lexsort((pair, token))
     edge = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(token[order]) != 0) | (np.diff(pair[order]) != 0)])), len(order))
     a, b = [], []
@@ -261,10 +344,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, width: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between rows (rep, key, n) that connect whatever the full relation connects."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("text")).join(reps.select("rep", "key"), "rep").select("rep", "text", "key")
-    sets = C.settle(rows.mapInArrow(lambda b: _sets(b, width, percent), "rep long, n long, hashes binary, point binary, prefix array<long>").dropDuplicates(["rep", "n"]), "join-sets")
-    token = sets.select("rep", "n", F.explode("prefix").alias("token"))
+    """Links (a, b) between rows (rep, key, n, often: whether rows of that doc_id repeat) that connect whatever the full relation connects."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").alias("text")).join(reps.select("rep", "key", "often"), "rep").select("rep", "text", "key", "often")
+    once = rows.where("NOT often").mapInArrow(lambda b: _sets(b, width), _SETS_SQL)
+    # Only rows that repeat need their sets moved to find the repeats.
+    often = rows.where("often").mapInArrow(lambda b: _sets(b, width), _SETS_SQL).dropDuplicates(["rep", "hashes"])
+    sets = C.settle(once.unionByName(often), "join-sets")
+    token = C.settle(prefixes(sets, percent), "join-prefixes").select("rep", "n", F.explode("prefix").alias("token"))
     many = token.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
     token = C.settle(token.join(many, "token"), "join-tokens")
     grade = token.groupBy("rep").agg(F.sum("width").alias("grade"))
@@ -308,7 +394,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     """
     all_rows = C.settle(sized(docs, width), "join-sized")
     keys = all_rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
-    keys = C.settle(keys, "join-keys")
+    often = all_rows.where("n > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("doc_id").alias("rep"), F.lit(True).alias("often"))
+    keys = C.settle(keys.join(often, "rep", "left").withColumn("often", F.coalesce("often", F.lit(False))), "join-keys")
     found = links(docs, keys.where(f"100 * shared >= {percent} * n"), width, percent)
     same_id = all_rows.where("n > 0").join(keys.select("key", "rep"), "key").where("doc_id <> rep")
     # A doc_id with several texts holds their sets together.
