@@ -15,8 +15,9 @@ from tidemark.operators import checkpoints as K
 
 
 def source(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a path as a stream, with the schema that they have."""
+    """Parquet files of a path as a stream, with the schema that they have. The path may name one file."""
     schema = spark.read.parquet(path).schema
+    path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, for a file that is no folder
     stream = spark.readStream.schema(schema)
     return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(path)
 
