@@ -12,9 +12,9 @@ from tidemark.operators.detect import micros
 
 
 def budget(requests: DataFrame, key: str, at: str, limit: int, seconds: int = 60) -> DataFrame:
-    """By key and window: requests, consumed (saturates at limit + 1), refused."""
-    window = F.floor(micros(F.col(at)) / (seconds * 1_000_000)).alias("window")
-    rows = requests.groupBy(key, window).agg(F.count(F.lit(1)).alias("requests"))
+    """By key and slot of time: requests, consumed (saturates at limit + 1), refused."""
+    slot = F.floor(micros(F.col(at)) / (seconds * 1_000_000)).alias("slot")
+    rows = requests.groupBy(key, slot).agg(F.count(F.lit(1)).alias("requests"))
     return rows.withColumns({"consumed": F.least("requests", F.lit(limit + 1)), "refused": F.greatest(F.col("requests") - limit, F.lit(0))})
 
 

@@ -478,7 +478,7 @@ def witness_quorum(spark, sf_dir):
 # Limits, secrets and streams.
 
 
-@query("select user_id, epoch_us(ts) // 3600000000 as window, count(*) as requests, least(count(*), 4) as consumed, greatest(count(*) - 3, 0) as refused from events group by 1, 2")
+@query("select user_id, epoch_us(ts) // 3600000000 as slot, count(*) as requests, least(count(*), 4) as consumed, greatest(count(*) - 3, 0) as refused from events group by 1, 2")
 def request_budget_fixed(spark, sf_dir):
     return limits.budget(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "ts", 3, 3600)
 
