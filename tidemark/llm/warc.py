@@ -111,16 +111,16 @@ def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     by page, digests without their payload, so a payload that many pages share fills no task.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    keys = rows.select("page_id", "digest").distinct()
+    # A null page_id is a key of its own here, so that join and window agree on how rows are dealt and payloads move once.
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    keys = rows.select("key", "digest").distinct()
     first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    marked = keys.join(first, "digest")
+    both = rows.join(keys.join(first, "digest"), ["key", "digest"])
     # Of repeated rows of the first page, one is the response.
-    turn = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
-    both = rows.withColumn("turn", turn).alias("r").join(marked.alias("m"), F.col("r.page_id").eqNullSafe(F.col("m.page_id")) & (F.col("r.digest") == F.col("m.digest")))
+    both = both.withColumn("turn", F.row_number().over(W.partitionBy("key", "digest").orderBy("url")))
     size = F.octet_length("payload").cast("long")
-    again = (size >= least) & F.col("first").isNotNull() & ((F.col("turn") > 1) | ~F.col("r.page_id").eqNullSafe(F.col("first")))
-    return both.select(F.col("r.page_id").alias("page_id"), "url", F.when(~again, F.col("payload")).alias("payload"), size.alias("payload_bytes"), F.col("r.digest").alias("digest"), F.when(again, F.col("first")).alias("refers_to"))
+    again = (size >= least) & F.col("first").isNotNull() & ((F.col("turn") > 1) | ~F.col("page_id").eqNullSafe(F.col("first")))
+    return both.select("page_id", "url", F.when(~again, F.col("payload")).alias("payload"), size.alias("payload_bytes"), "digest", F.when(again, F.col("first")).alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str, least: int = 0, level: int = 6) -> DataFrame:
