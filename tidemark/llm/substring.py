@@ -1,11 +1,10 @@
-"""Removal of word sequences that an earlier document has already, by level-wise doubling.
+"""Removal of word sequences that an earlier document has already.
 
-Level 1 looks at every window of `width` words: its hash goes to a shard, which learns the smallest doc_id that has the
-window. Windows that repeat are the only ones extended to twice the length: a window of 2w words can repeat only where
-both its halves do, and its hash is made of theirs, without the text. This goes on until no candidates survive.
+Every window of `width` words is looked at: its hash goes to a shard, which learns the smallest doc_id that has it. The
+words to remove follow from these windows, as every longer repeat is covered by repeated windows of `width` words.
 
-The words to remove follow from level 1, as every longer repeat is covered by repeated windows of `width` words. The
-levels above tell how long the repeats are.
+This is the first level of level-wise doubling. The levels above, which extend repeats to twice the length until none is
+left, are not built yet.
 """
 
 from __future__ import annotations
