@@ -247,21 +247,52 @@ def test_decontamination(spark):
     assert decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+def brute_repeats(rows, width=13):
+    """(doc_id, kept text, words, removed, longest repeat) of each row, by a table of all windows of each length."""
+    split = [(d, words(t)) for d, t in rows]
+    first, length = {}, width
+    while length <= max(len(ws) for _, ws in split):
+        for d, ws in split:
+            for i in range(len(ws) - length + 1):
+                if d is not None:
+                    key = hash(tuple(ws[i : i + length]))
+                    first[key] = min(d, first.get(key, d))
+        length *= 2
+    later = lambda d, ws, i, n: d is not None and first[hash(tuple(ws[i : i + n]))] < d
+    longest, out = Counter(), []
+    for d, ws in split:
+        n = width
+        while any(later(d, ws, i, n) for i in range(len(ws) - n + 1)):
+            longest[d] = max(longest[d], n)
+            n *= 2
+    for d, ws in split:
+        gone = {i + j for i in range(len(ws) - width + 1) if later(d, ws, i, width) for j in range(width)}
+        out.append((d, " ".join(w for i, w in enumerate(ws) if i not in gone), len(ws), len(gone), longest[d] if d is not None else 0))
+    return Counter(out)
+
+
 def test_substring(spark, docs):
-    got = Counter((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"]) for r in substring.dedup(docs).collect())
-    first = {}
-    for d, t, _ in TEXTS:
-        ws = words(t)
-        for i in range(len(ws) - 12):
-            if d is not None:
-                key = tuple(ws[i : i + 13])
-                first[key] = min(d, first.get(key, d))
-    want = Counter()
-    for d, t, _ in TEXTS:
-        ws = words(t)
-        gone = {i + j for i in range(len(ws) - 12) if d is not None and first[tuple(ws[i : i + 13])] < d for j in range(13)}
-        want[d, " ".join(w for i, w in enumerate(ws) if i not in gone), len(ws), len(gone)] += 1
-    assert got == want and substring.dedup(empty(spark)).count() == 0
+    got = Counter((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"], r["longest_repeat"]) for r in substring.dedup(docs).collect())
+    assert got == brute_repeats([(d, t) for d, t, _ in TEXTS]) and substring.dedup(empty(spark)).count() == 0
+
+
+def test_substring_levels(spark):
+    """Repeats of every length around the doublings, from several documents, in one slice and in many."""
+    rng = random.Random(9)
+    pool = _prose(rng, 700).split()
+    rows = [(0, " ".join(pool[:300])), (1, " ".join(pool[280:]))]
+    for d, n in enumerate([12, 13, 14, 25, 26, 27, 51, 52, 53, 104, 207, 208, 400, 700], 2):
+        at = rng.randrange(700 - n + 1)
+        rows.append((d, f"{_prose(rng, 9)} {' '.join(pool[at : at + n])} {_prose(rng, 5)}"))
+    # Both halves are repeats, of different documents: the whole is none.
+    rows += [(40, _prose(rng, 13) + " x"), (41, _prose(rng, 13) + " y")]
+    rows.append((42, f"{rows[-2][1][:-2]} {rows[-1][1][:-2]}"))
+    rows += [(43, " ".join(["again"] * 60)), (44, " ".join(["again"] * 40)), (44, None), (None, rows[0][1])]
+    want = brute_repeats(rows)
+    assert {x[4] for x in want} >= {0, 13, 26, 52, 104, 208}
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        assert Counter((r["doc_id"], r["kept_text"], r["n_words"], r["n_removed"], r["longest_repeat"]) for r in substring.dedup(df).collect()) == want
 
 
 def test_licenses(spark, docs):

@@ -1,14 +1,17 @@
-"""Removal of word sequences that an earlier document has already.
+"""Removal of word sequences that an earlier document has already, and how long these repeats are.
 
-Every window of `width` words is looked at: its hash goes to a shard, which learns the smallest doc_id that has it. The
-words to remove follow from these windows, as every longer repeat is covered by repeated windows of `width` words.
+Level-wise doubling: every window of `width` words is looked at, its hash goes to a shard, and the shard tells who has it
+besides. Windows of twice the length are looked at only where both halves are repeated, and so on, until no candidates
+survive. A level carries the places and hashes of its candidates; the hash of a doubled window is made of its halves'.
 
-This is the first level of level-wise doubling. The levels above, which extend repeats to twice the length until none is
-left, are not built yet.
+The words to remove follow from the windows of the first level, as every longer repeat is covered by them; the levels
+above tell how long the longest repeat of each document is. Each level is written to the shared folder, so that a lost
+executor costs one level at most.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +23,15 @@ from tidemark.llm import common as C
 from tidemark.llm import postings as P
 
 WIDTH = 13
+#: What a message is: a question to a shard, or what the slice knows by itself: a repeat, or the first of one.
+_ASK, _LATER, _FIRST = 0, 1, 2
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-_SENT = {"shard": pa.int64(), "slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "local": pa.bool_()}
-_SENT_SQL = "shard long, slice long, docs binary, at binary, hashes binary, local boolean"
-_REPLY = {"slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary()}
-_REPLY_SQL = "slice long, docs binary, at binary, hashes binary"
+_SENT = {"to": pa.int64(), "shard": pa.int64(), "slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "role": pa.int8()}
+_SENT_SQL = "to long, shard long, slice long, docs binary, at binary, hashes binary, role byte"
+_REPLY = {"slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "later": pa.bool_()}
+_REPLY_SQL = "slice long, docs binary, at binary, hashes binary, later boolean"
+_STATE_SQL = "doc_id long, later boolean, at binary, hashes binary"
 
 
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,96 +42,209 @@ def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return h[at], C.owners(off)[at], at, off
 
 
-def _send(batches: Iterator[pa.RecordBatch], width: int, shards: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], width: int, shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """Messages of whole texts: their windows of the first level."""
     number = 0
-    for batch in C.slices(batches):
+    for ids, part in _sorted_slices(batches, "text"):
+        h, owner, _, _ = windows(part.column("text"), width)
+        yield from pack(h, owner, ids, P.slice_number(number), shards, tasks)
+        number += 1
+
+
+def _send_state(batches: Iterator[pa.RecordBatch], shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """Messages of a higher level: its candidates."""
+    number = 0
+    for ids, part in _sorted_slices(batches, "hashes"):
+        each = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
+        yield from pack(np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each]), ids, P.slice_number(number), shards, tasks)
+        number += 1
+
+
+def _sorted_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Slices by doc_id, and these."""
+    for batch in C.slices(batches, column):
         for low in range(0, batch.num_rows, P.MOST_ROWS):
             part = batch.slice(low, P.MOST_ROWS)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             by_id = np.argsort(ids, kind="stable")
-            ids = ids[by_id]
-            h, owner, _, _ = windows(part.column("text").take(pa.array(by_id)), width)
-            yield from pack(h, owner, ids, P.slice_number(number), shards)
-            number += 1
+            yield ids[by_id], part.take(pa.array(by_id))
 
 
-def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """A slice's message to each shard: each distinct hash with its first document; and, marked local, the pairs of later
-    documents of the slice, which are repeats whatever the other slices have. ids rise with the owner."""
+def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
+    """A slice's messages: to each shard each distinct hash with its first document; and what is a repeat whatever the
+    other slices have. The latter is dealt by slice, not by hash, so a frequent window fills no task. A message names
+    only the documents it speaks of. ids rise with the owner. Each of `tasks` answers for a range of shards."""
     order = np.argsort(h)
     h, owner = h[order], owner[order]
     start = P.runs(h)
     length = np.diff(np.append(start, len(h)))
     first = np.minimum.reduceat(owner, start) if len(start) else np.zeros(0, np.int64)
-    docs = P.pack_ids(ids)
-    one, part = h[start], first.astype(np.uint16)
     again = ids[owner] > np.repeat(ids[first], length) if len(h) else np.zeros(0, bool)
+    both = np.logical_or.reduceat(again, start) if len(start) else again
     out: dict[str, list] = {k: [] for k in _SENT}
-    for local, (hashes, at) in ((False, (one, part)), (True, (h[again], owner[again].astype(np.uint16)))):
+    for role, hashes, who in ((_ASK, h[start], first), (_LATER, h[again], owner[again]), (_FIRST, h[start[both]], first[both])):
         cut = P.segments(hashes, shards)
         for shard in np.flatnonzero(np.diff(cut)):
             x, y = cut[shard], cut[shard + 1]
-            for k, v in (("shard", int(shard)), ("slice", number), ("docs", docs), ("at", at[x:y].tobytes()), ("hashes", P.pack_hashes(hashes[x:y])), ("local", local)):
+            named, at = np.unique(who[x:y], return_inverse=True)
+            to = shard * tasks // shards if role == _ASK else (number * 31 + (number >> 32) * 17 + shard) % tasks
+            for k, v in (("to", int(to)), ("shard", int(shard)), ("slice", number), ("docs", P.pack_ids(ids[named])), ("at", at.astype(np.uint16).tobytes()), ("hashes", P.pack_hashes(hashes[x:y])), ("role", role)):
                 out[k].append(v)
-    if out["shard"]:
+    if out["to"]:
         yield P.rows(out, _SENT)
 
 
 def _answer(table: pa.Table, shards: int) -> pa.Table:
-    """For each slice, the pairs whose window starts in a document of smaller id."""
+    """For each slice, the windows that start in a document of smaller id too (later), and those of the smallest."""
     out: dict[str, list] = {k: [] for k in _REPLY}
+    number, docs, role = (table.column(x).to_pylist() for x in ("slice", "docs", "role"))
+    at = [np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()]
+    hashes = [P.unpack_hashes(x, shard, shards) for x, shard in zip(table.column("hashes").to_pylist(), table.column("shard").to_pylist())]
 
-    def reply(i: int, at: bytes, hashes: bytes) -> None:
-        for k, v in (("slice", number[i]), ("docs", docs[i]), ("at", at), ("hashes", hashes)):
-            out[k].append(v)
+    def reply(i: int, mine: np.ndarray, later: bool) -> None:
+        if mine.any():
+            for k, v in (("slice", number[i]), ("docs", docs[i]), ("at", at[i][mine].tobytes()), ("hashes", hashes[i][mine].tobytes()), ("later", later)):
+                out[k].append(v)
 
-    shard = table.column("shard")[0].as_py()
-    number, docs = table.column("slice").to_pylist(), table.column("docs").to_pylist()
-    at, packed, local = table.column("at").to_pylist(), table.column("hashes").to_pylist(), table.column("local").to_pylist()
-    sent = [i for i, x in enumerate(local) if not x]
-    for i in (i for i, x in enumerate(local) if x):
-        reply(i, at[i], P.unpack_hashes(packed[i], shard, shards).tobytes())
+    for i, x in enumerate(role):
+        if x != _ASK:
+            reply(i, np.ones(len(at[i]), bool), x == _LATER)
+    sent = [i for i, x in enumerate(role) if x == _ASK]
     if len(sent) > 1:
-        parts = [np.frombuffer(at[i], np.uint16) for i in sent]
-        h = np.concatenate([P.unpack_hashes(packed[i], shard, shards) for i in sent])
-        ids = np.concatenate([P.unpack_ids(docs[i])[p] for i, p in zip(sent, parts)])
-        owner = np.repeat(np.arange(len(sent)), [len(p) for p in parts])
+        h = np.concatenate([hashes[i] for i in sent])
+        ids = np.concatenate([P.unpack_ids(docs[i])[at[i]] for i in sent])
         order = np.argsort(h)
         start = P.runs(h[order])
-        least = np.minimum.reduceat(ids[order], start)
-        later = np.zeros(len(h), bool)
-        later[order] = ids[order] > np.repeat(least, np.diff(np.append(start, len(h))))
-        cut = np.searchsorted(owner, np.arange(len(sent) + 1))
-        for j, i in enumerate(sent):
-            mine = later[cut[j] : cut[j + 1]]
-            if mine.any():
-                reply(i, parts[j][mine].tobytes(), h[cut[j] : cut[j + 1]][mine].tobytes())
+        length = np.diff(np.append(start, len(h)))
+        least, most = np.minimum.reduceat(ids[order], start), np.maximum.reduceat(ids[order], start)
+        later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        later[order] = ids[order] > np.repeat(least, length)
+        shared[order] = np.repeat(most > least, length)
+        edge = np.cumsum([0, *(len(at[i]) for i in sent)])
+        for i, x, y in zip(sent, edge[:-1], edge[1:]):
+            reply(i, later[x:y], True)
+            reply(i, shared[x:y] & ~later[x:y], False)
     return pa.Table.from_pydict(out, schema=pa.schema(list(_REPLY.items())))
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """A slice's replies, by document: the hashes of its repeated windows."""
-    docs = P.unpack_ids(table.column("docs")[0].as_py())
-    at = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()])
+    """A slice's replies, by document and kind: the hashes of its repeated windows."""
+    at = [np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()]
+    ids = np.concatenate([P.unpack_ids(d)[x] for d, x in zip(table.column("docs").to_pylist(), at)])
+    later = np.repeat(np.array(table.column("later").to_pylist(), bool), [len(x) for x in at])
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
-    order = np.argsort(at, kind="stable")
-    at, h = at[order], h[order]
-    start = P.runs(at)
-    cut = np.append(start, len(at))
-    return pa.table({"doc_id": pa.array(docs[at[start]], pa.int64()), "hashes": pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())})
+    order = np.lexsort((later, ids))
+    ids, later, h = ids[order], later[order], h[order]
+    start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (later[1:] != later[:-1])]))
+    blobs = [h[x:y].tobytes() for x, y in zip(start, np.append(start[1:], len(h)))]
+    kind = later[start]
+    one = pa.array([b if k else None for b, k in zip(blobs, kind)], pa.binary())
+    two = pa.array([None if k else b for b, k in zip(blobs, kind)], pa.binary())
+    return pa.table({"doc_id": pa.array(ids[start], pa.int64()), "hashes": one, "firsts": two})
+
+
+def _ask(sent: DataFrame, shards: int) -> DataFrame:
+    """doc_id, hashes and firsts (arrays of binary, 8 bytes a window) of all documents that share a window."""
+    replies = sent.groupBy("to").applyInArrow(lambda table: _answer(table, shards), _REPLY_SQL)
+    found = replies.groupBy("slice").applyInArrow(_gather, "doc_id long, hashes binary, firsts binary")
+    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("firsts").alias("firsts"))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, hashes (array of binary, 8 bytes a window): the windows that start in a document of smaller doc_id too.
+    """doc_id, hashes, firsts (arrays of binary, 8 bytes a window): the windows that start in a document of smaller
+    doc_id too; and those that start in one of larger doc_id only.
 
     One row for each doc_id that has any. A null doc_id is compared with nothing.
     """
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shards = P.n_shards(C.text_bytes(rows, "text"))
-    sent = rows.mapInArrow(lambda batches: _send(batches, width, shards), _SENT_SQL)
-    replies = sent.groupBy("shard").applyInArrow(lambda table: _answer(table, shards), _REPLY_SQL)
-    found = replies.groupBy("slice").applyInArrow(_gather, "doc_id long, hashes binary")
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    rows = _rows(docs)
+    shards, tasks = _dealt(C.text_bytes(rows, "text"))
+    return _ask(rows.mapInArrow(lambda batches: _send(batches, width, shards, tasks), _SENT_SQL), shards)
+
+
+def _dealt(n_bytes: int) -> tuple[int, int]:
+    """Shards of the hashes, and the tasks that answer for them: both grow with the bytes asked about."""
+    return P.n_shards(n_bytes), C.shards_for(n_bytes)
+
+
+def doubled(at: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of twice the width whose halves are both among the given; at rises."""
+    other = np.searchsorted(at, at + width)
+    has = other < len(at)
+    has[has] = at[other[has]] == at[has] + width
+    return at[has], C.spread(h[has] * _ODD + h[other[has]])
+
+
+def _known(*replies: list | None) -> np.ndarray:
+    return np.frombuffer(b"".join(x for reply in replies for x in reply or ()), np.uint64)
+
+
+def _state(rows: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids, later, at, h = zip(*rows) if rows else ((), (), (), ())
+    places = [zlib.compress(np.diff(x.astype(np.int64), prepend=np.int64(0)).tobytes(), 1) for x in at]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(later, pa.bool_()), pa.array(places, pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "later", "at", "hashes"])
+
+
+def _second_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of twice the width, from texts and the first level's replies."""
+    for batch in C.slices(batches):
+        ids = batch.column("doc_id").to_pylist()
+        replies = list(zip(batch.column("hashes").to_pylist(), batch.column("firsts").to_pylist()))
+        h, owner, at, off = windows(C.plain(batch.column("text")), width)
+        edge = np.searchsorted(owner, np.arange(len(ids) + 1))
+        out = []
+        for i, reply in enumerate(replies):
+            mine = slice(edge[i], edge[i + 1])
+            hit = np.isin(h[mine], _known(*reply))
+            places, hashes = doubled(at[mine][hit] - off[i], h[mine][hit], width)
+            if len(places):
+                out.append((ids[i], False, places, hashes))
+        yield _state(out)
+
+
+def _next_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Whether a candidate of this width is a repeat, and the candidates of twice the width."""
+    for batch in batches:
+        out = []
+        for doc, at, h, later, firsts in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "at", "hashes", "laters", "firsts"))):
+            at, h = np.cumsum(np.frombuffer(zlib.decompress(at), np.int64)), np.frombuffer(h, np.uint64)
+            hit = np.isin(h, _known(later, firsts))
+            is_later = bool(np.isin(h, _known(later)).any())
+            out.append((doc, is_later, *doubled(at[hit], h[hit], width)))
+        yield _state(out)
+
+
+def longest(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, longest_repeat: the largest length, of width and its doublings, at which a window of the document also
+    starts in a document of smaller doc_id. found: what `repeats` gives. Documents without repeats have no row.
+
+    The number of levels is the logarithm of the longest repeat.
+    """
+    levels = [found.where(F.size("hashes") > 0).select("doc_id", F.lit(width).cast("long").alias("longest_repeat"))]
+    state = C.settle(_rows(docs).join(found, "doc_id").mapInArrow(lambda batches: _second_level(batches, width), _STATE_SQL), f"repeats-{2 * width}")
+    length = 2 * width
+    while n_bytes := C.text_bytes(state, "hashes"):
+        C.free_shuffles(docs.sparkSession)
+        state = C.settle(_raised(state, length, n_bytes), f"repeats-{2 * length}")
+        levels.append(state.where("later").select("doc_id", F.lit(length).cast("long").alias("longest_repeat")))
+        state = state.where(F.octet_length("hashes") > 0)
+        length *= 2
+    C.free_shuffles(docs.sparkSession)
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat"))
+
+
+def _raised(state: DataFrame, length: int, n_bytes: int) -> DataFrame:
+    """The candidates of one length asked for, and what survives to be candidates of the next."""
+    shards, tasks = _dealt(n_bytes)
+    found = _ask(state.mapInArrow(lambda batches: _send_state(batches, shards, tasks), _SENT_SQL), shards)
+    both = state.select("doc_id", "at", "hashes").join(found.withColumnRenamed("hashes", "laters"), "doc_id")
+    return both.mapInArrow(lambda batches: _next_level(batches, length), _STATE_SQL)
 
 
 def _covered(h: np.ndarray, owner: np.ndarray, at: np.ndarray, off: np.ndarray, replies: list, width: int) -> np.ndarray:
@@ -141,18 +261,21 @@ def _covered(h: np.ndarray, owner: np.ndarray, at: np.ndarray, off: np.ndarray,
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row for each row of docs: the columns `keep`, kept_text, n_words, n_removed.
+    """One row for each row of docs: the columns `keep`, kept_text, n_words, n_removed, longest_repeat.
 
     Removed are the words covered by a window of `width` consecutive words whose word sequence also starts in a document
     of smaller doc_id; windows are judged on the input. What is left is joined by single spaces; so a text without
     removals comes back with its white space normalised. A null text has no words and gives an empty one. Rows of equal
     doc_id never remove each other's words. A null doc_id removes nothing and loses nothing. A text shorter than the
-    window stays whole. An empty table gives an empty result; other columns may have any name.
+    window stays whole. longest_repeat is the length that `longest` gives, or 0. An empty table gives an empty result; other columns may have any name.
     """
-    found = repeats(docs, width)
+    found = C.settle(repeats(docs, width), f"repeats-{width}")
+    C.free_shuffles(docs.sparkSession)
+    lengths = longest(docs, found, width)
+    found = found.select("doc_id", "hashes").join(lengths, "doc_id")
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    both = rows.join(found.withColumnRenamed("doc_id", "id"), "id", "left").select(*[f"k{i}" for i in range(len(keep))], "text", "hashes")
-    schema = ", ".join([*(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "kept_text string, n_words long, n_removed long"])
+    both = rows.join(found.withColumnRenamed("doc_id", "id"), "id", "left").select(*[f"k{i}" for i in range(len(keep))], "text", "hashes", F.coalesce("longest_repeat", F.lit(0)).cast("long").alias("longest"))
+    schema = ", ".join([*(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "kept_text string, n_words long, n_removed long, longest_repeat long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
@@ -170,10 +293,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id"
                     removed[i] = int(gone.sum())
                     split[i] = [w for w, x in zip(split[i], gone) if not x]
             kept = pa.array([b" ".join(x).decode() for x in split], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], kept, pa.array(n_words), pa.array(removed)], names=[*(f"k{i}" for i in range(len(keep))), "kept_text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], kept, pa.array(n_words), pa.array(removed), batch.column("longest")], names=[*(f"k{i}" for i in range(len(keep))), "kept_text", "n_words", "n_removed", "longest_repeat"])
 
     out = both.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "kept_text", "n_words", "n_removed")
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "kept_text", "n_words", "n_removed", "longest_repeat")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
