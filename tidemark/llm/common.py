@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -47,9 +48,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of settled steps now: its cleaner acts when the driver collects garbage,
-    which a driver with little to do may not do for half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    which a driver with little to do may not do for half an hour. The second round takes what the first let go of."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
 
 
 def ascii_lower(col: Column) -> Column:

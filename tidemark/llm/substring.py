@@ -70,6 +70,15 @@ def _sorted_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[t
             yield ids[by_id], part.take(pa.array(by_id))
 
 
+def _pack_at(at: np.ndarray) -> bytes:
+    """Rising places: their steps are small, so they take far less than two bytes each."""
+    return zlib.compress(np.diff(at.astype(np.uint16), prepend=np.uint16(0)).tobytes(), 1)
+
+
+def _unpack_at(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint16), dtype=np.int64)
+
+
 def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
     """A slice's messages: to each shard each distinct hash with its first document; and what is a repeat whatever the
     other slices have. The latter is dealt by slice, not by hash, so a frequent window fills no task. A message names
@@ -83,12 +92,18 @@ def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, shards:
     both = np.logical_or.reduceat(again, start) if len(start) else again
     out: dict[str, list] = {k: [] for k in _SENT}
     for role, hashes, who in ((_ASK, h[start], first), (_LATER, h[again], owner[again]), (_FIRST, h[start[both]], first[both])):
+        who = who.astype(np.uint16)
         cut = P.segments(hashes, shards)
         for shard in np.flatnonzero(np.diff(cut)):
             x, y = cut[shard], cut[shard + 1]
-            named, at = np.unique(who[x:y], return_inverse=True)
+            mine, has = who[x:y], hashes[x:y]
+            by_owner = np.argsort(mine, kind="stable")
+            mine, has = mine[by_owner], has[by_owner]
+            new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (has[1:] != has[:-1])])
+            mine, has = mine[new], has[new]
+            named, at = np.unique(mine, return_inverse=True)
             to = shard * tasks // shards if role == _ASK else (number * 31 + (number >> 32) * 17 + shard) % tasks
-            for k, v in (("to", int(to)), ("shard", int(shard)), ("slice", number), ("docs", P.pack_ids(ids[named])), ("at", at.astype(np.uint16).tobytes()), ("hashes", P.pack_hashes(hashes[x:y])), ("role", role)):
+            for k, v in (("to", int(to)), ("shard", int(shard)), ("slice", number), ("docs", P.pack_ids(ids[named])), ("at", _pack_at(at)), ("hashes", P.pack_hashes(has)), ("role", role)):
                 out[k].append(v)
     if out["to"]:
         yield P.rows(out, _SENT)
@@ -98,12 +113,12 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
     """For each slice, the windows that start in a document of smaller id too (later), and those of the smallest."""
     out: dict[str, list] = {k: [] for k in _REPLY}
     number, docs, role = (table.column(x).to_pylist() for x in ("slice", "docs", "role"))
-    at = [np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()]
+    at = [_unpack_at(x) for x in table.column("at").to_pylist()]
     hashes = [P.unpack_hashes(x, shard, shards) for x, shard in zip(table.column("hashes").to_pylist(), table.column("shard").to_pylist())]
 
     def reply(i: int, mine: np.ndarray, later: bool) -> None:
         if mine.any():
-            for k, v in (("slice", number[i]), ("docs", docs[i]), ("at", at[i][mine].tobytes()), ("hashes", hashes[i][mine].tobytes()), ("later", later)):
+            for k, v in (("slice", number[i]), ("docs", docs[i]), ("at", _pack_at(at[i][mine])), ("hashes", hashes[i][mine].tobytes()), ("later", later)):
                 out[k].append(v)
 
     for i, x in enumerate(role):
@@ -129,7 +144,7 @@ def _answer(table: pa.Table, shards: int) -> pa.Table:
 
 def _gather(table: pa.Table) -> pa.Table:
     """A slice's replies, by document and kind: the hashes of its repeated windows."""
-    at = [np.frombuffer(x, np.uint16) for x in table.column("at").to_pylist()]
+    at = [_unpack_at(x) for x in table.column("at").to_pylist()]
     ids = np.concatenate([P.unpack_ids(d)[x] for d, x in zip(table.column("docs").to_pylist(), at)])
     later = np.repeat(np.array(table.column("later").to_pylist(), bool), [len(x) for x in at])
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
