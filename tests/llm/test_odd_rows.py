@@ -214,6 +214,40 @@ def test_token_counts(spark, docs):
     assert tokens.token_counts(empty(spark), path).count() == 0
 
 
+def test_fit_chars_is_the_longest_prefix(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    n = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(8)
+    bits = ["<|endoftext|>", "<|endo", "  ", "\n", "\n\n", "\t", " ", "\u3000", "\xa0", "\x1c", "'re", "'l", "don't", "word", "Слово", "漢字", "aaaaaaa", "X9", "?'", "é", "🙂", "        ", "    x", "----"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    counts = [[n(t[:k]) for k in range(len(t) + 1)] for t in texts]
+    for t, want in zip(texts, counts):
+        p = tokens.PrefixCounts(t, tokens.Counter(path))
+        assert [p.tokens(k) for k in range(len(t) + 1)] == want
+    got = tokens.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, limit=5).collect()
+    assert {r["doc_id"]: r["fit_chars"] for r in got} == {i: max(k for k, x in enumerate(want) if x <= 5) for i, want in enumerate(counts)}
+
+
+def test_prefixes_of_a_long_piece_are_not_encoded(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)) + "\n" + "\n".join(f"word{i}" for i in range(5_000))
+    count = tokens.Counter(path)
+    encode, asked = count.encode, []
+    count.encode = lambda texts: asked.extend(texts) or encode(texts)
+    import pyarrow as pa
+
+    total, fit = tokens._batch(pa.array([text], pa.large_string()), count, True, 512)
+    assert sum(map(len, asked)) <= 3 * len(text)
+    assert encode([text]) == [total[0]] and encode([text[: fit[0]]])[0] <= 512 < encode([text[: fit[0] + 1]])[0]
+
+
 def test_url_cascade_equals_membership(spark):
     rows = [(i, f"http://h{i % 97}.example.{'net' if i % 3 else 'com'}/{'en' if i % 2 else 'de'}/x?q#f") for i in range(400)]
     rows += [(500, None), (501, "no scheme"), (502, "HTTPS://ÀB.ORG/fr/"), (503, "x://"), (503, "x://"), (504, "a://b?c/d"), (None, "http://net/")]
