@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common as C
 from tidemark.llm import decontam, mixing, ngramjoin, quality, substring
+from tidemark.operators import ordered as O
 
 
 def _row_key(docs: DataFrame) -> Column:
@@ -18,20 +19,38 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in sorted(docs.columns)])
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """Adds _id: doc_id, and for a row without one a number beyond all doc_ids, by content and then by place among equal
+    rows; each bucket of contents is numbered by itself."""
+    top, unnamed = docs.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not unnamed:
+        return docs.withColumn("_id", F.col("doc_id"))
+    rest = docs.where(F.col("doc_id").isNull()).withColumn("_key", _row_key(docs))
+    placed = O.numbered(rest, [], F.shiftright("_key", 52), ["_key", *docs.columns], "_place")
+    rest = placed.withColumn("_id", F.lit(top or 0).cast("long") + F.col("_place")).drop("_key", "_place")
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("_id", F.col("doc_id")).unionByName(rest)
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a quality rule rejects."""
     return quality.cascade(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; of repeated rows of it, one."""
-    groups = ngramjoin.near_duplicates(docs)
-    # A document goes if it belongs to a smaller one; ids are few bytes a row, texts travel by doc_id alone.
-    away = groups.where("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    twice = left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(_row_key(docs)).alias("first")).where("n > 1").select("doc_id", "first")
-    keyed = left.withColumn("_key", _row_key(docs)).join(twice, "doc_id", "left").where(F.col("first").isNull() | (F.col("_key") == F.col("first")))
-    return keyed.select(*docs.columns)
+    """Of each group of near copies the document with the smallest doc_id stays, one without any only if none has one; of
+    repeated rows of it, one."""
+    named = _named(docs)
+    groups = ngramjoin.near_duplicates(named.select(F.col("_id").alias("doc_id"), "text"))
+    # A document goes if it belongs to a smaller one; ids are few bytes a row, texts travel by id alone.
+    away = groups.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    left = named.join(away, "_id", "left_anti").withColumn("_key", _row_key(docs))
+    # Rows without doc_id are told apart by content, so that empty ones, which are in no group, repeat no more either.
+    same = F.when(F.col("doc_id").isNull(), F.col("_key")).otherwise(F.col("_id"))
+    left = left.withColumn("_same", F.struct(F.col("doc_id").isNull().alias("unnamed"), same.alias("id")))
+    twice = left.groupBy("_same").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first")).where("n > 1").select("_same", "first")
+    once = left.join(twice, "_same", "left_anti").select(*docs.columns)
+    tied = left.join(twice, "_same").where("_key = first").dropDuplicates(["_same"]).select(*docs.columns)
+    return once.unionByName(tied)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +65,10 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
-    leaked = decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    named = _named(docs)
+    searched = named.select(F.col("_id").alias("doc_id"), "text")
+    leaked = decontam.leaks(searched, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_id")).distinct()
+    return named.join(leaked, "_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,3 +24,20 @@ def test_pipeline_stages(spark):
     assert sizes == sorted(sizes, reverse=True) and 0 < sizes[-1] < sizes[0]
     mixed = pipeline.STAGES[-1][1](spark, now, SF).collect()
     assert Counter(r["doc_id"] for r in mixed) == Counter(r["doc_id"] for r in now.collect())
+
+
+def test_pipeline_repeated_and_unnamed_rows(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len((r["text"] or "").split()) > 20)
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    near = words("a") + " more"
+    rows = [(1, words("a"), "x"), (1, words("a"), "x"), (1, words("a"), "x"), (None, words("a"), "x"), (None, near, "x"), (7, near, "x")]
+    rows += [(2, words("b"), "x"), (2, words("c"), "x"), (None, words("d"), "x"), (None, words("d"), "x"), (None, words("d") + " more", "x"), (None, words("e"), "y"), (None, None, "y"), (None, None, "y"), (3, "", "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    left = [tuple(r) for r in pipeline.drop_near_copies(spark, docs, SF).collect()]
+    ids, texts = Counter(r[0] for r in left), [r[1] for r in left]
+    assert ids == {1: 1, 2: 1, 3: 1, 4: 1, None: 3} and texts.count(words("a")) == 1 and near not in texts
+    assert texts.count(words("d")) + texts.count(words("d") + " more") == 1 and texts.count(words("e")) == 1 and texts.count(None) == 1
+
+    leaky = spark.createDataFrame([(None, f"{words('f')} {item} {words('g')}", "x"), (None, words("h"), "x"), (None, None, "x"), (9, item, "x"), (10, words("i"), "x")], docs.schema)
+    assert Counter((r["doc_id"], r["text"]) for r in pipeline.drop_leaks(spark, leaky, SF).collect()) == {(None, words("h")): 1, (None, None): 1, (10, words("i")): 1}
