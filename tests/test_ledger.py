@@ -167,3 +167,24 @@ def test_import_faults(spark, tmp_path):
     found = {r["full_name"]: r["faults"] for r in got.collect()}
     assert found["Ann B"] == ["repeated_email"] and found['Q "D", Jr'] == ["repeated_email", "date", "salary"]
     assert found[None] == ["name", "email", "role", "date", "salary"]
+
+
+def test_trust_by_chain(spark):
+    rows = [(e, i, i * 8, f"h{e}{i}", f"r{e}{i}") for e in (1, 2, 3) for i in range(1, 5)]
+    names = "employee_id int, checkpoint_id long, sequence_id long, checkpoint_hash string, merkle_root string"
+    ours = spark.createDataFrame([x for x in rows if x[0] != 3 or x[1] < 3], names)
+    theirs = spark.createDataFrame([x if x[:2] != (2, 3) else (*x[:4], "forged") for x in rows] + [(4, 1, 8, "h41", "r41")], names)
+    got = {r["employee_id"]: tuple(r)[1:] for r in trust.compare(ours, theirs, keys=["employee_id"]).collect()}
+    assert got == {1: ("pass", 0, 0, 0), 2: ("fail", 0, 0, 1), 3: ("fail", 2, 0, 0), 4: ("fail", 1, 0, 0)}
+    assert [tuple(r) for r in trust.forks(ours.unionByName(theirs), ["employee_id"]).collect()] == [(2, 24, 2)]
+    said = spark.createDataFrame([(1, 5, "a", True), (1, 5, "b", True), (2, 5, "a", True), (2, 6, "a", False)], "employee_id int, sequence_id long, witness string, valid boolean").selectExpr("*", "witness as key_id", "witness as domain")
+    assert {tuple(r) for r in trust.quorum(said, 2, ["employee_id"]).collect()} == {(1, 5, "pass"), (2, 5, "unknown"), (2, 6, "fail")}
+
+
+def test_newest_links_of_every_chain(spark):
+    chain = CH.build(D.ledger(spark, SF))
+    one = chain.groupBy("employee_id").agg(F.count(F.lit(1)).alias("n"), F.max("sequence_id").alias("top")).orderBy(F.col("n").desc(), "employee_id").first()
+    bad = chain.withColumn("previous_hash", F.when(F.col("sequence_id") == one["top"], "x").otherwise(F.col("previous_hash")))
+    got = CH.newest_links(bad, 3, ["employee_id"]).collect()
+    assert one["n"] > 1 and [r["employee_id"] for r in got if not r["intact"]] == [one["employee_id"]]
+    assert len(got) == chain.select("employee_id").distinct().count() and max(r["rows"] for r in got) == min(3, one["n"])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidemark.functions import text as X
 from tidemark.operators import ordered as O
@@ -87,11 +88,15 @@ def tails(chain: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame
     return chain.groupBy(*keys).agg(F.max_by("entry_hash", "chain_seq").alias("tail_hash"), F.max("chain_seq").alias("tail_seq"))
 
 
-def newest_links(chain: DataFrame, newest: int = 1000) -> DataFrame:
-    """intact, newest sequence and rows over the newest rows of one chain; the limit is the feature."""
-    rows = chain.orderBy(F.col("sequence_id").desc()).limit(newest)
-    rows = O.previous(rows, (), F.lit(0), ["sequence_id"], {"prior": "entry_hash"})
-    return rows.agg(F.coalesce(F.bool_and(F.when(F.col("prior").isNotNull(), F.col("previous_hash") == F.col("prior"))), F.lit(True)).alias("intact"), F.max("sequence_id").alias("newest"), F.count(F.lit(1)).alias("rows"))
+def newest_links(chain: DataFrame, newest: int = 1000, keys: Sequence[str] = ()) -> DataFrame:
+    """intact, newest sequence and rows over the newest rows of one chain, or of each chain by the keys; the limit is the
+    feature."""
+    if keys:
+        rows = chain.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("sequence_id").desc()))).where(F.col("_r") <= newest).drop("_r")
+    else:
+        rows = chain.orderBy(F.col("sequence_id").desc()).limit(newest)
+    rows = O.previous(rows, keys, F.lit(0), ["sequence_id"], {"prior": "entry_hash"})
+    return rows.groupBy(*keys).agg(F.coalesce(F.bool_and(F.when(F.col("prior").isNotNull(), F.col("previous_hash") == F.col("prior"))), F.lit(True)).alias("intact"), F.max("sequence_id").alias("newest"), F.count(F.lit(1)).alias("rows"))
 
 
 def rolled_up(checks: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -13,45 +15,52 @@ BUCKET = 1 << 16
 FIELDS = ("checkpoint_id", "sequence_id", "checkpoint_hash", "merkle_root")
 
 
-def placed(checkpoints: DataFrame) -> DataFrame:
-    """Adds place, from 1 in order of checkpoint_id, and rising: whether ids and sequences rise."""
-    rows = O.previous(checkpoints, [], F.floor(F.col("checkpoint_id") / BUCKET), ["checkpoint_id"], {"_id": "checkpoint_id", "_seq": "sequence_id"})
+def placed(checkpoints: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds place, from 1 in order of checkpoint_id within the keys, and rising: whether ids and sequences rise."""
+    rows = O.previous(checkpoints, keys, F.floor(F.col("checkpoint_id") / BUCKET), ["checkpoint_id"], {"_id": "checkpoint_id", "_seq": "sequence_id"})
     rows = rows.withColumn("rising", F.coalesce((F.col("checkpoint_id") > F.col("_id")) & (F.col("sequence_id") > F.col("_seq")), F.lit(True))).drop("_id", "_seq")
-    return O.numbered(rows, [], F.floor(F.col("checkpoint_id") / BUCKET), ["checkpoint_id"], "place")
+    return O.numbered(rows, keys, F.floor(F.col("checkpoint_id") / BUCKET), ["checkpoint_id"], "place")
 
 
-def differences(ours: DataFrame, theirs: DataFrame, interval: int = 1) -> DataFrame:
-    """place, problem (ours_missing, theirs_missing, differs) wherever two lists do not agree, place by place. Checkpoints
-    off the interval's multiples are no anchors and left out."""
-    a, b = (placed(x.where(F.col("sequence_id") % interval == 0)) for x in (ours, theirs))
-    both = a.alias("a").join(b.alias("b"), "place", "full")
+def differences(ours: DataFrame, theirs: DataFrame, interval: int = 1, keys: Sequence[str] = ()) -> DataFrame:
+    """The keys, place, problem (ours_missing, theirs_missing, differs) wherever two lists do not agree, place by place.
+    Checkpoints off the interval's multiples are no anchors and left out."""
+    a, b = (placed(x.where(F.col("sequence_id") % interval == 0), keys) for x in (ours, theirs))
+    both = a.alias("a").join(b.alias("b"), [*keys, "place"], "full")
     same = F.lit(True)
     for f in FIELDS:
         same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
     problem = F.when(F.col("a.checkpoint_id").isNull(), "ours_missing").when(F.col("b.checkpoint_id").isNull(), "theirs_missing").when(~same, "differs")
-    return both.select("place", problem.alias("problem")).where("problem IS NOT NULL")
+    return both.select(*keys, "place", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def compare(ours: DataFrame, theirs: DataFrame, interval: int = 1, minimum: int = 0) -> DataFrame:
-    """One row, status: fail if the other list is longer, differs, or our newest lies below the minimum; unknown if it
-    does not rise or is shorter; else pass."""
-    found = differences(ours, theirs, interval).agg(*[F.count_if(F.col("problem") == x).alias(x) for x in ("ours_missing", "theirs_missing", "differs")])
-    order = placed(theirs).agg(F.count_if(~F.col("rising")).alias("unordered"))
-    newest = ours.agg(F.coalesce(F.max("sequence_id"), F.lit(0)).alias("newest"))
+def compare(ours: DataFrame, theirs: DataFrame, interval: int = 1, minimum: int = 0, keys: Sequence[str] = ()) -> DataFrame:
+    """The keys and status, one row for each of their values in either list, or one row without keys: fail if the other
+    list is longer, differs, or our newest lies below the minimum; unknown if it does not rise or is shorter; else pass."""
+    kinds = ("ours_missing", "theirs_missing", "differs")
+    found = differences(ours, theirs, interval, keys).groupBy(*keys).agg(*[F.count_if(F.col("problem") == x).alias(x) for x in kinds])
+    order = placed(theirs, keys).groupBy(*keys).agg(F.count_if(~F.col("rising")).alias("unordered"))
+    newest = ours.groupBy(*keys).agg(F.coalesce(F.max("sequence_id"), F.lit(0)).alias("newest"))
     status = F.when(F.col("unordered") > 0, "unknown").when((F.col("ours_missing") > 0) | (F.col("differs") > 0) | (F.col("newest") < minimum), "fail").when(F.col("theirs_missing") > 0, "unknown").otherwise("pass")
-    return found.crossJoin(order).crossJoin(newest).select(status.alias("status"), "ours_missing", "theirs_missing", "differs")
+    if keys:
+        each = ours.select(*keys).union(theirs.select(*keys)).distinct()
+        both = each.join(found, [*keys], "left").join(order, [*keys], "left").join(newest, [*keys], "left").fillna(0, [*kinds, "unordered", "newest"])
+    else:
+        both = found.crossJoin(order).crossJoin(newest)
+    return both.select(*keys, status.alias("status"), *kinds)
 
 
-def forks(statements: DataFrame) -> DataFrame:
-    """Sequences for which different roots were stated."""
-    return statements.groupBy("sequence_id").agg(F.count_distinct("merkle_root").alias("roots")).where("roots > 1")
+def forks(statements: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Sequences, by the keys, for which different roots were stated."""
+    return statements.groupBy(*keys, "sequence_id").agg(F.count_distinct("merkle_root").alias("roots")).where("roots > 1")
 
 
-def quorum(statements: DataFrame, threshold: int) -> DataFrame:
-    """By sequence: fail if any statement is invalid, pass with enough distinct witnesses, keys and domains, else unknown."""
-    rows = statements.groupBy("sequence_id").agg(F.bool_and("valid").alias("ok"), *[F.count_distinct(c).alias(c) for c in ("witness", "key_id", "domain")])
+def quorum(statements: DataFrame, threshold: int, keys: Sequence[str] = ()) -> DataFrame:
+    """By the keys and sequence: fail if any statement is invalid, pass with enough distinct witnesses, keys and domains,
+    else unknown."""
+    rows = statements.groupBy(*keys, "sequence_id").agg(F.bool_and("valid").alias("ok"), *[F.count_distinct(c).alias(c) for c in ("witness", "key_id", "domain")])
     enough = F.least("witness", "key_id", "domain") >= threshold
-    return rows.select("sequence_id", F.when(~F.col("ok"), "fail").when(enough, "pass").otherwise("unknown").alias("status"))
+    return rows.select(*keys, "sequence_id", F.when(~F.col("ok"), "fail").when(enough, "pass").otherwise("unknown").alias("status"))
 
 
 def prefix_digests(checkpoints: DataFrame, tag: str = "prefix") -> DataFrame:

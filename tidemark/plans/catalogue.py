@@ -269,6 +269,12 @@ def recent_link_check(spark, sf_dir):
     return CH.newest_links(_chain(spark, sf_dir).where("employee_id = 7"), 20)
 
 
+@query(CHAIN + " select employee_id, true as intact, max(sequence_id) as newest, least(20, count(*)) as rows from chain group by 1")
+def recent_link_check_all(spark, sf_dir):
+    """The newest rows of every employee's chain."""
+    return CH.newest_links(_chain(spark, sf_dir), 20, ["employee_id"])
+
+
 @query(CHAIN + ", " + _report("chain") + _FLAGS[_FLAGS.index(", off as") :] + " select employee_id, total_entries, valid, coalesce(n_flags, 0) as n_flags from report left join (select employee_id, count(*) as n_flags from flags group by 1) using (employee_id)")
 def employee_integrity(spark, sf_dir):
     """Every employee's chain verified, with the number of flags raised against it."""
@@ -409,6 +415,17 @@ def counterfactual_skipped_events(spark, sf_dir):
     return D.ledger(spark, sf_dir).where("sequence_id % 7 = 3").select("sequence_id", summary.alias("summary"))
 
 
+@query(D.with_sql("ledger") + """ select sequence_id, sequence_id % 7 = 3 as skipped, case when table_name = 'salary_history' then action || ' salary ' || coalesce(json_extract_string(new_value_text, '$.amount'), 'none') when action <> 'UPDATE' then action || ' employee' else concat_ws(', ',
+  case when json_extract_string(new_value_text, '$.role_id') is distinct from json_extract_string(old_value_text, '$.role_id') then 'role_id: ' || json_extract_string(old_value_text, '$.role_id') || ' -> ' || json_extract_string(new_value_text, '$.role_id') end,
+  case when json_extract_string(new_value_text, '$.is_active') is distinct from json_extract_string(old_value_text, '$.is_active') then 'is_active: true -> false' end,
+  case when json_extract_string(new_value_text, '$.full_name') is distinct from json_extract_string(old_value_text, '$.full_name') then 'full_name: ' || json_extract_string(old_value_text, '$.full_name') || ' -> ' || coalesce(json_extract_string(new_value_text, '$.full_name'), 'none') end) end as summary
+from ledger""")
+def counterfactual_events_all(spark, sf_dir):
+    """Every event summarised, and whether the counterfactual skips it."""
+    summary = replay.delta_summary(*(F.col(c) for c in ("action", "table_name", "old_value_text", "new_value_text")))
+    return D.ledger(spark, sf_dir).select("sequence_id", F.expr("sequence_id % 7 = 3").alias("skipped"), summary.alias("summary"))
+
+
 # Rules.
 
 
@@ -475,6 +492,30 @@ def witness_quorum(spark, sf_dir):
     return trust.quorum(rows, 2)
 
 
+def _anchors_all(spark, sf_dir, changed=None):
+    sealed = K.fixed(_chain(spark, sf_dir), INTERVAL)
+    root = F.col("merkle_root") if changed is None else F.when(F.col("checkpoint") == changed, F.lit("0" * 64)).otherwise(F.col("merkle_root"))
+    return sealed.select("employee_id", (F.col("checkpoint") + 1).alias("checkpoint_id"), F.col("last_seq").alias("sequence_id"), F.col("digest").alias("checkpoint_hash"), root.alias("merkle_root"))
+
+
+@query(CHAIN + ", " + _sealed("chain") + " select employee_id, case when count(*) filter (checkpoint = 1) > 0 then 'fail' else 'pass' end as status, 0::bigint as ours_missing, 0::bigint as theirs_missing, count(*) filter (checkpoint = 1) as differs from sealed group by 1")
+def anchor_prefix_compare_all(spark, sf_dir):
+    """Every employee's anchors against a list whose second one differs."""
+    return trust.compare(_anchors_all(spark, sf_dir), _anchors_all(spark, sf_dir, 1), keys=["employee_id"])
+
+
+@query(CHAIN + ", " + _sealed("chain") + " select employee_id, last_seq as sequence_id, 2::bigint as roots from sealed where checkpoint = 1")
+def fork_detection_all(spark, sf_dir):
+    return trust.forks(_anchors_all(spark, sf_dir).unionByName(_anchors_all(spark, sf_dir, 1)), ["employee_id"])
+
+
+@query(CHAIN + f" select employee_id, (chain_seq - 1) // {INTERVAL} as sequence_id, case when not bool_and(action <> 'DELETE' or sequence_id % 3 > 0) then 'fail' when count(distinct actor_user_id) >= 2 then 'pass' else 'unknown' end as status from (select employee_id, chain_seq, action, actor_user_id, sequence_id from chain) group by employee_id, (chain_seq - 1) // {INTERVAL}")
+def witness_quorum_all(spark, sf_dir):
+    """Each row's actor as a witness of the checkpoint that the row falls in, over every chain."""
+    rows = _chain(spark, sf_dir).selectExpr("employee_id", f"(chain_seq - 1) div {INTERVAL} as sequence_id", "actor_user_id as witness", "actor_user_id as key_id", "actor_user_id as domain", "action <> 'DELETE' OR sequence_id % 3 > 0 as valid")
+    return trust.quorum(rows, 2, ["employee_id"])
+
+
 # Limits, secrets and streams.
 
 
