@@ -341,3 +341,12 @@ def test_licenses(spark, docs):
         assert (r["n_words"], r["n_base"], r["base_labels"]) == (len(ws), len(hits), ",".join(sorted({x for _, x in hits})))
         assert (r["first_word"], r["last_word"]) == ((min(hits)[0], max(hits)[0]) if hits else (None, None))
     assert got[13]["labels"] == "apache-2.0,cc-by,reserved" and licenses.scan(empty(spark)).count() == 0
+
+
+def test_license_notices_wrapped_or_scattered(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License"
+    filler = " ".join(f"w{i}" for i in range(70))
+    rows = [(k, f"{' '.join(['x'] * k)} {bsd} {' '.join(['y'] * (k % 7))}") for k in range(50)] + [(100, gpl), (101, f"released under {filler} the mit {filler} license"), (102, None), (103, "")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=(("no such phrase", "none"),), windows=True).collect()}
+    assert got == {**{k: ("bsd", 1.0) for k in range(50)}, 100: ("gpl", 1.0), 101: ("", 0.0), 102: ("", 0.0), 103: ("", 0.0)}

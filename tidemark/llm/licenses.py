@@ -1,7 +1,8 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text, as sets of words; a template matches a block that has at least the share THRESHOLD of
-the template's words. Words are ordered by how many documents have them, rarest first. Sets that reach the threshold
+Blocks are the lines of a text, or windows over its words, as sets of words; a template matches a block that has at least
+the share THRESHOLD of the template's words. Windows are twice as long as the longest template and start every template
+length, so that a notice of no more words lies within one, however it is wrapped, and words further apart do not meet. Words are ordered by how many documents have them, rarest first. Sets that reach the threshold
 share a word among the first few of each (prefix filter); a block must have enough of the templates' words (length
 filter), and the places of the first shared word must leave room for enough others (positional filter). The pairs that
 pass are counted out. The templates are a parameter of a few hundred words at most, and that bound is checked.
@@ -60,14 +61,26 @@ def _known(text: Column, vocabulary: list[str]) -> Column:
     return F.array_intersect(F.split(_lower(text), _GAP + "+"), F.array(*[F.lit(w) for w in vocabulary]))
 
 
+def window_step(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words of the longest template, repeats included: windows start every so many words and have twice as many."""
+    return max(len(re.findall(r"[0-9a-z]+", wording.lower())) for _, wording in templates)
+
+
+def _windows(text: Column, step: int) -> Column:
+    """Overlapping runs of 2 * step words that cover the text, each joined by spaces; the last may be shorter."""
+    words = F.regexp_extract_all(text, F.lit(f"({_CHAR}+)"), F.lit(1))
+    last = F.greatest(F.floor((F.size(words) - step - 1) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, 2 * step), " "))
+
+
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents have each template word: one row a word comes back."""
     found = docs.select(F.explode(_known(F.col("text"), vocabulary)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, block (number of the line), label, containment: every block of docs (doc_id, text_key, text) and
+def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """doc_id, text_key, block (number of the line or window), label, containment: every block of docs (doc_id, text_key, text) and
     template of at least the threshold."""
     sets = [(label, template_words(wording)) for label, wording in templates]
     vocabulary = sorted({w for _, ws in sets for w in ws})
@@ -86,7 +99,8 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     prefix = spark.createDataFrame(prefixes, "rank int, template int, place int, n int, need int")
     whole = spark.createDataFrame(wholes, "template int, label string, ranks array<int>, need int")
 
-    lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    cut = _windows(F.col("text"), window_step(templates)) if windows else F.split("text", "\n")
+    lines = docs.select("doc_id", "text_key", F.posexplode(cut).alias("block", "line"))
     ranks = F.map_from_arrays(F.array(*[F.lit(w) for w in vocabulary]), F.array(*[F.lit(rank[w]) for w in vocabulary]))
     blocks = lines.select("doc_id", "text_key", "block", _known(F.col("line"), vocabulary).alias("known")).where(F.size("known") >= least)
     blocks = blocks.select("doc_id", "text_key", "block", F.array_sort(F.transform("known", lambda w: F.element_at(ranks, w))).alias("own"))
@@ -106,14 +120,14 @@ def _joined(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of ASCII letters and digits and of characters outside ASCII; case is ignored for A-Z. n_base counts the
     places where a phrase's words stand one after another; first_word and last_word are their smallest and largest start
     in words from 0, null without any. labels adds those of the matching templates. score is the largest containment of a
     template that matches, 1 with any phrase, else 0. A null text is empty. Repeated rows get equal rows; an empty table
-    gives an empty result; other columns are ignored.
+    gives an empty result; other columns are ignored. Templates are matched with lines, or with windows over the whole text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.length(text)).alias("text_key"))
@@ -127,7 +141,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
     start = lambda p: F.when(n_base > 0, F.regexp_count(F.regexp_extract("text", p, 1), words).cast("long"))
     own = F.array_compact(F.array(*[F.when(F.col(f"n_{i}") > 0, F.lit(label)) for i, label in enumerate(pattern)]))
     base = counts.select("doc_id", "text_key", "n_words", n_base.alias("n_base"), start(any_first).alias("first_word"), start(any_last).alias("last_word"), own.alias("own"))
-    found = matches(rows, templates, threshold).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = matches(rows, templates, threshold, windows).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     both = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key")), "left")
     more = F.coalesce(F.col("more"), F.array().cast("array<string>"))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
@@ -139,6 +153,11 @@ def op10_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_license_windows(spark, sf_dir: str) -> DataFrame:
+    """Digest of the scan of all documents by windows, which finds wrapped notices too."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
+
+
 def _oracle() -> str:
     cases = ", ".join(f"('{label}', [{', '.join(repr(w) for w in template_words(wording))}])" for label, wording in TEMPLATES)
     starts = " ".join(
@@ -172,3 +191,14 @@ FROM e LEFT JOIN b USING (r) LEFT JOIN f USING (r)
 
 
 OP10_SQL = _oracle()
+
+
+def _windows_oracle() -> str:
+    """The same SQL with windows of the words for the lines."""
+    step, lines = window_step(TEMPLATES), rf"""  SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw FROM d"""
+    if lines not in OP10_SQL:
+        raise ValueError("no lines in the SQL")
+    return OP10_SQL.replace(lines, f"  SELECT r, w[i + 1:i + {2 * step}] AS lw FROM (SELECT r, w, unnest(generate_series(0, greatest(len(w) - {step} - 1, 0), {step})) AS i FROM e)")
+
+
+OP10_WINDOWS_SQL = _windows_oracle()
