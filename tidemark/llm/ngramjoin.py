@@ -9,7 +9,10 @@
    component need no further look, so a group of near copies costs its size rather than its square.
 5. Pairs across components that share a bucket are searched with an R-tree over the sets' count vectors: shingles are
    hashed into groups, the counts are a point, and the sum of coordinate minima bounds the overlap, of a pair and of a
-   query with a whole node. Large buckets are cut into blocks that are paired in different tasks.
+   query with a whole node. A set has more groups the larger it is, so the bound stays close to the overlap at any size.
+   Buckets with the same smallest set are searched as one, so a pair that meets in many of them is found once; and the
+   first place that a set has in such a bucket bounds what it can still share (positional filter). Large buckets are cut
+   into blocks of bounded bytes that are paired in different tasks.
 6. Surviving pairs are verified on the full sets.
 """
 
@@ -28,13 +31,19 @@ from tidemark.llm import postings as P
 from tidemark.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-GROUPS = 128
+#: Least and most groups of a count vector; between them, the power of two at or above twice the set's size.
+GROUPS = (64, 1 << 17)
 #: A shingle that so many sets have goes to the end of the order, by frequency.
 FREQUENT = 8
 #: Largest count that a point's coordinate holds; a point that has it anywhere is never ruled out.
-FULL = 65535
+FULL = 255
+#: Largest frequency that a slice's message holds.
+MOST_COUNT = 65535
 FANOUT = 16
-BLOCK = 1024
+#: Bytes of count vectors in a block of a bucket, and in a task of the search.
+BLOCK_BYTES = 24 << 20
+#: Queries that walk a tree at a time.
+QUERIES = 256
 STAR_ROUNDS = 2
 
 
@@ -160,6 +169,20 @@ def sized(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(_answer, _REPLY_SQL).groupBy("slice").applyInArrow(_gather, _SIZED_SQL)
 
 
+def point(h: np.ndarray) -> bytes:
+    """The count vector of a set."""
+    groups = min(max(1 << (2 * len(h) - 1).bit_length(), GROUPS[0]), GROUPS[1])
+    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8).tobytes()
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Count vectors of fewer groups, which hold the sums of the former ones; full coordinates stay full."""
+    while points.shape[1] > groups:
+        half = points.shape[1] // 2
+        points = np.minimum(points[:, :half].astype(np.uint16) + points[:, half:], FULL).astype(np.uint8)
+    return points
+
+
 _SETS_SQL = "rep long, n long, hashes binary, point binary, slice long"
 
 
@@ -178,7 +201,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             for i in mine:
                 own = h[edge[i] : edge[i + 1]]
                 hashes.append(own.tobytes())
-                points.append(np.minimum(np.bincount((own & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
+                points.append(point(own))
             columns = [part.column("rep").take(pa.array(mine, pa.int64())), pa.array(sizes[mine].astype(np.int64)), pa.array(hashes, pa.binary()), pa.array(points, pa.binary()), pa.array(np.full(len(mine), P.slice_number(number)))]
             number += 1
             yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "hashes", "point", "slice"])
@@ -202,7 +225,7 @@ def _send_sets(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Re
             h, counts = np.unique(np.frombuffer(b"".join(own), np.uint64), return_counts=True)
             cut = P.segments(h, shards)
             low32 = (_freq_key(h, shards) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            counts = np.minimum(counts, FULL).astype(np.uint16)
+            counts = np.minimum(counts, MOST_COUNT).astype(np.uint16)
             out: dict[str, list] = {k: [] for k in _FREQ}
             for shard in np.flatnonzero(np.diff(cut)):
                 x, y = cut[shard], cut[shard + 1]
@@ -267,31 +290,38 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 class CountTree:
     """An R-tree over count vectors, packed bottom-up: points in order of set size, FANOUT to a node.
 
-    A node has the coordinate maxima and the least and largest set size of what is below it.
+    A node has the coordinate maxima, the least and largest set size and the most shingles still to share of what is
+    below it.
     """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, left: np.ndarray):
         self.order = np.lexsort((points.argmax(axis=1), sizes))
-        tops, low, high = points[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(tops, low, high)]
+        tops, low, high, most = points[self.order], sizes[self.order], sizes[self.order], left[self.order]
+        self.levels = [(tops, low, high, most)]
         while len(tops) > FANOUT:
             start = np.arange(0, len(tops), FANOUT)
-            tops, low, high = np.maximum.reduceat(tops, start), np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-            self.levels.append((tops, low, high))
+            tops, low, high, most = np.maximum.reduceat(tops, start), np.minimum.reduceat(low, start), np.maximum.reduceat(high, start), np.maximum.reduceat(most, start)
+            self.levels.append((tops, low, high, most))
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, point) whose bound reaches the threshold."""
-        tops, low, high = self.levels[-1]
-        q, node = (x.ravel() for x in np.indices((len(points), len(tops))))
+    def search(self, points: np.ndarray, sizes: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, point) whose bound reaches the threshold; a query shares at most `left` of its shingles."""
+        found = [self._walk(np.arange(x, min(x + QUERIES, len(points))), points, sizes, left, percent) for x in range(0, len(points), QUERIES)]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _walk(self, asked: np.ndarray, points: np.ndarray, sizes: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        q, node = (x.ravel() for x in np.indices((len(asked), len(self.levels[-1][0]))))
+        q = asked[q]
         for depth in range(len(self.levels) - 1, -1, -1):
-            tops, low, high = self.levels[depth]
-            fits = (100 * low[node] * percent <= 10000 * sizes[q]) & (100 * sizes[q] * percent <= 10000 * high[node])
-            q, node = q[fits], node[fits]
+            tops, low, high, most = self.levels[depth]
+            need = needed(sizes[q], low[node], percent)
+            fits = (100 * low[node] * percent <= 10000 * sizes[q]) & (100 * sizes[q] * percent <= 10000 * high[node]) & (np.minimum(left[q], most[node]) >= need)
+            q, node, need = q[fits], node[fits], need[fits]
             keep = np.zeros(len(q), bool)
-            for x in range(0, len(q), 1 << 14):
-                y = slice(x, x + (1 << 14))
+            step = max(1, (1 << 22) // tops.shape[1])
+            for x in range(0, len(q), step):
+                y = slice(x, x + step)
                 least = np.minimum(points[q[y]], tops[node[y]])
-                keep[y] = (least.sum(axis=1, dtype=np.int64) >= needed(sizes[q[y]], low[node[y]], percent)) | (least == FULL).any(axis=1)
+                keep[y] = (least.sum(axis=1, dtype=np.int64) >= need[y]) | (least == FULL).any(axis=1)
             q, node = q[keep], node[keep]
             if depth:
                 width = len(self.levels[depth - 1][0])
@@ -301,26 +331,29 @@ class CountTree:
         return q, self.order[node]
 
 
+def _classes(points: list[bytes], rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of groups, the rows that have it and their points."""
+    size = np.array([len(points[i]) for i in rows])
+    return {int(g): (rows[size == g], np.frombuffer(b"".join(points[i] for i in rows[size == g]), np.uint8).reshape(-1, g)) for g in np.unique(size)}
+
+
 def _search(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of different components of the same bucket and pair of blocks that the R-tree lets through."""
-    token = table.column("token").to_numpy()
-    pair = table.column("pair").to_numpy()
-    side = table.column("side").to_numpy()
-    rep, comp, size = (table.column(k).to_numpy() for k in ("rep", "component", "n"))
-    points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint16).reshape(-1, GROUPS)
-    order = np.lexsort((pair, token))
-    edge = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(token[order]) != 0) | (np.diff(pair[order]) != 0)])), len(order))
+    home, pair, side, rep, comp, size, rest = (table.column(k).to_numpy() for k in ("home", "pair", "side", "rep", "component", "n", "rest"))
+    points = table.column("point").to_pylist()
+    order = np.lexsort((pair, home))
+    edge = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(home[order]) != 0) | (np.diff(pair[order]) != 0)])), len(order))
     a, b = [], []
     for x, y in zip(edge[:-1], edge[1:]):
         rows = order[x:y]
-        left, right = rows[side[rows] <= 0], rows[side[rows] >= 0]
-        if not len(left) or not len(right):
-            continue
-        q, p = CountTree(points[left], size[left]).search(points[right], size[right], percent)
-        q, p = right[q], left[p]
-        ok = comp[q] != comp[p]
-        a.append(np.minimum(rep[q], rep[p])[ok])
-        b.append(np.maximum(rep[q], rep[p])[ok])
+        sides = _classes(points, rows[side[rows] <= 0]), _classes(points, rows[side[rows] >= 0])
+        # Sizes of sets that can link differ by a quarter at most, so the numbers of their groups by a factor of two.
+        for (g, (left, lp)), (k, (right, rp)) in ((x, y) for x in sides[0].items() for y in sides[1].items() if x[0] <= 2 * y[0] and y[0] <= 2 * x[0]):
+            q, p = CountTree(folded(lp, k), size[left], rest[left]).search(folded(rp, g), size[right], rest[right], percent)
+            q, p = right[q], left[p]
+            ok = comp[q] != comp[p]
+            a.append(np.minimum(rep[q], rep[p])[ok])
+            b.append(np.maximum(rep[q], rep[p])[ok])
     both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
     return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
 
@@ -350,8 +383,9 @@ def links(docs: DataFrame, reps: DataFrame, width: int = WORDS, percent: int = P
     # Only rows that repeat need their sets moved to find the repeats.
     often = rows.where("often").mapInArrow(lambda b: _sets(b, width), _SETS_SQL).dropDuplicates(["rep", "hashes"])
     sets = C.settle(once.unionByName(often), "join-sets")
-    token = C.settle(prefixes(sets, percent), "join-prefixes").select("rep", "n", F.explode("prefix").alias("token"))
-    many = token.groupBy("token").agg(F.count(F.lit(1)).alias("width")).where("width > 1")
+    token = C.settle(prefixes(sets, percent), "join-prefixes").select("rep", "n", F.posexplode("prefix").alias("place", "token"))
+    # A bucket's home is its smallest set: buckets of one home are searched as one.
+    many = token.groupBy("token").agg(F.count(F.lit(1)).alias("width"), F.min("rep").alias("home")).where("width > 1")
     token = C.settle(token.join(many, "token"), "join-tokens")
     grade = token.groupBy("rep").agg(F.sum("width").alias("grade"))
     token = C.settle(token.join(grade, "rep"), "join-graded")
@@ -365,15 +399,16 @@ def links(docs: DataFrame, reps: DataFrame, width: int = WORDS, percent: int = P
         found = new if found is None else found.unionByName(new)
         labels = components(found)
     now = _labelled(token, labels)
-    mixed = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    # Blocks of a bucket: pairs (i, j) of blocks meet in one task; a row's side tells which of the two it is in, 0 for both.
-    blocks = F.ceil(F.col("width") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = now.join(mixed, "token").withColumn("blocks", blocks).withColumn("block", block).select("*", other)
-    rows = rows.withColumn("pair", F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).withColumn("side", F.signum(F.col("block") - F.col("other")).cast("int"))
-    rows = rows.join(sets.select("rep", "point"), "rep").select("token", F.col("pair").cast("long").alias("pair"), F.col("side").cast("long").alias("side"), "rep", "component", "n", "point")
-    rows = rows.withColumn("task", F.pmod(F.xxhash64("token", "pair"), F.lit(4096)))
+    # `rest`: how many shingles of a set are at or behind its first place in the home's buckets.
+    now = now.groupBy("home", "rep").agg(F.max("n").alias("n"), F.max("component").alias("component"), F.max(F.col("n") - F.col("place")).alias("rest"))
+    mixed = now.groupBy("home").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n").alias("all")).where("x <> y").select("home", "all")
+    # Blocks of a home: pairs (i, j) of blocks meet in one task; a row's side tells which of the two it is in, 0 for both.
+    blocks = F.ceil(4 * F.col("all") / BLOCK_BYTES).cast("int")
+    rows = now.join(mixed, "home").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    rows = C.settle(rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")), "join-homes")
+    tasks = max(16, -(-4 * (rows.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES))
+    rows = rows.withColumn("pair", F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).withColumn("side", F.signum(F.col("block") - F.col("other")).cast("long"))
+    rows = rows.join(sets.select("rep", "point"), "rep").select("home", "pair", "side", "rep", "component", "n", "rest", "point", F.pmod(F.xxhash64("home", "pair"), F.lit(tasks)).alias("task"))
     pairs = rows.groupBy("task").applyInArrow(lambda t: _search(t, percent), "a long, b long").distinct()
     return found.unionByName(C.settle(_verified(pairs, sets, percent), "join-links"))
 
