@@ -1,7 +1,7 @@
 import pytest
 
 from tests.parity import same
-from tidemark.plans import catalogue
+from tidemark.plans import catalogue, evidence  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))

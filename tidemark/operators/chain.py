@@ -79,11 +79,34 @@ def segments(chain: DataFrame, size: int, keys: Sequence[str] = ("employee_id",)
 def tail_status(chain: DataFrame, tails: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
     """Against the recorded tails (keys, tail_hash, tail_seq): pass or fail. Shows a truncated end, which links cannot."""
     now = chain.groupBy(*keys).agg(F.max_by("entry_hash", "chain_seq").alias("hash"), F.max("chain_seq").alias("seq"))
-    both = tails.join(now, list(keys), "left")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"t.{k}").eqNullSafe(F.col(f"n.{k}"))
+    both = tails.alias("t").join(now.alias("n"), match, "left").select("t.*", "hash", "seq")
     same = F.col("tail_hash").eqNullSafe(F.coalesce("hash", F.lit(X.GENESIS))) & F.col("tail_seq").eqNullSafe(F.coalesce("seq", F.lit(0)))
     return both.select(*keys, F.when(same, "pass").otherwise("fail").alias("tail"))
 
 
+def bounds(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee_id",), position: str = "chain_seq", bucket: int = BUCKET) -> DataFrame:
+    """Each row with the segment that it falls in by a list of checkpoints (keys, last_seq): sealed_after, the checkpoint
+    before it (0 without any), and sealed_at, its own, null in the open last segment.
+
+    Rows and checkpoints are one order, read up and down, so no row is matched with more than its two neighbours.
+    Checkpoints that repeat count once.
+    """
+    marks = sealed.where(F.col("last_seq") > 0).select(*keys, F.col("last_seq").cast("long").alias("_at")).distinct().withColumn("_mark", F.lit(True))
+    both = chain.withColumn("_at", F.col(position).cast("long")).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    both = O.carried(both.withColumn("_up", 2 * F.col("_at") + F.when(F.col("_mark"), 1).otherwise(0)), keys, F.floor(F.col("_at") / bucket), ["_up"], F.col("_at"), "sealed_after", F.col("_mark"))
+    both = O.carried(both.withColumn("_down", -F.col("_up")), keys, -F.floor(F.col("_at") / bucket), ["_down"], F.col("_at"), "sealed_at", F.col("_mark"))
+    return both.where(~F.col("_mark")).select(*chain.columns, F.coalesce("sealed_after", F.lit(0)).cast("long").alias("sealed_after"), "sealed_at")
+
+
+def segments_by(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee_id",), position: str = "chain_seq") -> DataFrame:
+    """The report by the segments between checkpoints, the last one open; edges are checked like any other link."""
+    rows = bounds(links(chain, keys, position), sealed, keys, position)
+    return rows.groupBy(*keys, "sealed_after", "sealed_at").agg(F.count(F.lit(1)).alias("entries"), F.bool_and(~(F.col("mismatch") | F.col("gap") | F.col("orphan"))).alias("valid"))
+
+
 def tails(chain: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
     return chain.groupBy(*keys).agg(F.max_by("entry_hash", "chain_seq").alias("tail_hash"), F.max("chain_seq").alias("tail_seq"))
 

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import secrets as S
 from tidemark.functions import text as X
 from tidemark.operators import ordered as O
 
@@ -100,9 +101,58 @@ def sealed_payload(digest: Column, root: Column) -> Column:
     return F.concat_ws(":", digest, root)
 
 
-def signature_status(signature: Column, key_known: Column, any_key: Column, valid: Column) -> Column:
-    """unsigned (64 zero bytes), key_not_found, no_key_provided, verified or invalid."""
-    return F.when(F.hex(signature) == "00" * 64, "unsigned").when(~key_known & any_key, "key_not_found").when(~key_known, "no_key_provided").when(valid, "verified").otherwise("invalid")
+def one(sealed: DataFrame, checkpoint: int) -> DataFrame:
+    return sealed.where(F.col("checkpoint") == checkpoint)
+
+
+def between(sealed: DataFrame, first: int, last: int) -> DataFrame:
+    """Checkpoints whose last position lies in [first, last], both included, in order."""
+    return sealed.where(F.col("last_seq").between(first, last)).orderBy("last_seq")
+
+
+def ordered(sealed: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
+    return sealed.orderBy(*keys, "last_seq")
+
+
+def latest(sealed: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
+    """The newest checkpoint of each key."""
+    own = [c for c in sealed.columns if c not in keys]
+    return sealed.groupBy(*keys).agg(F.max_by(F.struct(*own), "last_seq").alias("_c")).select(*keys, "_c.*")
+
+
+def unsealed(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee_id",), position: str = "chain_seq", slim: bool = False) -> DataFrame:
+    """Rows behind the newest checkpoint of their key, all where it has none; slim: position and hash alone."""
+    ends = sealed.groupBy(*keys).agg(F.max("last_seq").alias("_end")).alias("s")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}"))
+    rows = chain.alias("c").join(ends, match, "left").where(F.col(position) > F.coalesce("_end", F.lit(0)))
+    return rows.select(*[f"c.{x}" for x in (*keys, position, "entry_hash")]) if slim else rows.select("c.*")
+
+
+def appended(existing: DataFrame, offered: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
+    """Offered checkpoints whose position is not taken yet; of equal ones offered together, one. Writing these again
+    adds nothing, so a sink that appends them may be retried."""
+    place = [*keys, "last_seq"]
+    return offered.join(existing.select(*place).distinct(), place, "left_anti").dropDuplicates(place)
+
+
+def signed(sealed: DataFrame, seed: bytes, key_id: str) -> DataFrame:
+    """Adds key_id and signature_hex over digest and root, or the digest alone where there is no root."""
+    return sealed.withColumn("key_id", F.lit(key_id)).withColumn("signature_hex", S.signature(sealed_payload(F.col("digest"), F.col("merkle_root")), seed))
+
+
+def signature_statuses(sealed: DataFrame, registry: DataFrame | None = None, default_key: str | None = None) -> DataFrame:
+    """Adds signature: unsigned, key_not_found, no_key_provided, verified or invalid_signature, by the key registry
+    (key_id, public_hex) and, for keys that it lacks, the default key in hex."""
+    rows = sealed.drop("public_hex")
+    rows = rows.join(registry.select("key_id", "public_hex"), "key_id", "left") if registry is not None else rows.withColumn("public_hex", F.lit(None).cast("string"))
+    public = F.coalesce("public_hex", F.lit(default_key))
+    unsigned = F.coalesce("signature_hex", F.lit("")).isin("", "00" * 64)
+    valid = S.signature_valid(F.unhex(F.when(~unsigned, public)), sealed_payload(F.col("digest"), F.col("merkle_root")), F.unhex(F.col("signature_hex")))
+    missing = F.lit("no_key_provided" if registry is None else "key_not_found")
+    status = F.when(unsigned, "unsigned").when(public.isNull(), missing).when(valid, "verified").otherwise("invalid_signature")
+    return rows.withColumn("signature", status).drop("public_hex")
 
 
 def lag(tail: Column, sealed: Column) -> Column:

@@ -52,9 +52,26 @@ def burst_starts(ledger: DataFrame, more_than: int = 3) -> DataFrame:
 
 def incidents(ledger: DataFrame, more_than: int = 3) -> DataFrame:
     """The first start of each incident: starts at most an hour after the one before belong to its incident."""
+    return grouped(ledger, more_than).where(F.col("sequence_id") == F.col("root")).drop("root")
+
+
+def grouped(ledger: DataFrame, more_than: int = 3) -> DataFrame:
+    """Every burst start with the root of its incident, the sequence of its first start: the flag that stands for it."""
     starts = burst_starts(ledger, more_than).withColumn("_t", micros(F.col("created_at")))
-    starts = O.previous(starts, [], F.floor(F.col("_t") / (24 * HOUR)), ["_t", "sequence_id"], {"_before": "_t"})
-    return starts.where(F.col("_before").isNull() | (F.col("_t") - F.col("_before") > HOUR)).drop("_t", "_before")
+    day = F.floor(F.col("_t") / (24 * HOUR))
+    starts = O.previous(starts, [], day, ["_t", "sequence_id"], {"_before": "_t"})
+    opens = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > HOUR)
+    return O.carried(starts, [], day, ["_t", "sequence_id"], F.col("sequence_id"), "root", opens).drop("_t", "_before")
+
+
+def new_flags(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Flags of sequences that no stored flag has, whatever its reason: what a refresh adds."""
+    return found.join(stored.select("sequence_id").distinct(), "sequence_id", "left_anti")
+
+
+def open_flags(reviewed: DataFrame) -> DataFrame:
+    """Of flags with decision and root those that wait for a review: open or reopened, and not superseded by a root."""
+    return reviewed.where(F.col("decision").isin("open", "reopened") & (F.col("root") == F.col("sequence_id")))
 
 
 def flags(ledger: DataFrame) -> DataFrame:
@@ -69,14 +86,12 @@ def mass_deletions(ledger: DataFrame) -> DataFrame:
     """Deletions that are the first, middle or last of three within an hour."""
     rows = ledger.where("action = 'DELETE'").select("sequence_id", "employee_id", micros(F.col("created_at")).alias("_t"))
     day = 24 * HOUR
-    back = {"_b1": "_t"}
-    rows = O.previous(rows, [], F.floor(F.col("_t") / day), ["_t", "sequence_id"], back)
-    rows = O.previous(rows, [], F.floor(F.col("_t") / day), ["_t", "sequence_id"], {"_b2": "_b1"})
-    rows = rows.withColumn("_d", -F.col("_t")).withColumn("_s", -F.col("sequence_id"))
-    rows = O.previous(rows, [], F.floor(F.col("_d") / day), ["_d", "_s"], {"_a1": "_t"})
-    rows = O.previous(rows, [], F.floor(F.col("_d") / day), ["_d", "_s"], {"_a2": "_a1"})
-    near = (F.col("_a2") - F.col("_t") <= HOUR) | (F.col("_a1") - F.col("_b1") <= HOUR) | (F.col("_t") - F.col("_b2") <= HOUR)
-    return rows.where(near).select("sequence_id", "employee_id")
+    # Three within an hour: a row with the two before it. Their numbers name the rows, so each is found by one join.
+    rows = O.numbered(rows, [], F.floor(F.col("_t") / day), ["_t", "sequence_id"], "_n")
+    third = O.previous(rows, [], F.floor(F.col("_n") / BUCKET), ["_n"], {"_b": F.struct("_t", "_n")})
+    third = O.previous(third, [], F.floor(F.col("_n") / BUCKET), ["_n"], {"_bb": "_b"}).where(F.col("_t") - F.col("_bb._t") <= HOUR)
+    near = third.select(F.explode(F.array(F.col("_n"), F.col("_n") - 1, F.col("_n") - 2)).alias("_n")).distinct()
+    return rows.join(near, "_n", "left_semi").select("sequence_id", "employee_id")
 
 
 def review_state(flagged: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -85,6 +100,13 @@ def review_state(flagged: DataFrame, reviews: DataFrame) -> DataFrame:
     return flagged.join(last, "sequence_id", "left").withColumn("decision", F.coalesce("decision", F.lit("open")))
 
 
+def group_review_state(flagged: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Flags (sequence_id, root) with the latest decision on any flag of their group: a review of the root or of a
+    superseded flag holds for all of the group. All reviews stay; the last by (reviewed_at, review_id) counts."""
+    by_root = reviews.join(flagged.select("sequence_id", "root"), "sequence_id").groupBy("root").agg(F.max_by("decision", F.struct("reviewed_at", "review_id")).alias("decision"))
+    return flagged.join(by_root, "root", "left").withColumn("decision", F.coalesce("decision", F.lit("open")))
+
+
 def alerts(statuses: DataFrame) -> DataFrame:
     """Of (checked_at, status) the rows where the status changed, and the first unless it is intact."""
     t = micros(F.col("checked_at"))

@@ -19,7 +19,7 @@ def _edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Colu
     own = df if keep is None else df.where(keep)
     last = own.groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     if keep is not None:
-        last = df.select(*keys, "_bucket").distinct().join(last, [*keys, "_bucket"], "left")
+        last = _beside(df.select(*keys, "_bucket").distinct(), last, keys)
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     return last.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_edge"))
 
@@ -27,22 +27,31 @@ def _edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Colu
 def previous(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], columns: dict[str, str | Column]) -> DataFrame:
     """Adds, under the names in `columns`, values of the row before in `order` among rows of the same keys.
 
-    `bucket` must not fall as the order rises. Keys must not be null.
+    `bucket` must not fall as the order rises. Rows with null keys are one group more.
     """
     value = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
     df = df.withColumn("_bucket", bucket)
     within = W.partitionBy(*keys, "_bucket").orderBy(*order)
-    out = df.withColumn("_before", F.lag(value).over(within)).join(_edges(df, keys, order, value), [*keys, "_bucket"], "left")
+    out = _beside(df.withColumn("_before", F.lag(value).over(within)), _edges(df, keys, order, value), keys)
     both = F.coalesce("_before", "_edge")
     return out.select(*[c for c in df.columns if c != "_bucket"], *[both[n].alias(n) for n in columns])
 
 
+def _beside(rows: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the edge of their keys and bucket. Null keys are keys like any other."""
+    named = edges.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_at_bucket"), *[c for c in edges.columns if c not in (*keys, "_bucket")])
+    same = F.col("_bucket") == F.col("_at_bucket")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same, "left").drop("_at_bucket", *[f"_k{i}" for i in range(len(keys))])
+
+
 def carried(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str, when: Column) -> DataFrame:
     """Adds the value of the latest row, this one included, for which `when` holds."""
     df = df.withColumn("_bucket", bucket)
     boxed = F.struct(value.alias("v"))
     within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.withColumn("_own", F.last(F.when(when, boxed), ignorenulls=True).over(within)).join(_edges(df, keys, order, boxed, when), [*keys, "_bucket"], "left")
+    out = _beside(df.withColumn("_own", F.last(F.when(when, boxed), ignorenulls=True).over(within)), _edges(df, keys, order, boxed, when), keys)
     return out.select(*[c for c in df.columns if c != "_bucket"], F.coalesce("_own", "_edge")["v"].alias(name))
 
 
@@ -52,7 +61,7 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence
     sizes = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    out = df.withColumn("_at", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))).join(sizes, [*keys, "_bucket"])
+    out = _beside(df.withColumn("_at", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order))), sizes, keys)
     return out.select(*[c for c in df.columns if c != "_bucket"], (F.col("_start") + F.col("_at")).alias(name))
 
 
@@ -63,7 +72,8 @@ def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: S
     batch and one state, however many rows a key has; a single key is one chain and so one task's work.
     """
     schema = df.sparkSession.createDataFrame([], added).schema
-    dealt = (df.repartition(*keys) if keys else df.coalesce(1)).sortWithinPartitions(*keys, *order)
+    # Without keys rows go to one task through an exchange, so that reading and preparing them stays parallel.
+    dealt = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, start()

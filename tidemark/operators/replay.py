@@ -15,14 +15,30 @@ YEAR_DAYS, MONTH_DAYS = 365.2425, 30.4375
 def state(ledger: DataFrame, until: Column) -> DataFrame:
     """employee_id, key, value of every employee after the rows where `until` holds; one row for each key.
 
-    INSERT replaces the state, UPDATE merges its payload (a null value overwrites and keeps the key), DELETE clears it. So
-    only rows from the last INSERT or after the last DELETE count, and of these the last value of each key.
+    A state without keys has no row here; `documents` has one row for it.
     """
+    pairs = _live(ledger, until).select("employee_id", "sequence_id", F.explode(X.payload(F.col("new_value_text"))).alias("key", "value"))
+    return pairs.groupBy("employee_id", "key").agg(F.max_by("value", "sequence_id").alias("value"))
+
+
+def _live(ledger: DataFrame, until: Column) -> DataFrame:
+    """The rows that make up the state: INSERT replaces it, UPDATE merges its payload (a null value overwrites and keeps
+    the key), DELETE clears it, and so does an UPDATE without payload. So only rows from the last INSERT or after the
+    last of the others count."""
     rows = ledger.where((F.col("table_name") == "employees") & until)
-    reset = rows.where(F.col("action") != "UPDATE").groupBy("employee_id").agg(F.max(F.struct("sequence_id", "action")).alias("reset"))
+    resets = (F.col("action") != "UPDATE") | F.col("new_value_text").isNull()
+    reset = rows.where(resets).groupBy("employee_id").agg(F.max(F.struct("sequence_id", "action")).alias("reset"))
     live = rows.join(reset, "employee_id", "left").where(F.col("reset").isNull() | (F.col("sequence_id") > F.col("reset.sequence_id")) | ((F.col("sequence_id") == F.col("reset.sequence_id")) & (F.col("action") == "INSERT")))
-    pairs = live.select("employee_id", "sequence_id", F.explode(X.payload(F.col("new_value_text"))).alias("key", "value"))
-    return pairs.groupBy("employee_id", "key").agg(F.max_by("value", "sequence_id").alias("value"))
+    return live.where(F.col("new_value_text").isNotNull())
+
+
+def documents(ledger: DataFrame, until: Column) -> DataFrame:
+    """employee_id, state (a map, empty where no key is left): one row for every employee that has a state."""
+    rows = _live(ledger, until).withColumn("_p", F.coalesce(X.payload(F.col("new_value_text")), F.create_map().cast("map<string,string>")))
+    pairs = rows.select("employee_id", "sequence_id", F.explode_outer("_p").alias("key", "value"))
+    last = pairs.groupBy("employee_id", "key").agg(F.max_by("value", "sequence_id").alias("value"))
+    entries = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
+    return last.groupBy("employee_id").agg(F.map_from_entries(F.array_sort(entries)).alias("state"))
 
 
 def lookup_status(ledger: DataFrame, asked: DataFrame, until: Column) -> DataFrame:

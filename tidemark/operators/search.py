@@ -51,6 +51,34 @@ def page(rows: DataFrame, number: int, size: int, order: str = "sequence_id") ->
     return rows.orderBy(F.col(order).desc()).offset((number - 1) * size).limit(size)
 
 
+def explorer_page(rows: DataFrame, number: int, size: int, around_seq: int | None = None) -> tuple[DataFrame, int]:
+    """A page of the chain explorer (1 to 100 rows) and the count of all rows that the filters leave: a window about a
+    sequence narrows what is shown, not what is counted."""
+    size = min(max(size, 1), 100)
+    shown = rows if around_seq is None else around(rows, around_seq, size)
+    return page(shown, number if around_seq is None else 1, size), rows.count()
+
+
+def newest(rows: DataFrame, order: str, most: int = 50, number: int = 1) -> DataFrame:
+    """A page of the newest rows; ties keep the order of all other columns, so that pages do not overlap."""
+    return rows.orderBy(F.col(order).desc(), *[F.col(c).desc() for c in sorted(rows.columns) if c != order]).offset((number - 1) * most).limit(most)
+
+
+def of_actor(actions: DataFrame, actor: int, most: int = 50) -> DataFrame:
+    """The actor's last undoable actions, newest first."""
+    return newest(actions.where(F.col("actor_user_id") == actor), "action_id", most)
+
+
+def event_list(events: DataFrame, number: int, size: int) -> DataFrame:
+    """A page of security events, newest first, with the count of all."""
+    return newest(events, "event_id", size, number).crossJoin(events.agg(F.count(F.lit(1)).alias("total")))
+
+
+def flag_list(flagged: DataFrame) -> DataFrame:
+    """Flags newest first, without those that a root stands for."""
+    return flagged.where(F.col("root").isNull() | (F.col("root") == F.col("sequence_id"))).orderBy(F.col("sequence_id").desc())
+
+
 def cursor_page(rows: DataFrame, size: int, before: int | None = None, order: str = "sequence_id") -> DataFrame:
     """The newest `size` rows before a cursor, with next_cursor (null on the last page)."""
     left = rows if before is None else rows.where(F.col(order) < before)
@@ -104,6 +132,27 @@ def field_changes(ledger: DataFrame) -> DataFrame:
     return rows.select("sequence_id", "key", value("o").alias("old"), value("n").alias("new"), change.alias("change")).where("change IS NOT NULL")
 
 
+def change_counts(changes: DataFrame) -> DataFrame:
+    """By sequence: how many fields were added, removed and changed, and whether any key has an unusual form."""
+    odd = ~F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+    kinds = ("Added", "Removed", "Changed")
+    return changes.groupBy("sequence_id").agg(*[F.count_if(F.col("change") == k).cast("long").alias(k.lower()) for k in kinds], F.bool_or(odd).alias("anomalous"))
+
+
+def undo_preview(actions: DataFrame, current: DataFrame) -> DataFrame:
+    """For each action (action_id, employee_id, before, after_hash): whether it can be undone, and what that would change.
+
+    allowed: the employee's present state is still the one that the action left, by the digest of its sorted JSON.
+    changes: the keys whose value would become another, sorted. Without a present state nothing can be undone.
+    """
+    rows = actions.join(current.select("employee_id", F.col("state").alias("_now")), "employee_id", "left")
+    allowed = F.coalesce(undo_gate(F.col("_now"), F.col("after_hash")), F.lit(False))
+    now = F.coalesce("_now", F.create_map().cast("map<string,string>"))
+    keys = F.array_sort(F.array_union(F.map_keys(now), F.map_keys("before")))
+    differ = F.filter(keys, lambda k: ~F.try_element_at(now, k).eqNullSafe(F.try_element_at(F.col("before"), k)))
+    return rows.select("action_id", "employee_id", allowed.alias("allowed"), F.when(allowed, differ).otherwise(F.array().cast("array<string>")).alias("changes"))
+
+
 def undo_gate(current: Column, snapshot_hash: Column) -> Column:
     """Whether the present state is still the one that an undo was made for."""
     return F.sha2(X.sorted_json(current), 256) == snapshot_hash

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -13,6 +13,11 @@ from tidemark.operators import ordered as O
 #: Checkpoints that one window of a comparison looks at.
 BUCKET = 1 << 16
 FIELDS = ("checkpoint_id", "sequence_id", "checkpoint_hash", "merkle_root")
+#: What two checkpoint lists must agree on, and the form of published hashes and signatures.
+COMPARED = (*FIELDS, "signature_hex", "key_id")
+HEX_64, HEX_128 = "^[0-9a-f]{64}$", "^[0-9a-f]{128}$"
+#: Fixed value: the most witness signatures of a checkpoint.
+MOST_WITNESSES = 20
 
 
 def placed(checkpoints: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -22,31 +27,53 @@ def placed(checkpoints: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return O.numbered(rows, keys, F.floor(F.col("checkpoint_id") / BUCKET), ["checkpoint_id"], "place")
 
 
+def _matched(a: str, b: str, keys: Sequence[str]) -> Column:
+    """Rows of equal keys, null keys among them."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return same
+
+
 def differences(ours: DataFrame, theirs: DataFrame, interval: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """The keys, place, problem (ours_missing, theirs_missing, differs) wherever two lists do not agree, place by place.
     Checkpoints off the interval's multiples are no anchors and left out."""
     a, b = (placed(x.where(F.col("sequence_id") % interval == 0), keys) for x in (ours, theirs))
-    both = a.alias("a").join(b.alias("b"), [*keys, "place"], "full")
+    both = a.alias("a").join(b.alias("b"), _matched("a", "b", keys) & (F.col("a.place") == F.col("b.place")), "full")
     same = F.lit(True)
-    for f in FIELDS:
+    for f in COMPARED:
         same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
     problem = F.when(F.col("a.checkpoint_id").isNull(), "ours_missing").when(F.col("b.checkpoint_id").isNull(), "theirs_missing").when(~same, "differs")
-    return both.select(*keys, "place", problem.alias("problem")).where("problem IS NOT NULL")
+    named = [F.when(F.col("a.place").isNotNull(), F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in keys]
+    return both.select(*named, F.coalesce("a.place", "b.place").alias("place"), problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def well_formed(checkpoints: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds fit: whether a published checkpoint has positive, rising ids and sequences, hashes and signature in hex, and a
+    key id."""
+    hexes = [F.col(c).rlike(p) for c, p in (("checkpoint_hash", HEX_64), ("merkle_root", HEX_64), ("signature_hex", HEX_128))]
+    fit = F.col("rising") & (F.col("checkpoint_id") > 0) & (F.col("sequence_id") > 0) & hexes[0] & hexes[1] & hexes[2] & F.col("key_id").isNotNull()
+    return placed(checkpoints, keys).withColumn("fit", F.coalesce(fit, F.lit(False)))
 
 
 def compare(ours: DataFrame, theirs: DataFrame, interval: int = 1, minimum: int = 0, keys: Sequence[str] = ()) -> DataFrame:
-    """The keys and status, one row for each of their values in either list, or one row without keys: fail if the other
-    list is longer, differs, or our newest lies below the minimum; unknown if it does not rise or is shorter; else pass."""
+    """The keys, status and counts of problems, one row for each of their values in either list, or one row without keys.
+
+    In this order: unknown if the other list is malformed (see `well_formed`) or has no anchor; fail if its newest anchor
+    lies below the minimum, if it has an anchor that we do not have, or if any differs; unknown if it lacks one of ours,
+    which may wait for publication; else pass.
+    """
     kinds = ("ours_missing", "theirs_missing", "differs")
     found = differences(ours, theirs, interval, keys).groupBy(*keys).agg(*[F.count_if(F.col("problem") == x).alias(x) for x in kinds])
-    order = placed(theirs, keys).groupBy(*keys).agg(F.count_if(~F.col("rising")).alias("unordered"))
-    newest = ours.groupBy(*keys).agg(F.coalesce(F.max("sequence_id"), F.lit(0)).alias("newest"))
-    status = F.when(F.col("unordered") > 0, "unknown").when((F.col("ours_missing") > 0) | (F.col("differs") > 0) | (F.col("newest") < minimum), "fail").when(F.col("theirs_missing") > 0, "unknown").otherwise("pass")
+    anchor = F.col("sequence_id") % interval == 0
+    order = well_formed(theirs, keys).groupBy(*keys).agg(F.count_if(~F.col("fit")).alias("malformed"), F.coalesce(F.max(F.when(anchor, F.col("sequence_id"))), F.lit(0)).alias("newest"))
+    status = F.when((F.col("malformed") > 0) | (F.col("newest") == 0), "unknown").when((F.col("newest") < minimum) | (F.col("ours_missing") > 0) | (F.col("differs") > 0), "fail").when(F.col("theirs_missing") > 0, "unknown").otherwise("pass")
     if keys:
-        each = ours.select(*keys).union(theirs.select(*keys)).distinct()
-        both = each.join(found, [*keys], "left").join(order, [*keys], "left").join(newest, [*keys], "left").fillna(0, [*kinds, "unordered", "newest"])
+        each = ours.select(*keys).union(theirs.select(*keys)).distinct().alias("e")
+        both = each.join(found.alias("f"), _matched("e", "f", keys), "left").join(order.alias("o"), _matched("e", "o", keys), "left")
+        both = both.select(*[F.col(f"e.{k}").alias(k) for k in keys], *[F.coalesce(c, F.lit(0)).alias(c) for c in (*kinds, "malformed", "newest")])
     else:
-        both = found.crossJoin(order).crossJoin(newest)
+        both = found.crossJoin(order)
     return both.select(*keys, status.alias("status"), *kinds)
 
 
@@ -55,12 +82,51 @@ def forks(statements: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return statements.groupBy(*keys, "sequence_id").agg(F.count_distinct("merkle_root").alias("roots")).where("roots > 1")
 
 
-def quorum(statements: DataFrame, threshold: int, keys: Sequence[str] = ()) -> DataFrame:
-    """By the keys and sequence: fail if any statement is invalid, pass with enough distinct witnesses, keys and domains,
-    else unknown."""
-    rows = statements.groupBy(*keys, "sequence_id").agg(F.bool_and("valid").alias("ok"), *[F.count_distinct(c).alias(c) for c in ("witness", "key_id", "domain")])
-    enough = F.least("witness", "key_id", "domain") >= threshold
-    return rows.select(*keys, "sequence_id", F.when(~F.col("ok"), "fail").when(enough, "pass").otherwise("unknown").alias("status"))
+def quorum(statements: DataFrame, threshold: int, keys: Sequence[str] = (), origin_key: str | None = None) -> DataFrame:
+    """The keys, sequence_id, status, valid (statements that count) of witness statements (witness, key_id, domain, valid).
+
+    key_id and domain are what is configured for the witness, null where nothing is. fail: a witness without name or
+    named twice, a configured key or custody domain that another statement has too (or the origin's own key), a
+    signature that does not hold, or more than MOST_WITNESSES statements. Else unknown: trust that is not configured, or
+    fewer than `threshold`. Domains are compared without case and outer spaces.
+    """
+    domain = F.nullif(F.lower(F.trim("domain")), F.lit(""))
+    rows = statements.withColumn("_trusted", F.nullif("key_id", F.lit("")).isNotNull() & domain.isNotNull()).withColumn("_domain", domain)
+    trusted = lambda c: F.when(F.col("_trusted"), F.col(c))
+    rows = rows.groupBy(*keys, "sequence_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(F.nullif("witness", F.lit(""))).alias("names"), F.count_if("_trusted").alias("trusted"),
+        F.count_distinct(trusted("key_id")).alias("key_ids"), F.count_distinct(trusted("_domain")).alias("domains"),
+        F.count_if(F.col("_trusted") & F.coalesce("valid", F.lit(False))).alias("valid"), F.count_if(F.col("_trusted") & (F.col("key_id") == F.lit(origin_key))).alias("own"),
+    )
+    bad = (F.col("names") < F.col("n")) | (F.least("key_ids", "domains", "valid") < F.col("trusted")) | (F.col("own") > 0) | (F.col("n") > MOST_WITNESSES)
+    status = F.when(bad, "fail").when((F.col("trusted") < F.col("n")) | (F.col("valid") < threshold), "unknown").otherwise("pass")
+    return rows.select(*keys, "sequence_id", status.alias("status"), "valid")
+
+
+def heads(ours: DataFrame, published: DataFrame, statements: DataFrame, threshold: int, minimum: int = 0) -> DataFrame:
+    """One row, status and the number of witnesses of each kind: independent witnesses' whole histories against ours.
+
+    published: witness and checkpoints (COMPARED); statements: witness, prefix_digest, key_id, domain, valid of their
+    heads. A witness disagrees if a place of its history differs from ours; it has too much, or it lags, or its digest is
+    not that of our history, or it is current. Any that disagrees fails; else the quorum of the current ones decides, so
+    missing or lagging witnesses leave it unknown. Below the minimum nothing is known.
+    """
+    named = statements.select("witness").distinct()
+    a, b = placed(ours).alias("a"), placed(published, ["witness"]).alias("b")
+    same = F.lit(True)
+    for f in COMPARED:
+        same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
+    seen = b.join(a, F.col("a.place") == F.col("b.place"), "left").groupBy("b.witness").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.place").isNull()).alias("more"), F.count_if(F.col("a.place").isNotNull() & ~same).alias("other"))
+    last = prefix_digests(ours).agg(F.max_by("prefix_digest", "checkpoint_id").alias("_digest"), F.count(F.lit(1)).alias("_all"), F.coalesce(F.max("sequence_id"), F.lit(0)).alias("_newest"))
+    held = named.join(seen, "witness", "left").crossJoin(last).join(statements, "witness")
+    kind = F.when(F.col("more") > 0, "too_much").when(F.col("other") > 0, "disagrees").when(F.coalesce("n", F.lit(0)) < F.col("_all"), "lags").when(~F.col("prefix_digest").eqNullSafe(F.col("_digest")), "other_digest").otherwise("current")
+    held = held.withColumn("kind", kind)
+    current = quorum(held.where("kind = 'current'").withColumn("sequence_id", F.col("_newest")), threshold).select("status")
+    kinds = ("disagrees", "too_much", "lags", "other_digest", "current")
+    # Aggregates without keys give one row even where nothing is current.
+    out = held.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds]).crossJoin(last).crossJoin(current.agg(F.max("status").alias("_status")))
+    status = F.when((F.col("_all") == 0) | (F.col("_newest") < minimum) | F.lit(threshold < 2), "unknown").when(F.col("disagrees") > 0, "fail").otherwise(F.coalesce("_status", F.lit("unknown")))
+    return out.select(status.alias("status"), *kinds)
 
 
 def prefix_digests(checkpoints: DataFrame, tag: str = "prefix") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 #: The header, in order, and the most rows of a file.
 COLUMNS = ("full_name", "email", "job_title", "department", "national_id", "contact_info", "date_hired", "salary")
-MOST_ROWS = 100
+MOST_ROWS, MOST_CHARS = 100, 250_000
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +17,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(path)
 
 
+def file_faults(spark: SparkSession, path: str) -> DataFrame:
+    """For each file of a path: file, fault: header, too_many_rows, too_large, or null where it may be read.
+
+    The header must be exactly COLUMNS, in order; a byte order mark before it is ignored. Lines are counted as they stand,
+    so a quoted field over several lines counts as several.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("line")).where(F.trim("line") != "")
+    header = F.count_if(F.col("line") == ",".join(COLUMNS))
+    out = lines.groupBy("file").agg(header.alias("headers"), F.count(F.lit(1)).alias("lines"), F.sum(F.length("line") + 1).alias("chars"))
+    fault = F.when(F.col("headers") != 1, "header").when(F.col("lines") - 1 > MOST_ROWS, "too_many_rows").when(F.col("chars") > MOST_CHARS, "too_large")
+    return out.select("file", fault.alias("fault"))
+
+
 def faults(rows: DataFrame, roles: DataFrame, departments: DataFrame) -> DataFrame:
     """Adds faults, an array of names, empty for a good row."""
     known = roles.join(departments, "department_id").groupBy(F.lower("title").alias("_t"), F.lower("department").alias("_d")).agg(F.count(F.lit(1)).alias("_roles"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import text as X
-from tidemark.operators import checkpoints as K
+from tidemark.operators import detect
 
 
 def source(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -22,6 +22,14 @@ def source(spark: SparkSession, path: str, per_trigger: int | None = None) -> Da
     return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(path)
 
 
+def arriving(rows: DataFrame, path: str, order: str, files: int) -> None:
+    """Writes rows as `files` files of growing `order`, one after another: the stream reads files by their age."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    place = F.least(F.floor((F.col(order) - low) * files / ((high - low) or 1)), F.lit(files - 1)) if low is not None else F.lit(0)
+    for i in range(files):
+        rows.where(place == i).coalesce(1).write.mode("append").parquet(path)
+
+
 def chained(ledger: DataFrame, key: str = "employee_id") -> DataFrame:
     """sequence_id, key, chain_seq, previous_hash, entry_hash as rows arrive. State: each key's position and last hash.
 
@@ -51,10 +59,85 @@ def budgets(requests: DataFrame, key: str, at: str, seconds: int = 60, late: str
     return rows.groupBy(key, F.window(at, f"{seconds} seconds")).agg(F.count(F.lit(1)).alias("requests")).select(key, F.col("window.start").alias("start"), "requests")
 
 
-def sealing(latest: DataFrame, interval: int) -> DataFrame:
-    """For each ledger (keyed rows of its newest sequence) the sequence after which to seal, whenever one is due."""
-    rows = latest.groupBy("employee_id").agg(F.max("chain_seq").alias("latest"))
-    return rows.withColumn("after", K.scheduled_after(F.lit(None).cast("long"), F.col("latest"), interval)).where("after IS NOT NULL")
+def sealing(ledger: DataFrame, rows: int = 25, seconds: int | None = 60, key: str = "employee_id", idle: bool = False) -> DataFrame:
+    """key, sealed_after, sealed_at, reason, as rows (key, sequence_id, created_at) arrive: a checkpoint is due after
+    `rows` rows (count) or once a row comes `seconds` after the first that waits (time); the count is tested first.
+
+    State: how many rows are sealed, how many wait, and since when. With `idle` a processing-time timer also seals what
+    has waited that long while nothing came. A key's new rows of a micro-batch are sorted in memory.
+    """
+
+    def grow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, waiting, since = state.get if state.exists else (0, 0, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((group[0], done, done + waiting, "time"))
+            done, waiting = done + waiting, 0
+        else:
+            new = pd.concat(list(parts)).sort_values("sequence_id")
+            for t in new["micros"]:
+                since = int(t) if not waiting else since
+                waiting += 1
+                reason = "count" if waiting >= rows else "time" if seconds is not None and t - since >= seconds * 1_000_000 else None
+                if reason:
+                    out.append((group[0], done, done + waiting, reason))
+                    done, waiting = done + waiting, 0
+        state.update((done, waiting, since))
+        if idle and waiting and seconds is not None:
+            state.setTimeoutDuration(seconds * 1000)
+        yield pd.DataFrame(out, columns=[key, "sealed_after", "sealed_at", "reason"])
+
+    timed = ledger.select("sequence_id", key, detect.micros(F.col("created_at")).alias("micros"))
+    timer = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return timed.groupBy(key).applyInPandasWithState(grow, f"{key} int, sealed_after long, sealed_at long, reason string", "done long, waiting long, since long", "append", timer)
+
+
+def transitions(statuses: DataFrame, key: str = "monitor") -> DataFrame:
+    """key, checked_at, status, before: the rows of (key, checked_at, status) whose status is not that of the one before;
+    before the first it counts as intact. State: the last status."""
+
+    def follow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get[0] if state.exists else "intact"
+        out = []
+        for t, now in pd.concat(list(parts)).sort_values("checked_at")[["checked_at", "status"]].itertuples(index=False):
+            if now != before:
+                out.append((group[0], t, now, before))
+            before = now
+        state.update((before,))
+        yield pd.DataFrame(out, columns=[key, "checked_at", "status", "before"])
+
+    return statuses.select(key, F.col("checked_at").cast("long").alias("checked_at"), "status").groupBy(key).applyInPandasWithState(follow, f"{key} string, checked_at long, status string, before string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def fresh(contexts: DataFrame, nonce: str = "nonce", at: str = "issued_at", keep: str = "6 hours") -> DataFrame:
+    """Contexts whose nonce has not been seen within `keep`; older nonces leave the state."""
+    return contexts.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, keep).dropDuplicatesWithinWatermark([nonce])
+
+
+def detected(stream: DataFrame, base: str, per: str = "detect") -> Callable[[], DataFrame]:
+    """The periodic detector: keeps each micro-batch's rows and works out the flags of all rows kept, so that changes,
+    bursts and precedence hold across batches. Returns a function that reads the flags of the newest batch.
+
+    Rows and flags of a batch go to folders of its number and replace what is there, so a batch that runs again changes
+    nothing. Like the service that it stands for, each refresh looks at the whole ledger.
+    """
+    spark = stream.sparkSession
+    schema = stream.schema
+
+    def work(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/{per}-rows/batch={batch}")
+        # A batch that was cut short may have left a later folder; only those up to this one count.
+        kept = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", f"{base}/{per}-rows").parquet(f"{base}/{per}-rows").where(F.col("batch") <= batch).drop("batch")
+        detect.flags(kept).write.mode("overwrite").parquet(f"{base}/{per}-flags/batch={batch}")
+
+    each_batch(stream, work, f"{base}/{per}-state").awaitTermination()
+
+    def newest() -> DataFrame:
+        found = spark.read.parquet(f"{base}/{per}-flags")
+        last = found.agg(F.max("batch")).first()[0]
+        return found.where(F.col("batch") == last).drop("batch")
+
+    return newest
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
