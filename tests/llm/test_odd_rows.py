@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,39 @@ def test_ngram_join_of_chained_copies(spark):
     assert Counter(tuple(r) for r in ngramjoin.near_duplicates(df).collect()) == brute_groups(rows)
 
 
+def test_ngram_join_of_half_similar_texts(spark):
+    """Groups whose members share much and link with few; sets of one shingle to thousands."""
+    rng = random.Random(4)
+    rows = []
+    for size, many, share in ((400, 40, 0.97), (400, 40, 0.985), (60, 40, 0.96), (2500, 8, 0.995), (12, 30, 0.95), (5, 10, 0.9), (3, 10, 0.8)):
+        base = _prose(rng, size).split()
+        for _ in range(many):
+            rows.append((len(rows), " ".join(w if rng.random() < share else rng.choice(NAMES) for w in base)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = Counter(tuple(r) for r in ngramjoin.near_duplicates(df).collect())
+    assert got == brute_groups(rows) and 1 < len({r[2] for r in got}) < len(rows)
+
+
+@pytest.mark.parametrize("block", [1 << 11, 1 << 20])
+def test_count_tree_lets_every_linked_pair_through(block, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in (20, 70, 130, 300):
+        base = rng.integers(0, 2**63, size, np.int64).astype(np.uint64)
+        for _ in range(25):
+            own = base.copy()
+            change = rng.random(size) < rng.choice([0.02, 0.1, 0.3])
+            own[change] = rng.integers(0, 2**63, int(change.sum()), np.int64).astype(np.uint64)
+            sets.append(np.unique(own)[: size - int(rng.integers(0, size // 4))])
+    n = len(sets)
+    side = np.zeros(n, np.int64)
+    table = pa.table({"home": np.zeros(n, np.int64), "pair": np.zeros(n, np.int64), "side": side, "rep": np.arange(n), "component": np.arange(n), "n": np.array([len(x) for x in sets]), "rest": np.array([len(x) for x in sets]), "point": pa.array([ngramjoin.point(x) for x in sets], pa.binary())})
+    monkeypatch.setattr(ngramjoin, "QUERIES", 7 if block < 1 << 12 else 256)
+    got = {(r["a"], r["b"]) for r in ngramjoin._search(table, 80).to_pylist()}
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert want and want <= got and len(got) < 2 * len(want) + 200
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -322,6 +357,8 @@ def test_substring_levels(spark):
     rows += [(40, _prose(rng, 13) + " x"), (41, _prose(rng, 13) + " y")]
     rows.append((42, f"{rows[-2][1][:-2]} {rows[-1][1][:-2]}"))
     rows += [(43, " ".join(["again"] * 60)), (44, " ".join(["again"] * 40)), (44, None), (None, rows[0][1])]
+    # Two texts of one doc_id, each with its own repeats.
+    rows += [(45, " ".join(pool[5:45])), (45, f"{_prose(rng, 3)} {' '.join(pool[100:130])}")]
     want = brute_repeats(rows)
     assert {x[4] for x in want} >= {0, 13, 26, 52, 104, 208}
     for parts in (1, 6):

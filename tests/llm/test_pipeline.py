@@ -6,7 +6,7 @@ from tests.parity import SF, same
 from tidemark.llm import queries
 
 
-@pytest.mark.parametrize("name", [n for n in sorted(queries.ORACLE) if not n.startswith(("op2_", "op9_"))])
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     got, wanted = same(spark, queries.QUERIES[name], queries.ORACLE[name])
     assert got == wanted

@@ -48,10 +48,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of settled steps now: its cleaner acts when the driver collects garbage,
-    which a driver with little to do may not do for half an hour. The second round takes what the first let go of."""
+    which a driver with little to do may not do for half an hour. The second round takes what the first let go of.
+    Nothing depends on it but disk; a session without a driver's JVM at hand, as in Spark Connect, goes on without."""
     for _ in range(2):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        if not hasattr(spark, "_jvm"):
+            return
+        spark._jvm.System.gc()
         time.sleep(0.6)
 
 

@@ -1,12 +1,13 @@
 """Removal of word sequences that an earlier document has already, and how long these repeats are.
 
-Level-wise doubling: every window of `width` words is looked at, its hash goes to a shard, and the shard tells who has it
-besides. Windows of twice the length are looked at only where both halves are repeated, and so on, until no candidates
-survive. A level carries the places and hashes of its candidates; the hash of a doubled window is made of its halves'.
-
-The words to remove follow from the windows of the first level, as every longer repeat is covered by them; the levels
-above tell how long the longest repeat of each document is. Each level is written to the shared folder, so that a lost
-executor costs one level at most.
+Level-wise doubling: every window of half of `width` words, rounded up, is looked at, its hash goes to a shard, and the
+shard tells who has it besides. A window of `width` words is looked at only where both its halves are repeated (they
+overlap by a word where the width is odd); then those of twice the length whose halves are repeats of `width` words, and
+so on, until no candidates survive. A level carries the places and hashes of its candidates; the hash of a longer window
+is made of its halves'.
+
+The level of `width` words tells which words go, the levels above how long the longest repeat of each document is. Each
+level is written to the shared folder, so that a lost executor costs one level at most.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import common as C
 from tidemark.llm import postings as P
@@ -31,7 +33,7 @@ _SENT = {"to": pa.int64(), "shard": pa.int64(), "slice": pa.int64(), "docs": pa.
 _SENT_SQL = "to long, shard long, slice long, docs binary, at binary, hashes binary, role byte"
 _REPLY = {"slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "later": pa.bool_()}
 _REPLY_SQL = "slice long, docs binary, at binary, hashes binary, later boolean"
-_STATE_SQL = "doc_id long, later boolean, at binary, hashes binary"
+_STATE_SQL = "doc_id long, t long, later binary, at binary, hashes binary"
 
 
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,12 +168,16 @@ def _ask(sent: DataFrame, shards: int) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+
+
+def half(width: int) -> int:
+    return -(-width // 2)
 
 
-def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, hashes, firsts (arrays of binary, 8 bytes a window): the windows that start in a document of smaller
-    doc_id too; and those that start in one of larger doc_id only.
+def repeats(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, hashes, firsts (arrays of binary, 8 bytes a window): the windows of `width` words that start in a document
+    of smaller doc_id too; and those that start in one of larger doc_id only.
 
     One row for each doc_id that has any. A null doc_id is compared with nothing.
     """
@@ -185,11 +191,11 @@ def _dealt(n_bytes: int) -> tuple[int, int]:
     return P.n_shards(n_bytes), C.shards_for(n_bytes)
 
 
-def doubled(at: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of twice the width whose halves are both among the given; at rises."""
-    other = np.searchsorted(at, at + width)
+def joined(at: np.ndarray, h: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows whose halves, `step` words apart, are both among the given; at rises."""
+    other = np.searchsorted(at, at + step)
     has = other < len(at)
-    has[has] = at[other[has]] == at[has] + width
+    has[has] = at[other[has]] == at[has] + step
     return at[has], C.spread(h[has] * _ODD + h[other[has]])
 
 
@@ -197,114 +203,115 @@ def _known(*replies: list | None) -> np.ndarray:
     return np.frombuffer(b"".join(x for reply in replies for x in reply or ()), np.uint64)
 
 
-def _state(rows: list[tuple[int, bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    ids, later, at, h = zip(*rows) if rows else ((), (), (), ())
-    places = [zlib.compress(np.diff(x.astype(np.int64), prepend=np.int64(0)).tobytes(), 1) for x in at]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(later, pa.bool_()), pa.array(places, pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "later", "at", "hashes"])
+def _places(at: np.ndarray) -> bytes:
+    return zlib.compress(np.diff(at.astype(np.int64), prepend=np.int64(0)).tobytes(), 1)
+
+
+def _placed(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.int64))
 
 
-def _second_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of twice the width, from texts and the first level's replies."""
+def _state(rows: list[tuple[int, int, bytes | None, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids, t, later, at, h = zip(*rows) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(t, pa.int64()), pa.array(later, pa.binary()), pa.array(map(_places, at), pa.binary()), pa.array([x.tobytes() for x in h], pa.binary())], names=["doc_id", "t", "later", "at", "hashes"])
+
+
+def _first_candidates(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of `width` words, from texts and the replies about their halves."""
     for batch in C.slices(batches):
-        ids = batch.column("doc_id").to_pylist()
+        ids, t = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
         replies = list(zip(batch.column("hashes").to_pylist(), batch.column("firsts").to_pylist()))
-        h, owner, at, off = windows(C.plain(batch.column("text")), width)
+        h, owner, at, off = windows(C.plain(batch.column("text")), half(width))
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
         out = []
         for i, reply in enumerate(replies):
             mine = slice(edge[i], edge[i + 1])
             hit = np.isin(h[mine], _known(*reply))
-            places, hashes = doubled(at[mine][hit] - off[i], h[mine][hit], width)
+            places, hashes = joined(at[mine][hit] - off[i], h[mine][hit], width - half(width))
             if len(places):
-                out.append((ids[i], False, places, hashes))
+                out.append((ids[i], t[i], None, places, hashes))
         yield _state(out)
 
 
-def _next_level(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Whether a candidate of this width is a repeat, and the candidates of twice the width."""
+def _next_candidates(batches: Iterator[pa.RecordBatch], width: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """Where a document's candidates of this width are repeats of smaller ids, and its candidates of twice the width."""
     for batch in batches:
         out = []
-        for doc, at, h, later, firsts in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "at", "hashes", "laters", "firsts"))):
-            at, h = np.cumsum(np.frombuffer(zlib.decompress(at), np.int64)), np.frombuffer(h, np.uint64)
-            hit = np.isin(h, _known(later, firsts))
-            is_later = bool(np.isin(h, _known(later)).any())
-            out.append((doc, is_later, *doubled(at[hit], h[hit], width)))
+        for doc, t, at, h, later, firsts in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "t", "at", "hashes", "laters", "firsts"))):
+            at, h = _placed(at), np.frombuffer(h, np.uint64)
+            is_later = np.isin(h, _known(later))
+            hit = is_later | np.isin(h, _known(firsts))
+            where = _places(at[is_later]) if is_later.any() else None
+            out.append((doc, t, where, *(joined(at[hit], h[hit], width) if not last else (at[:0], h[:0]))))
         yield _state(out)
 
 
-def longest(docs: DataFrame, found: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, longest_repeat: the largest length, of width and its doublings, at which a window of the document also
-    starts in a document of smaller doc_id. found: what `repeats` gives. Documents without repeats have no row.
+def levels(docs: DataFrame, width: int = WIDTH, most: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """(length, state) for `width` and its doublings until no candidates survive, or up to `most` words.
 
-    The number of levels is the logarithm of the longest repeat.
+    state: doc_id, t (hash of the text), later (places of the windows that start in a document of smaller id too; null without any), and the
+    candidates of twice the length. Rows of one doc_id have a row each. The number of levels is the logarithm of the
+    longest repeat.
     """
-    levels = [found.where(F.size("hashes") > 0).select("doc_id", F.lit(width).cast("long").alias("longest_repeat"))]
-    state = C.settle(_rows(docs).join(found, "doc_id").mapInArrow(lambda batches: _second_level(batches, width), _STATE_SQL), f"repeats-{2 * width}")
-    length = 2 * width
+    halves = C.settle(repeats(docs, half(width)), f"repeats-{half(width)}")
+    C.free_shuffles(docs.sparkSession)
+    state = C.settle(_rows(docs).join(halves, "doc_id").mapInArrow(lambda batches: _first_candidates(batches, width), _STATE_SQL), f"repeats-{width}-asked")
+    length = width
     while n_bytes := C.text_bytes(state, "hashes"):
         C.free_shuffles(docs.sparkSession)
-        state = C.settle(_raised(state, length, n_bytes), f"repeats-{2 * length}")
-        levels.append(state.where("later").select("doc_id", F.lit(length).cast("long").alias("longest_repeat")))
+        last = most is not None and 2 * length > most
+        state = C.settle(_raised(state, length, n_bytes, last), f"repeats-{length}")
+        yield length, state
         state = state.where(F.octet_length("hashes") > 0)
         length *= 2
     C.free_shuffles(docs.sparkSession)
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every.groupBy("doc_id").agg(F.max("longest_repeat").alias("longest_repeat"))
 
 
-def _raised(state: DataFrame, length: int, n_bytes: int) -> DataFrame:
+def _raised(state: DataFrame, length: int, n_bytes: int, last: bool) -> DataFrame:
     """The candidates of one length asked for, and what survives to be candidates of the next."""
     shards, tasks = _dealt(n_bytes)
     found = _ask(state.mapInArrow(lambda batches: _send_state(batches, shards, tasks), _SENT_SQL), shards)
-    both = state.select("doc_id", "at", "hashes").join(found.withColumnRenamed("hashes", "laters"), "doc_id")
-    return both.mapInArrow(lambda batches: _next_level(batches, length), _STATE_SQL)
-
-
-def _covered(h: np.ndarray, owner: np.ndarray, at: np.ndarray, off: np.ndarray, replies: list, width: int) -> np.ndarray:
-    """Which words lie in a window that the replies name for the window's text."""
-    covered = np.zeros(off[-1] + 1, np.int32)
-    edge = np.searchsorted(owner, np.arange(len(replies) + 1))
-    for i, reply in enumerate(replies):
-        if reply:
-            mine = slice(edge[i], edge[i + 1])
-            hit = at[mine][np.isin(h[mine], np.frombuffer(b"".join(reply), np.uint64))]
-            np.add.at(covered, hit, 1)
-            np.add.at(covered, hit + width, -1)
-    return np.cumsum(covered)[:-1] > 0
+    both = state.select("doc_id", "t", "at", "hashes").join(found.withColumnRenamed("hashes", "laters"), "doc_id")
+    return both.mapInArrow(lambda batches: _next_candidates(batches, length, last), _STATE_SQL)
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id",), lengths: bool = True) -> DataFrame:
     """One row for each row of docs: the columns `keep`, kept_text, n_words, n_removed, longest_repeat.
 
     Removed are the words covered by a window of `width` consecutive words whose word sequence also starts in a document
     of smaller doc_id; windows are judged on the input. What is left is joined by single spaces; so a text without
     removals comes back with its white space normalised. A null text has no words and gives an empty one. Rows of equal
     doc_id never remove each other's words. A null doc_id removes nothing and loses nothing. A text shorter than the
-    window stays whole. longest_repeat is the length that `longest` gives, or 0. An empty table gives an empty result; other columns may have any name.
+    window stays whole. longest_repeat: the largest length, of `width` and its doublings, at which a window of the
+    doc_id also starts in a document of smaller id, else 0; without `lengths` the levels above `width` are left out, and
+    it is 0 or `width`. An empty table gives an empty result; other columns may have any name.
     """
-    found = C.settle(repeats(docs, width), f"repeats-{width}")
-    C.free_shuffles(docs.sparkSession)
-    lengths = longest(docs, found, width)
-    found = found.select("doc_id", "hashes").join(lengths, "doc_id")
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
-    both = rows.join(found.withColumnRenamed("doc_id", "id"), "id", "left").select(*[f"k{i}" for i in range(len(keep))], "text", "hashes", F.coalesce("longest_repeat", F.lit(0)).cast("long").alias("longest"))
-    schema = ", ".join([*(f"k{i} {both.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))), "kept_text string, n_words long, n_removed long, longest_repeat long"])
+    found = longest = None
+    for length, state in levels(docs, width, None if lengths else width):
+        later = state.where(F.col("later").isNotNull())
+        own = later.select("doc_id", F.lit(length).cast("long").alias("length"))
+        longest = own if longest is None else longest.unionByName(own)
+        if found is None:
+            # Rows of one doc_id may have different texts, with repeats at different places.
+            found = later.groupBy("doc_id").agg(F.collect_set(F.struct("t", "later")).alias("later"))
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.xxhash64("text").alias("t"))
+    if found is None:
+        both = rows.withColumns({"later": F.lit(None).cast("array<struct<t:long,later:binary>>"), "longest": F.lit(0).cast("long")})
+    else:
+        found = found.join(longest.groupBy("doc_id").agg(F.max("length").alias("longest")), "doc_id")
+        both = rows.join(found.withColumnRenamed("doc_id", "id"), "id", "left")
+    both = both.select(*[f"k{i}" for i in range(len(keep))], "text", "t", "later", F.coalesce("longest", F.lit(0)).cast("long").alias("longest"))
+    schema = T.StructType([both.schema[f"k{i}"] for i in range(len(keep))] + [T.StructField("kept_text", T.StringType())] + [T.StructField(x, T.LongType()) for x in ("n_words", "n_removed", "longest_repeat")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
-            texts = C.plain(batch.column("text"))
-            replies = batch.column("hashes").to_pylist()
-            split = [x.encode().split() for x in texts.to_pylist()]
+            split = [x.encode().split() for x in C.plain(batch.column("text")).to_pylist()]
             n_words = np.array([len(x) for x in split], np.int64)
             removed = np.zeros(len(split), np.int64)
-            some = np.flatnonzero([bool(x) for x in replies])
-            if len(some):
-                h, owner, at, off = windows(texts.take(pa.array(some)), width)
-                covered = _covered(h, owner, at, off, [replies[i] for i in some], width)
-                for j, i in enumerate(some):
-                    gone = covered[off[j] : off[j + 1]]
+            for i, (t, found) in enumerate(zip(batch.column("t").to_pylist(), batch.column("later").to_pylist())):
+                where = next((x["later"] for x in found or () if x["t"] == t), None)
+                if where is not None:
+                    gone = _covered(_placed(where), len(split[i]), width)
                     removed[i] = int(gone.sum())
                     split[i] = [w for w, x in zip(split[i], gone) if not x]
             kept = pa.array([b" ".join(x).decode() for x in split], pa.string())
@@ -314,25 +321,45 @@ def dedup(docs: DataFrame, width: int = WIDTH, keep: tuple[str, ...] = ("doc_id"
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "kept_text", "n_words", "n_removed", "longest_repeat")
 
 
+def _covered(places: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Which of n words lie in a window of `width` words at one of the places, each given once."""
+    covered = np.zeros(n + 1, np.int32)
+    covered[places] += 1
+    covered[places + width] -= 1
+    return np.cumsum(covered)[:-1] > 0
+
+
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Digest of the removal over all documents."""
+    """Digest of the removal over all documents, and how long each one's longest repeat is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "longest_repeat")
+
+
+def _raised_sql(level: int) -> str:
+    """Windows of twice the length of a level: pairs of its windows that more than one document has, numbered anew."""
+    step = WIDTH << level
+    return f"""g{level} AS MATERIALIZED (SELECT doc_id, r, i, g, min(doc_id) OVER p AS least, max(doc_id) OVER p AS most FROM n{level} WINDOW p AS (PARTITION BY g)),
+n{level + 1} AS MATERIALIZED (SELECT a.doc_id, a.r, a.i, dense_rank() OVER (ORDER BY a.g, b.g) AS g FROM g{level} a JOIN g{level} b ON b.r = a.r AND b.i = a.i + {step} WHERE a.least < a.most AND b.least < b.most)"""
 
 
+#: Doublings that the SQL follows: windows of up to WIDTH * 2 ** LEVELS words, more than the longest text of the tables.
+LEVELS = 11
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), x AS (
   SELECT doc_id, r, unnest(generate_series(1, len(w) - 12)) AS i, w FROM d WHERE len(w) >= 13
-), y AS (
-  SELECT doc_id, r, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS least FROM x
-), gone AS (
-  SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(generate_series(i, i + 12)) AS p FROM y WHERE least < doc_id) GROUP BY r
+), n0 AS MATERIALIZED (
+  SELECT doc_id, r, i, dense_rank() OVER (ORDER BY array_to_string(w[i:i + 12], ' ')) AS g FROM x
+), """ + ",\n".join(map(_raised_sql, range(LEVELS))) + r""", gone AS (
+  SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(generate_series(i, i + 12)) AS p FROM g0 WHERE least < doc_id) GROUP BY r
+), lengths AS (
+  SELECT doc_id, max(length) AS length FROM (""" + " UNION ALL ".join(f"SELECT doc_id, {WIDTH << k} AS length FROM g{k} WHERE least < doc_id" for k in range(LEVELS)) + r""") GROUP BY 1
 ), k AS (
   SELECT doc_id, w, coalesce(len(ps), 0) AS n,
          CASE WHEN ps IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, generate_series(1, len(w))), lambda z: NOT list_contains(ps, z[2])), lambda z: z[1]) END AS kept
   FROM d LEFT JOIN gone USING (r)
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256, coalesce(length, 0)::BIGINT AS longest_repeat
+FROM k LEFT JOIN lengths ON lengths.doc_id = k.doc_id
 """
