@@ -79,6 +79,86 @@ def test_lm_scores(spark, docs):
     assert lmscore.score(empty(spark), held).count() == 0
 
 
+def brute_tree(train, text, depth):
+    """log10 probability of a text by a context-tree mixture over all contexts of the training texts, in plain floats:
+    the frozen KT estimates of a node and of its child are weighed by the evidence of both on the training part."""
+    def symbols(t):
+        return [255] * depth + list("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode()) + [255]
+    seen = {}
+    for t in train:
+        s = symbols(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                seen.setdefault(tuple(s[i - d : i][::-1]), Counter())[s[i]] += 1
+    def split(context, u):
+        """(zeros, ones) of the decision at u, the symbol's leading bits after a 1."""
+        bits, out = u.bit_length() - 1, [0, 0]
+        for x, n in seen.get(context, Counter()).items():
+            if x >> (8 - bits) == u - (1 << bits):
+                out[x >> (7 - bits) & 1] += n
+        return out
+    def kt(z, o):
+        return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+    children = {}
+    for c in seen:
+        if c:
+            children.setdefault(c[:-1], []).append(c)
+    def weighted(c, u):
+        own = kt(*split(c, u))
+        if c not in children:
+            return own, 1.0
+        below = sum(weighted(x, u)[0] for x in children[c])
+        top = max(own, below)
+        both = top + math.log(0.5 * math.exp(own - top) + 0.5 * math.exp(below - top))
+        return both, 0.5 * math.exp(own - both)
+    memo = {}
+    def node(c, u):
+        if (c, u) not in memo:
+            z, o = split(c, u)
+            memo[c, u] = (weighted(c, u)[1], (o + 0.5) / (z + o + 1))
+        return memo[c, u]
+    total, s = 0.0, symbols(text)
+    for i in range(depth, len(s)):
+        u = 1
+        for k in range(7, -1, -1):
+            bit, one, open_ = s[i] >> k & 1, 0.0, 1.0
+            for d in range(depth + 1):
+                c = tuple(s[i - d : i][::-1])
+                if c not in seen:
+                    # Bytes outside the children that were seen: a node without counts.
+                    one += open_ * 0.5
+                    break
+                keep, p = node(c, u)
+                one += open_ * keep * p
+                open_ *= 1 - keep
+                if c not in children:
+                    break
+            total += math.log10(one if bit else 1 - one)
+            u = 2 * u + bit
+    return total
+
+
+def test_context_tree_equals_brute_force(spark):
+    train = ["abab", "abba", "BAB", None, "", "a\u00e9", "abab"]
+    df = spark.createDataFrame([(t,) for t in train], "text string").repartition(3)
+    asked = ["abab", "", None, "zz", "\u00e9a", "Ab" * 9]
+    for depth in (0, 1, 2):
+        tree = lmscore.train(df, depth, 0.0)
+        got = tree.scores(pa.array([t or "" for t in asked], pa.large_string()))
+        for t, x in zip(asked, got):
+            assert x == pytest.approx(brute_tree(train, t, depth), rel=2e-4, abs=2e-4)
+
+
+def test_word_scores_do_not_depend_on_what_is_frequent(spark, docs):
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")
+    found = []
+    for share in (1.0, 0.01, 1e-9):
+        rows = lmscore.score(docs, held, frequent=share).collect()
+        found.append(sorted(((*(str(r[x]) for x in names), round(r["base_score"], 6)) for r in rows)))
+    assert found[0] == found[1] == found[2]
+
+
 def test_context_tree_is_a_distribution_and_learns(spark):
     import numpy as np
     import pyarrow as pa
