@@ -396,6 +396,47 @@ def test_decontamination(spark):
     assert decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 150])
+def test_decontamination_recall_against_exhaustive_lcs(spark, monkeypatch, block):
+    """Candidate search against the LCS of every item with the surroundings of every passage: short and long items, copies
+    and paraphrases, items with words in common."""
+    monkeypatch.setattr(decontam, "ITEM_BLOCK", block)
+    monkeypatch.setattr(decontam, "MODEL_BYTES", 3 << 19)
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(6000)] + NAMES
+    draw = lambda n: [names[min(int(rng.paretovariate(0.35)) - 1, len(names) - 1)] if rng.random() < 0.5 else rng.choice(names) for _ in range(n)]
+    items = [(i, draw(rng.choice([8, 12, 20, 38, 70]))) for i in range(400)]
+    rows = []
+    for d in range(300):
+        text = draw(rng.randint(20, 260))
+        for _, item in rng.sample(items, 2) if d % 2 else ():
+            keep = rng.choice([1.0, 0.9, 0.75])
+            at = rng.randrange(len(text))
+            text[at:at] = [w if rng.random() < keep else rng.choice(names) for w in item]
+        rows.append((d, " ".join(text)))
+    seqs = {i: {} for i, _ in items}
+    size = {i: len(x) for i, x in items}
+    for i, x in items:
+        for j, w in enumerate(x):
+            seqs[i][w] = seqs[i].get(w, 0) | 1 << j
+    want = set()
+    for d, t in rows:
+        ws = t.split()
+        for i, item in items:
+            n = size[i]
+            if len(set(ws) & set(item)) * 2 < len(set(item)):
+                continue
+            for first in range(0, len(ws), decontam.STRIDE):
+                around = ws[max(0, first - n) : first + decontam.PASSAGE + n]
+                if decontam.lcs(seqs[i], n, around) >= decontam.LCS_COPY * n:
+                    want.add((d, i))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")).where("direct").collect()}
+    assert got <= want and len(want) > 150
+    recall = len(got & want) / len(want)
+    print("recall", recall, len(want))
+    assert recall >= 0.97
+
+
 def brute_repeats(rows, width=13):
     """(doc_id, kept text, words, removed, longest repeat) of each row, by a table of all windows of each length."""
     split = [(d, words(t)) for d, t in rows]
