@@ -29,10 +29,17 @@ class _Rows:
     def keyed(self, distinct: bool) -> DataFrame:
         """Adds row_id, another one for each row: doc_id where no other row has it; of rows that share one, the first by
         content has it, and the rest, like rows without, have numbers beyond all doc_ids. With `distinct`, rows that are
-        equal in every column count once."""
+        equal in every column count once.
+
+        Which doc_ids are shared is worked out from ids alone and written, so that its size is known when texts are joined
+        with it: few ids are broadcast by Spark's own threshold, and the texts of the other rows stay where they are."""
         key = F.xxhash64(*[F.col(c).cast("string") for c in self.own])
-        top = self.plain.agg(F.max(self.id)).first()[0] or 0
+        top, unnamed = self.plain.agg(F.max(self.id), F.count_if(F.col(self.id).isNull())).first()
+        top = top or 0
         shared = self.plain.where(F.col(self.id).isNotNull()).groupBy(F.col(self.id).alias("shared")).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("shared")
+        shared = C.settle(shared, "pipeline-shared-ids")
+        if not unnamed and shared.isEmpty():
+            return self.plain.withColumn("row_id", F.col(self.id).cast("long"))
         once = self.plain.where(F.col(self.id).isNotNull()).join(shared, F.col(self.id) == F.col("shared"), "left_anti").withColumn("row_id", F.col(self.id).cast("long"))
         rest = self.plain.where(F.col(self.id).isNull()).unionByName(self.plain.join(shared, F.col(self.id) == F.col("shared"), "left_semi"))
         rest = (rest.dropDuplicates() if distinct else rest).withColumn("content", key)
