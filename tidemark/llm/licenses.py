@@ -1,11 +1,12 @@
 """License notices by an exact set-similarity join of text blocks with templates.
 
-Blocks are the lines of a text, or windows over its words, as sets of words; a template matches a block that has at least
-the share THRESHOLD of the template's words. Windows are twice as long as the longest template and start every template
-length, so that a notice of no more words lies within one, however it is wrapped, and words further apart do not meet. Words are ordered by how many documents have them, rarest first. Sets that reach the threshold
-share a word among the first few of each (prefix filter); a block must have enough of the templates' words (length
-filter), and the places of the first shared word must leave room for enough others (positional filter). The pairs that
-pass are counted out. The templates are a parameter of a few hundred words at most, and that bound is checked.
+Blocks are windows over a text's words, or its lines, as sets of words; a template matches a block that has at least the
+share THRESHOLD of the template's words. Windows are twice as long as the longest template and start every template
+length, so that a notice of no more words lies within one, however it is wrapped, and words further apart do not meet.
+Words are ordered by how many documents have them, rarest first. Sets that reach the threshold share a word among the
+first few of each (prefix filter); a block must have enough of the templates' words (length filter), and the places of the
+first shared word must leave room for enough others (positional filter). The pairs that pass are counted out. The templates
+are a parameter of a few hundred words at most, and that bound is checked.
 
 Everything here is DataFrame expressions.
 """
@@ -21,9 +22,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 MAX_TEMPLATE_WORDS = 2000
 
-#: Characters that separate words, before lower-casing, and those that make them up.
+#: Characters that separate words.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 #: Phrases of the digest query and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -56,9 +56,17 @@ def _lower(text: Column) -> Column:
     return F.lower(F.replace(text, F.lit("K"), F.lit("Å")))
 
 
-def _known(text: Column, vocabulary: list[str]) -> Column:
-    """The distinct template words that a text has."""
-    return F.array_intersect(F.split(_lower(text), _GAP + "+"), F.array(*[F.lit(w) for w in vocabulary]))
+def _spaced(text: Column) -> Column:
+    """The words of a text in lower case, two spaces between them."""
+    return F.trim(F.regexp_replace(_lower(text), _GAP + "+", "  "))
+
+
+def _n_spaces(text: Column) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+
+
+def _literals(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def window_step(templates: tuple[tuple[str, str], ...]) -> int:
@@ -66,20 +74,25 @@ def window_step(templates: tuple[tuple[str, str], ...]) -> int:
     return max(len(re.findall(r"[0-9a-z]+", wording.lower())) for _, wording in templates)
 
 
-def _windows(text: Column, step: int) -> Column:
-    """Overlapping runs of 2 * step words that cover the text, each joined by spaces; the last may be shorter."""
-    words = F.regexp_extract_all(text, F.lit(f"({_CHAR}+)"), F.lit(1))
+def _windows(words: Column, step: int) -> Column:
+    """Overlapping runs of 2 * step words that cover the words; the last may be shorter."""
     last = F.greatest(F.floor((F.size(words) - step - 1) / step), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i * step + 1, 2 * step), " "))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(words, i * step + 1, 2 * step))
+
+
+def _lines(text: Column) -> Column:
+    """The words of each line."""
+    return F.transform(F.split(text, "\n"), lambda line: F.split(_spaced(line), "  "))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How many documents have each template word: one row a word comes back."""
-    found = docs.select(F.explode(_known(F.col("text"), vocabulary)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    known = F.array_intersect(F.split(_spaced(F.col("text")), "  "), _literals(vocabulary))
+    found = docs.select(F.explode(known).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, windows: bool = True) -> DataFrame:
     """doc_id, text_key, block (number of the line or window), label, containment: every block of docs (doc_id, text_key, text) and
     template of at least the threshold."""
     sets = [(label, template_words(wording)) for label, wording in templates]
@@ -99,10 +112,13 @@ def matches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     prefix = spark.createDataFrame(prefixes, "rank int, template int, place int, n int, need int")
     whole = spark.createDataFrame(wholes, "template int, label string, ranks array<int>, need int")
 
-    cut = _windows(F.col("text"), window_step(templates)) if windows else F.split("text", "\n")
-    lines = docs.select("doc_id", "text_key", F.posexplode(cut).alias("block", "line"))
-    ranks = F.map_from_arrays(F.array(*[F.lit(w) for w in vocabulary]), F.array(*[F.lit(rank[w]) for w in vocabulary]))
-    blocks = lines.select("doc_id", "text_key", "block", _known(F.col("line"), vocabulary).alias("known")).where(F.size("known") >= least)
+    # A block without a word of any template's prefix matches none.
+    seeds = _literals(sorted({w for w in vocabulary if rank[w] in {r for r, *_ in prefixes}}))
+    words = docs.select("doc_id", "text_key", "text", F.split(_spaced(F.col("text")), "  ").alias("words")).where(F.arrays_overlap("words", seeds))
+    cut = _windows(F.col("words"), window_step(templates)) if windows else _lines(F.col("text"))
+    lines = words.select("doc_id", "text_key", F.posexplode(cut).alias("block", "line")).where(F.arrays_overlap("line", seeds))
+    ranks = F.map_from_arrays(_literals(vocabulary), F.array(*[F.lit(rank[w]) for w in vocabulary]))
+    blocks = lines.select("doc_id", "text_key", "block", F.array_intersect("line", _literals(vocabulary)).alias("known")).where(F.size("known") >= least)
     blocks = blocks.select("doc_id", "text_key", "block", F.array_sort(F.transform("known", lambda w: F.element_at(ranks, w))).alias("own"))
     # A block's prefix for the smallest template it could hold; longer templates need less of it.
     first = blocks.select("*", F.posexplode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("at", "rank"))
@@ -120,27 +136,29 @@ def _joined(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: tuple[tuple[str, str], ...] = PHRASES, threshold: float = THRESHOLD, windows: bool = True) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of ASCII letters and digits and of characters outside ASCII; case is ignored for A-Z. n_base counts the
     places where a phrase's words stand one after another; first_word and last_word are their smallest and largest start
     in words from 0, null without any. labels adds those of the matching templates. score is the largest containment of a
     template that matches, 1 with any phrase, else 0. A null text is empty. Repeated rows get equal rows; an empty table
-    gives an empty result; other columns are ignored. Templates are matched with lines, or with windows over the whole text.
+    gives an empty result; other columns are ignored. Templates are matched with windows over the whole text, or with lines.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text, F.length(text)).alias("text_key"))
-    words = F.lit(_CHAR + "+")
-    pattern = {label: f"(?i)(?<!{_CHAR}){(_GAP + '+').join(phrase.split())}(?!{_CHAR})" for phrase, label in phrases}
-    either = "(?:" + "|".join((_GAP + "+").join(phrase.split()) for phrase, _ in phrases) + ")"
-    any_first = f"(?is)^(.*?)(?<!{_CHAR}){either}(?!{_CHAR})"
-    any_last = f"(?is)^(.*)(?<!{_CHAR}){either}(?!{_CHAR})"
-    counts = rows.select("doc_id", "text_key", "text", F.regexp_count("text", words).cast("long").alias("n_words"), *[F.regexp_count("text", F.lit(p)).cast("long").alias(f"n_{i}") for i, p in enumerate(pattern.values())])
-    n_base = sum((F.col(f"n_{i}") for i in range(1, len(pattern))), F.col("n_0"))
-    start = lambda p: F.when(n_base > 0, F.regexp_count(F.regexp_extract("text", p, 1), words).cast("long"))
-    own = F.array_compact(F.array(*[F.when(F.col(f"n_{i}") > 0, F.lit(label)) for i, label in enumerate(pattern)]))
-    base = counts.select("doc_id", "text_key", "n_words", n_base.alias("n_base"), start(any_first).alias("first_word"), start(any_last).alias("last_word"), own.alias("own"))
+    keys = [(f" {'  '.join(phrase.split())} ", len(phrase.split()), label) for phrase, label in phrases]
+    words = rows.select("doc_id", "text_key", F.concat(F.lit(" "), _spaced(F.col("text")), F.lit(" ")).alias("words"))
+    many = lambda key: ((F.octet_length("words") - F.octet_length(F.replace("words", F.lit(key), F.lit("")))) / len(key.encode())).cast("long")
+    size = F.when(F.col("words") == "  ", 0).otherwise(_n_spaces(F.col("words")) / 2).cast("long")
+    counts = words.select("doc_id", "text_key", "words", size.alias("n_words"), *[many(key).alias(f"n_{i}") for i, (key, _, _) in enumerate(keys)])
+    n_base = sum((F.col(f"n_{i}") for i in range(1, len(keys))), F.col("n_0"))
+    where = lambda i, place: F.when(F.col(f"n_{i}") > 0, place.cast("long"))
+    first = [where(i, _n_spaces(F.substring_index("words", key, 1)) / 2) for i, (key, _, _) in enumerate(keys)]
+    last = [where(i, F.col("n_words") - n - _n_spaces(F.substring_index("words", key, -1)) / 2) for i, (key, n, _) in enumerate(keys)]
+    ends = [F.array_min(F.array_compact(F.array(*first))).alias("first_word"), F.array_max(F.array_compact(F.array(*last))).alias("last_word")]
+    own = F.array_compact(F.array(*[F.when(F.col(f"n_{i}") > 0, F.lit(label)) for i, (_, _, label) in enumerate(keys)]))
+    base = counts.select("doc_id", "text_key", "n_words", n_base.alias("n_base"), *ends, own.alias("own"))
     found = matches(rows, templates, threshold, windows).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     both = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.text_key") == F.col("f.text_key")), "left")
     more = F.coalesce(F.col("more"), F.array().cast("array<string>"))
@@ -149,13 +167,13 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, ph
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Digest of the scan of all documents."""
+    """Digest of the scan of all documents by windows, which finds wrapped notices too."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def op10_license_windows(spark, sf_dir: str) -> DataFrame:
-    """Digest of the scan of all documents by windows, which finds wrapped notices too."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
+def license_lines(spark, sf_dir: str) -> DataFrame:
+    """The same with lines for blocks."""
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=False)
 
 
 def _oracle() -> str:
@@ -190,15 +208,15 @@ FROM e LEFT JOIN b USING (r) LEFT JOIN f USING (r)
 """
 
 
-OP10_SQL = _oracle()
+LINES_SQL = _oracle()
 
 
 def _windows_oracle() -> str:
     """The same SQL with windows of the words for the lines."""
     step, lines = window_step(TEMPLATES), rf"""  SELECT r, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS lw FROM d"""
-    if lines not in OP10_SQL:
+    if lines not in LINES_SQL:
         raise ValueError("no lines in the SQL")
-    return OP10_SQL.replace(lines, f"  SELECT r, w[i + 1:i + {2 * step}] AS lw FROM (SELECT r, w, unnest(generate_series(0, greatest(len(w) - {step} - 1, 0), {step})) AS i FROM e)")
+    return LINES_SQL.replace(lines, f"  SELECT r, w[i + 1:i + {2 * step}] AS lw FROM (SELECT r, w, unnest(generate_series(0, greatest(len(w) - {step} - 1, 0), {step})) AS i FROM e)")
 
 
-OP10_WINDOWS_SQL = _windows_oracle()
+OP10_SQL = _windows_oracle()

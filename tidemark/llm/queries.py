@@ -15,7 +15,7 @@ QUERIES = {
     "op8_benchmark_leaks": decontam.op8_benchmark_leaks,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
-    "op10_license_windows": licenses.op10_license_windows,
+    "license_lines": licenses.license_lines,
 }
 
 ORACLE = {
@@ -26,5 +26,5 @@ ORACLE = {
     "op7_url_filters": urls.OP7_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
-    "op10_license_windows": licenses.OP10_WINDOWS_SQL,
+    "license_lines": licenses.LINES_SQL,
 }
