@@ -508,3 +508,24 @@ def test_license_notices_wrapped_or_scattered(spark):
     rows = [(k, f"{' '.join(['x'] * k)} {bsd} {' '.join(['y'] * (k % 7))}") for k in range(50)] + [(100, gpl), (101, f"released under {filler} the mit {filler} license"), (102, None), (103, "")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=(("no such phrase", "none"),), windows=True).collect()}
     assert got == {**{k: ("bsd", 1.0) for k in range(50)}, 100: ("gpl", 1.0), 101: ("", 0.0), 102: ("", 0.0), 103: ("", 0.0)}
+
+
+def test_whole_licences_in_any_place_and_in_passes(spark, monkeypatch):
+    rows = []
+    for k, (_, wording) in enumerate(licenses.TEMPLATES):
+        for pad in (0, 7, 100, 333):
+            rows.append((k * 1000 + pad, f"{' '.join(['pad'] * pad)} {wording.upper()} {' '.join(['end'] * 50)}".replace(" ", "\n")))
+    half = licenses.TEMPLATES[13][1].split()
+    rows += [(-1, " ".join(half[: len(half) // 2])), (-2, " ".join(reversed(half)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scan = lambda: {r["doc_id"]: r for r in licenses.scan(docs, phrases=(("no such phrase", "none"),)).collect()}
+    got = scan()
+    for i, _ in rows[:-2]:
+        assert licenses.TEMPLATES[i // 1000][0] in got[i]["labels"].split(",") and got[i]["score"] == 1.0
+    # Blocks are sets of words: half a licence has too few, but the sentence that opens it; the order does not matter.
+    assert got[-1]["labels"] == "mit" and got[-2]["score"] == 1.0
+    whole = licenses.matches(docs.withColumn("text_key", F.lit(0)), licenses.TEMPLATES[13:14])
+    assert {r["doc_id"] for r in whole.collect() if r["doc_id"] < 0} == {-2}
+    monkeypatch.setattr(licenses, "PASS_WORDS", 60)
+    assert len(licenses.in_passes(licenses.TEMPLATES)) > 3 and scan() == got
+    assert {(r["labels"], r["score"]) for r in licenses.scan(docs, templates=(), phrases=(("no such phrase", "none"),)).collect()} == {("", 0.0)}
