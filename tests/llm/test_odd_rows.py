@@ -529,3 +529,33 @@ def test_whole_licences_in_any_place_and_in_passes(spark, monkeypatch):
     monkeypatch.setattr(licenses, "PASS_WORDS", 60)
     assert len(licenses.in_passes(licenses.TEMPLATES)) > 3 and scan() == got
     assert {(r["labels"], r["score"]) for r in licenses.scan(docs, templates=(), phrases=(("no such phrase", "none"),)).collect()} == {("", 0.0)}
+
+
+def test_prefix_table_against_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    n = lambda t: len(model.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(18)
+    bits = ["<|endoftext|>", "<|endo", "  ", "\n", "\t", " ", "　", "'re", "don't", "word", "Слово", "漢字", "X9", "é", "🙂", "    x"]
+    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(60))]
+    long = " ".join(rng.choice(["some", "words", "é🙂", "\n", "of"]) for _ in range(30_000))
+    rows = [*enumerate(texts), (1000, long), (None, "a null key")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("counts", F.lit("clash"))
+    stored = tokens.prefix_table(docs, path).cache()
+    got = {}
+    for r in stored.orderBy("block").collect():
+        got.setdefault(r["doc_id"], []).extend(r["counts"])
+    assert {k: len(v) for k, v in got.items()} == {k: len(t or "") + 1 for k, t in rows} and len(long) > tokens.BLOCK
+    for k, t in rows:
+        if k != 1000:
+            assert got[k] == [n((t or "")[:x]) for x in range(len(t or "") + 1)]
+    places = [0, 1, 77, tokens.BLOCK - 1, tokens.BLOCK, tokens.BLOCK + 1, len(long)]
+    asked = [(1000, x) for x in places] + [(None, 4), (1000, len(long) + 1), (5555, 1), (0, 0), (0, -1)]
+    answers = {(r["doc_id"], r["chars"]): r["n_tokens"] for r in tokens.tokens_at(stored, spark.createDataFrame(asked, "doc_id long, chars long")).collect()}
+    assert answers == {**{(1000, x): n(long[:x]) for x in places}, (None, 4): n("a nu"), (1000, len(long) + 1): None, (5555, 1): None, (0, 0): 0, (0, -1): None}
+    fits = {r["doc_id"]: r["fit_chars"] for r in tokens.longest_prefix(stored, 5).collect()}
+    assert fits == {k: max(i for i, x in enumerate(v) if x <= 5) for k, v in got.items()}
+    assert tokens.prefix_table(empty(spark), path).count() == 0
