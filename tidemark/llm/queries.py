@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, licenses, lmscore, mixing, ngramjoin, quality, substring, tokens, urls, warc
+from tidemark.llm import decontam, licenses, lmscore, merkle, mixing, ngramjoin, quality, substring, tokens, urls, warc
 
 QUERIES = {
     "op1_context_tree_score": lmscore.op1_context_tree_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_leaks": decontam.op8_benchmark_leaks,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "license_lines": licenses.license_lines,
 }
 
@@ -26,5 +27,6 @@ ORACLE = {
     "op7_url_filters": urls.OP7_SQL,
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     "license_lines": licenses.LINES_SQL,
 }
