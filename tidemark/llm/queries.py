@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam, licenses, lmscore, merkle, mixing, ngramjoin, packing, quality, substring, tokens, urls, warc
+from tidemark.llm import decontam, licenses, lmscore, merkle, mixing, negatives, ngramjoin, packing, quality, substring, tokens, urls, warc
 
 QUERIES = {
     "op1_context_tree_score": lmscore.op1_context_tree_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
     "license_lines": licenses.license_lines,
 }
@@ -29,5 +30,6 @@ ORACLE = {
     "op9_substring_dedup": substring.OP9_SQL,
     "op10_license_scan": licenses.OP10_SQL,
     "op11_merkle_manifest": merkle.OP11_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
     "license_lines": licenses.LINES_SQL,
 }
