@@ -62,13 +62,14 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _scores(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
-    """Inner products of the rows, exact: in doubles where none exceeds what they hold, else in Python's integers."""
+    """Inner products of the rows, exact: in doubles where none exceeds what they hold, else in Python's integers, held at
+    the ends of a long."""
     width = min(a.shape[1], b.shape[1])
     a, b = a[:, :width], b[:, :width]
     if bound < 1 << 52:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return whole(a) @ whole(b).T
+    return np.clip(whole(a) @ whole(b).T, -LONG, LONG).astype(np.int64)
 
 
 class _Search:
@@ -101,7 +102,7 @@ class _Search:
         score = _scores(a["v"][at], v, float(reach[at].max()))
         hit = (score >= self.floor[at][:, None]) & (score <= a["high"][at].max(axis=1)[:, None])
         hit &= (uid[None, :] != a["uid"][at][:, None]) if self.same else (label[None, :] != a["label"][at][:, None])
-        row, col = np.nonzero(hit.astype(bool))
+        row, col = np.nonzero(hit)
         cuts = np.searchsorted(row, np.arange(len(at) + 1))
         for i in np.flatnonzero(np.diff(cuts)):
             k, found = int(at[i]), col[cuts[i] : cuts[i + 1]]
@@ -111,13 +112,13 @@ class _Search:
                 kept = self.best.get((k, slot), [])
                 if len(kept) == self.keep:
                     low = max(low, -kept[-1][0])
-                take = np.flatnonzero(((own >= low) & (own <= high)).astype(bool))
+                take = np.flatnonzero((own >= low) & (own <= high))
                 if not len(take):
                     continue
                 if len(take) > self.keep:
                     # Of many, those from the last place up; ties with it stay for the ids to decide.
                     last = np.sort(own[take])[-self.keep]
-                    take = take[(own[take] >= last).astype(bool)]
+                    take = take[own[take] >= last]
                 new = [(-int(own[j]), ids[c] is None, ids[c] or 0, int(uid[c])) for j, c in zip(take, found[take])]
                 self.best[k, slot] = sorted([*kept, *new])[: self.keep]
             self.floor[k] = min(max(a["low"][k, s], -held[-1][0]) if len(held := self.best.get((k, s), [])) == self.keep else a["low"][k, s] for s in range(a["low"].shape[1]))
@@ -126,8 +127,7 @@ class _Search:
         items = list(self.best.items())
         flat = [x for _, found in items for x in found]
         ends = np.concatenate([[0], np.cumsum([len(f) for _, f in items])]).astype(np.int32)
-        held = [max(-LONG, min(LONG, x[0])) for x in flat]
-        structs = pa.StructArray.from_arrays([pa.array(held, pa.int64()), pa.array([x[1] for x in flat], pa.bool_()), pa.array([None if x[1] else x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.int64())], names=["down", "unnamed", "id", "uid"])
+        structs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.bool_()), pa.array([None if x[1] else x[2] for x in flat], pa.int64()), pa.array([x[3] for x in flat], pa.int64())], names=["down", "unnamed", "id", "uid"])
         return pa.RecordBatch.from_arrays([pa.array(self.a["uid"][[k for (k, _), _ in items]] if items else [], pa.int64()), pa.array([s for (_, s), _ in items], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), structs)], names=["uid", "slot", "found"])
 
 
@@ -147,9 +147,7 @@ def _searched(candidates: DataFrame, anchors: DataFrame, keep: int, same: bool,
         limits = [[_limits(s, *window) if not same else (-LONG, LONG) for s in x] for x in rows.column("scores").to_pylist()]
         slots = max(map(len, limits))
         limits = [[*x, *[(1, 0)] * (slots - len(x))] for x in limits]
-        small = all(-(1 << 62) <= n < 1 << 62 for x in limits for pair in x for n in pair) or same
-        kind = np.int64 if small else object
-        sent = {"uid": rows.column("uid").to_numpy(), "label": rows.column("label").to_numpy(), "v": _vectors(rows.column("v").combine_chunks()), "norm": rows.column("norm").to_numpy(), "low": np.array([[p[0] for p in x] for x in limits], kind), "high": np.array([[p[1] for p in x] for x in limits], kind)}
+        sent = {"uid": rows.column("uid").to_numpy(), "label": rows.column("label").to_numpy(), "v": _vectors(rows.column("v").combine_chunks()), "norm": rows.column("norm").to_numpy(), "low": np.array([[p[0] for p in x] for x in limits], np.int64), "high": np.array([[p[1] for p in x] for x in limits], np.int64)}
         near = candidates.where(F.col("norm") >= F.lit(min(rows.column("need").to_pylist())))
         found = C.settle(_scan(near, sent, keep, same), "found")
         out = found if out is None else out.unionByName(found)
@@ -183,8 +181,8 @@ def mined(candidates: DataFrame, every: int = 100, positives: int = 5, negatives
     Anchors are the rows whose id is divisible by `every`; their positives the first other rows of their label, by falling
     score, ties by id (rows without id last). Negatives of a pair are the first rows of other labels whose score is
     between the window's percentages of the positive's, both included. Exact: no row is left out but by the bound on
-    norms. Vectors of different lengths count as filled up with 0; repeated rows count each; scores beyond a long are
-    held at its ends. No anchors, or no rows at all, give an empty result.
+    norms. Vectors of different lengths count as filled up with 0; repeated rows count each; a score beyond a long
+    counts as the end of a long. No anchors, or no rows at all, give an empty result.
     """
     anchors = candidates.where(F.col("id") % every == 0)
     most = anchors.agg(F.max(F.size("v"))).first()[0] or 1
