@@ -161,7 +161,7 @@ def test_ids_are_the_tokenizers(path):
         assert ids[off[i] : off[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(max_size=40), min_size=1, max_size=8))
 def test_ids_of_any_text(texts):
     tokenizers = pytest.importorskip("public_tokenizers")
