@@ -55,6 +55,16 @@ def carried(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[
     return out.select(*[c for c in df.columns if c != "_bucket"], F.coalesce("_own", "_edge")["v"].alias(name))
 
 
+def highest(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds the greatest value of the rows of the same keys up to and with this one."""
+    df = df.withColumn("_bucket", bucket)
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    edges = df.groupBy(*keys, "_bucket").agg(F.max(value).alias("_top")).select(*keys, "_bucket", F.max("_top").over(before).alias("_edge"))
+    within = W.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = _beside(df.withColumn("_own", F.max(value).over(within)), edges, keys)
+    return out.select(*[c for c in df.columns if c != "_bucket"], F.greatest("_own", "_edge").alias(name))
+
+
 def numbered(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str) -> DataFrame:
     """Adds the place of each row among those of its keys, from 1."""
     df = df.withColumn("_bucket", bucket)

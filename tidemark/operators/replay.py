@@ -21,20 +21,25 @@ def state(ledger: DataFrame, until: Column) -> DataFrame:
     return pairs.groupBy("employee_id", "key").agg(F.max_by("value", "sequence_id").alias("value"))
 
 
-def _live(ledger: DataFrame, until: Column) -> DataFrame:
+def _live(ledger: DataFrame, until: Column, blank: str = "none") -> DataFrame:
     """The rows that make up the state: INSERT replaces it, UPDATE merges its payload (a null value overwrites and keeps
-    the key), DELETE clears it, and so does an UPDATE without payload. So only rows from the last INSERT or after the
-    last of the others count."""
+    the key), DELETE clears it. So only rows from the last INSERT or after the last of the others count.
+
+    An UPDATE without payload, by `blank`: none clears the state, empty leaves one without keys, keep changes nothing."""
     rows = ledger.where((F.col("table_name") == "employees") & until)
-    resets = (F.col("action") != "UPDATE") | F.col("new_value_text").isNull()
+    resets = F.col("action") != "UPDATE"
+    if blank != "keep":
+        resets = resets | F.col("new_value_text").isNull()
     reset = rows.where(resets).groupBy("employee_id").agg(F.max(F.struct("sequence_id", "action")).alias("reset"))
-    live = rows.join(reset, "employee_id", "left").where(F.col("reset").isNull() | (F.col("sequence_id") > F.col("reset.sequence_id")) | ((F.col("sequence_id") == F.col("reset.sequence_id")) & (F.col("action") == "INSERT")))
-    return live.where(F.col("new_value_text").isNotNull())
+    stays = (F.col("action") != "DELETE") if blank == "empty" else (F.col("action") == "INSERT")
+    live = rows.join(reset, "employee_id", "left").where(F.col("reset").isNull() | (F.col("sequence_id") > F.col("reset.sequence_id")) | ((F.col("sequence_id") == F.col("reset.sequence_id")) & stays))
+    return live if blank == "empty" else live.where(F.col("new_value_text").isNotNull())
 
 
-def documents(ledger: DataFrame, until: Column) -> DataFrame:
-    """employee_id, state (a map, empty where no key is left): one row for every employee that has a state."""
-    rows = _live(ledger, until).withColumn("_p", F.coalesce(X.payload(F.col("new_value_text")), F.create_map().cast("map<string,string>")))
+def documents(ledger: DataFrame, until: Column, blank: str = "none") -> DataFrame:
+    """employee_id, state (a map, empty where no key is left): one row for every employee that has a state. The state by
+    time takes an UPDATE without payload as none, that by sequence as empty."""
+    rows = _live(ledger, until, blank).withColumn("_p", F.coalesce(X.payload(F.col("new_value_text")), F.create_map().cast("map<string,string>")))
     pairs = rows.select("employee_id", "sequence_id", F.explode_outer("_p").alias("key", "value"))
     last = pairs.groupBy("employee_id", "key").agg(F.max_by("value", "sequence_id").alias("value"))
     entries = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value")))
@@ -65,17 +70,6 @@ def effective_salary(salaries: DataFrame, until: Column) -> DataFrame:
     return salaries.where(until).groupBy("employee_id").agg(F.max_by("amount", F.struct("effective_date", "salary_id")).alias("amount"))
 
 
-def salary_rows(ledger: DataFrame) -> DataFrame:
-    """What is left of each salary row: the last of its INSERTs and UPDATEs that has an amount, unless deleted after."""
-    rows = ledger.where(F.col("table_name") == "salary_history").withColumn("_p", X.payload(F.coalesce("new_value_text", "old_value_text")))
-    salary_id = F.coalesce(F.expr("try_cast(_p['salary_history_id'] as bigint)"), F.col("row_id").cast("long"))
-    amount = F.expr("try_cast(_p['amount'] as decimal(12,2))")
-    date = F.coalesce(F.expr("try_cast(_p['effective_date'] as date)"), F.col("created_at").cast("date"))
-    rows = rows.select("employee_id", salary_id.alias("salary_id"), amount.alias("amount"), date.alias("effective_date"), "action", "sequence_id").where((F.col("action") == "DELETE") | F.col("amount").isNotNull())
-    last = rows.groupBy("employee_id", "salary_id").agg(F.max_by(F.struct("action", "amount", "effective_date"), "sequence_id").alias("x"))
-    return last.where("x.action <> 'DELETE'").select("employee_id", "salary_id", "x.amount", "x.effective_date")
-
-
 def without(salaries: DataFrame, skipped: DataFrame, as_of: Column) -> DataFrame:
     """Each employee's salary as it is and as it would be without the rows whose salary_id is in `skipped`.
 

@@ -29,6 +29,18 @@ LEDGER = {
     "created_at": "ts",
     "created_at_text": "cast(ts as string)",
 }
+#: The same with salaries that are corrected: several rows of a salary id, dates before and after the day of entry, rows
+#: taken away, payloads without id or with a date that is none, updates of employees without payload.
+CORRECTED = LEDGER | {
+    "action": "case when event_type = 'purchase' and k % 6 = 0 then 'DELETE' when event_type = 'purchase' and k % 6 < 3 then 'UPDATE' else " + LEDGER["action"] + " end",
+    "row_id": "cast(case when event_type = 'purchase' then user_id * 4 + k % 4 else user_id end as int)",
+    "old_value_text": """case when event_type = 'purchase' and k % 6 = 0 then '{"salary_history_id": "' || cast(user_id * 4 + k % 4 as string) || '"}' when event_type <> 'purchase' then """ + LEDGER["old_value_text"] + " end",
+    "new_value_text": """case when event_type = 'purchase' and k % 6 > 0 then '{"amount": "' || case when k % 23 = 5 then 'none' else cast(cast(value as decimal(12,2)) as string) end || '"'
+        || case when k % 11 = 0 then '' else ', "salary_history_id": "' || cast(user_id * 4 + k % 4 as string) || '"' end
+        || case when k % 10 = 1 then '' when k % 10 = 2 then ', "effective_date": "soon"' else ', "effective_date": "' || cast(cast(ts as date) + cast(k % 40 - 20 as int) as string) || 'T00:00:00"' end || '}'
+        when event_type <> 'purchase' and not (event_type = 'click' and k % 5 = 0) then """ + LEDGER["new_value_text"] + " end",
+    "amount": "case when event_type = 'purchase' and k % 6 > 0 and k % 23 <> 5 then cast(value as decimal(12,2)) end",
+}
 SALARIES = {"employee_id": "o_custkey", "salary_id": "o_orderkey", "amount": "cast(o_totalprice as decimal(12,2))", "effective_date": "cast(o_orderdate as date)"}
 EMPLOYEES = {"employee_id": "c_custkey", "full_name": "c_name", "email": "lower(c_name) || '@example.com'", "role_id": "c_nationkey", "is_active": "c_acctbal >= 0"}
 ROLES = {"role_id": "n_nationkey", "title": "n_name", "department_id": "n_regionkey", "band_min": "cast(10000 + 1000 * n_nationkey as decimal(12,2))", "band_max": "cast(250000 + 5000 * n_nationkey as decimal(12,2))"}
@@ -41,10 +53,10 @@ def select(columns: dict[str, str]) -> list[str]:
     return [f"{x} as {name}" for name, x in columns.items()]
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger(spark: SparkSession, sf_dir: str, columns: dict[str, str] = LEDGER) -> DataFrame:
     """The ledger: one row for each event, in order of sequence_id."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k").selectExpr(*select(LEDGER))
+    return events.selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k").selectExpr(*select(columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,11 +66,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_sql(*names: str) -> str:
-    """A WITH clause for DuckDB that defines the named tables; `ledger` and those of TABLES."""
+    """A WITH clause for DuckDB that defines the named tables; `ledger`, `corrected` and those of TABLES."""
     out = []
     for name in names:
-        if name == "ledger":
-            out.append("ledger as (select " + ", ".join(select(LEDGER)) + " from (select *, cast(json_extract_string(props, '$.k') as int) as k from events))")
+        if name in ("ledger", "corrected"):
+            out.append(f"{name} as (select " + ", ".join(select(LEDGER if name == "ledger" else CORRECTED)) + " from (select *, cast(json_extract_string(props, '$.k') as int) as k from events))")
         else:
             source, columns = TABLES[name]
             out.append(f"{name} as (select " + ", ".join(select(columns)) + f" from {source})")
