@@ -11,6 +11,7 @@ from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
 from tidemark.operators import detect, limits, replay, rules, trust
+from tidemark.operators import sealed as SE
 from tidemark.sources import bundle, capsules, imports
 from tidemark.sources import derived as D
 from tidemark.streaming import jobs
@@ -56,8 +57,8 @@ def test_recomputed_forward_is_caught_by_binding(spark):
     sealed = K.fixed(chain, 8)
     forged = CH.build(D.ledger(spark, SF).withColumn("new_value_text", F.when(F.col("sequence_id") == 300, "{}").otherwise(F.col("new_value_text"))))
     assert CH.anomalies(forged).count() == 0
-    assert K.bound(forged, sealed, 8).where("binding = 'fail'").count() > 0
-    assert K.bound(chain, sealed, 8).where("binding <> 'pass'").count() == 0
+    assert SE.binding(forged, sealed).where("binding = 'fail'").count() > 0
+    assert SE.binding(chain, sealed).where("binding <> 'pass'").count() == 0
 
 
 def test_rollup_never_passes_on_unknown(spark):
@@ -224,9 +225,9 @@ def test_capsules_stand_alone(spark, tmp_path):
     public = S.ed25519_public(seed).hex()
     chain = CH.build(D.ledger(spark, SF).where("sequence_id <= 200")).cache()
     sealed = K.signed(K.fixed(chain, 8).withColumn("merkle_root", F.expr("CASE WHEN checkpoint > 0 THEN merkle_root END")), seed, "k")
-    plain = capsules.capsules(chain, sealed, 8)
+    plain = capsules.capsules(chain, sealed)
     assert {r["status"] for r in plain.collect()} == {"ok", "before_merkle"}
-    made = capsules.capsules(chain, sealed, 8, seed=seed, public_hex=public)
+    made = capsules.capsules(chain, sealed, seed=seed, public_hex=public)
     assert {r["status"] for r in made.collect()} == {"ok", "attested"}
     capsules.write(made, f"{tmp_path}/capsules")
     (tmp_path / "capsules" / "odd.json").write_text("no json\n")
@@ -236,9 +237,9 @@ def test_capsules_stand_alone(spark, tmp_path):
     assert {r["verdict"] for r in capsules.verified(made, other).collect()} == {"SIGNATURE_INVALID"}
     # No attestation for a chain that is broken up to it, a digest that is another, or a signature of another key.
     broken = CH.tampered(chain, F.col("chain_seq") == 2, F.lit(False))
-    assert {r["status"] for r in capsules.capsules(broken, sealed, 8, seed=seed, public_hex=public).where("checkpoint = 0").collect()} == {"before_merkle"}
-    assert {r["status"] for r in capsules.capsules(chain, sealed.withColumn("digest", F.lit("x")), 8, seed=seed, public_hex=public).where("checkpoint = 0").collect()} == {"before_merkle"}
-    assert {r["status"] for r in capsules.capsules(chain, sealed, 8, seed=seed, public_hex=other).where("checkpoint = 0").collect()} == {"before_merkle"}
+    assert {r["status"] for r in capsules.capsules(broken, sealed, seed=seed, public_hex=public).where("checkpoint = 0").collect()} == {"before_merkle"}
+    assert {r["status"] for r in capsules.capsules(chain, sealed.withColumn("digest", F.lit("x")), seed=seed, public_hex=public).where("checkpoint = 0").collect()} == {"before_merkle"}
+    assert {r["status"] for r in capsules.capsules(chain, sealed, seed=seed, public_hex=other).where("checkpoint = 0").collect()} == {"before_merkle"}
 
 
 def test_signature_statuses(spark):

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import secrets as S
 from tidemark.functions import text as X
-from tidemark.operators import ordered as O
 
 
 def leaf(content: Column) -> Column:
@@ -69,23 +67,6 @@ def proved_root(leaf_hash: Column, path: Column) -> Column:
     return F.aggregate(path, leaf_hash, lambda now, x: F.when(x.startswith("right:"), parent(now, F.substring(x, 7, 64))).otherwise(parent(F.substring(x, 6, 64), now)))
 
 
-def bound(chain: DataFrame, sealed: DataFrame, interval: int, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
-    """Each sealed checkpoint against the rows: pass, fail, or unknown where it has no root."""
-    now = fixed(chain, interval, keys).select(*keys, "checkpoint", F.col("last_seq").alias("_last"), F.col("n_rows").alias("_n"), F.col("digest").alias("_digest"), F.col("merkle_root").alias("_root"))
-    both = sealed.join(now, [*keys, "checkpoint"], "left")
-    same = F.col("_digest").eqNullSafe(F.col("digest")) & F.col("_n").eqNullSafe(F.col("n_rows")) & F.col("_last").eqNullSafe(F.col("last_seq"))
-    status = F.when(~same, "fail").when(F.col("merkle_root").isNull(), "unknown").when(F.col("_root") == F.col("merkle_root"), "pass").otherwise("fail")
-    return both.select(*keys, "checkpoint", status.alias("binding"))
-
-
-def enclosing(rows: DataFrame, sealed: DataFrame, interval: int, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
-    """For each row the lowest checkpoint at or after it and the one before that; null in the unsealed tail."""
-    named = O.previous(sealed, keys, F.floor(F.col("checkpoint") / 4096), ["checkpoint"], {"before_seq": "last_seq"}).select(*keys, "checkpoint", "last_seq", "before_seq")
-    at = rows.withColumn("checkpoint", F.floor((F.col("chain_seq") - 1) / interval)).join(named, [*keys, "checkpoint"], "left")
-    covers = F.col("last_seq") >= F.col("chain_seq")
-    return at.select(*keys, "chain_seq", F.when(covers, F.col("last_seq")).alias("sealed_at"), F.when(covers, F.coalesce("before_seq", F.lit(0))).alias("sealed_after"))
-
-
 def dual_trigger(pending: Column, elapsed_s: Column, rows: int = 25, seconds: int = 60) -> Column:
     """count if enough rows wait, else time if enough time passed, else null. The count is tested first."""
     return F.when(pending >= rows, "count").when((pending > 0) & (elapsed_s >= seconds), "time")
@@ -161,7 +142,3 @@ def lag(tail: Column, sealed: Column) -> Column:
 
 def capsule_status(found: Column, sealed_at: Column, root: Column) -> Column:
     return F.when(~found, "not_found").when(sealed_at.isNull(), "uncheckpointed").when(root.isNull(), "before_merkle").otherwise("ok")
-
-
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -13,6 +13,7 @@ from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
 from tidemark.operators import detect, limits, replay, rules, search, trust
+from tidemark.operators import sealed as SE
 from tidemark.sources import derived as D
 from tidemark.streaming import jobs
 
@@ -323,13 +324,14 @@ def checkpoint_schedule(spark, sf_dir):
 
 @query(BAD + ", " + _sealed("chain") + ", " + _sealed("bad", "now") + " select s.employee_id, s.checkpoint, case when n.digest is not distinct from s.digest and n.n_rows = s.n_rows and n.merkle_root = s.merkle_root then 'pass' else 'fail' end as binding from sealed s left join now n using (employee_id, checkpoint)")
 def checkpoint_binding(spark, sf_dir):
-    return K.bound(_bad_chain(spark, sf_dir), K.fixed(_chain(spark, sf_dir), INTERVAL), INTERVAL)
+    each = SE.binding(_bad_chain(spark, sf_dir), K.fixed(_chain(spark, sf_dir), INTERVAL))
+    return each.select("employee_id", F.floor((F.col("last_seq") - 1) / INTERVAL).alias("checkpoint"), "binding")
 
 
 @query(CHAIN + f", s as (select employee_id, (chain_seq - 1) // {INTERVAL} as checkpoint, max(chain_seq) as last_seq from chain group by 1, 2 having count(*) = {INTERVAL}) select c.employee_id, chain_seq, min(last_seq) as sealed_at, min(last_seq) - {INTERVAL} as sealed_after from chain c left join s on s.employee_id = c.employee_id and last_seq >= chain_seq group by 1, 2")
 def enclosing_checkpoint(spark, sf_dir):
     rows = _chain(spark, sf_dir)
-    return K.enclosing(rows, K.fixed(rows, INTERVAL).where(f"n_rows = {INTERVAL}"), INTERVAL)
+    return SE.enclosing(rows, K.fixed(rows, INTERVAL).where(f"n_rows = {INTERVAL}"))
 
 
 @query(CHAIN + f" select employee_id, chain_seq, sha256('\\x00'::blob || encode({_SERIAL})) as leaf from chain")

@@ -191,7 +191,7 @@ def evidence_capsules(spark, sf_dir):
     sealed = K.fixed(chain, INTERVAL).where(f"n_rows = {INTERVAL}").withColumn("merkle_root", F.expr("CASE WHEN checkpoint % 3 <> 2 THEN merkle_root END")).withColumn("signature_hex", F.lit("")).withColumn("key_id", F.lit("k1"))
     rows = D.ledger(spark, sf_dir)
     asked = rows.select("sequence_id").unionByName(rows.where("action = 'DELETE'").selectExpr("sequence_id + 1000000000 as sequence_id"))
-    made = capsules.capsules(chain, sealed, INTERVAL, asked)
+    made = capsules.capsules(chain, sealed, asked)
     return made.select("sequence_id", "status", "leaf", F.when(F.col("path").isNotNull(), F.concat_ws(",", "path")).alias("path"), F.col("proof_root").alias("root"))
 
 
@@ -203,7 +203,7 @@ def capsule_verdicts(spark, sf_dir):
     """Capsules of every row, four of five damaged in their row, signature, path or form."""
     chain = _chain(spark, sf_dir)
     sealed = K.signed(K.fixed(chain, INTERVAL), SEED, "k1")
-    made = capsules.capsules(chain, sealed, INTERVAL)
+    made = capsules.capsules(chain, sealed)
     bad = {"new_value_text": f"CASE WHEN {_CASE} = 1 THEN 'forged' ELSE new_value_text END", "signature_hex": f"CASE WHEN {_CASE} = 2 THEN repeat('1', 128) ELSE signature_hex END", "path": f"CASE WHEN {_CASE} = 3 THEN slice(path, 2, 64) ELSE path END", "leaf": f"CASE WHEN {_CASE} <> 4 THEN leaf END"}
     return capsules.verified(made.withColumns({k: F.expr(v) for k, v in bad.items()}), PUBLIC).select("sequence_id", "verdict")
 

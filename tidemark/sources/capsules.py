@@ -9,28 +9,32 @@ from tidemark.functions import secrets as S
 from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
+from tidemark.operators import sealed as SE
 
 ROW = ("sequence_id", "actor_user_id", "action", "table_name", "row_id", "old_value_text", "new_value_text", "created_at_text")
-#: Fixed value: what a later attestation of an older checkpoint is signed under.
-ATTESTED = "TIDEMARK_RETROSPECTIVE_MERKLE_ATTESTATION_V1"
+#: What a later attestation of an older checkpoint is signed under: a label of this library.
+ATTESTED = "tidemark/capsule/root-attested-later/1"
 _SCHEMA = "employee_id int, chain_seq long, sequence_id long, actor_user_id int, action string, table_name string, row_id int, old_value_text string, new_value_text string, created_at_text string, status string, checkpoint long, first_seq long, last_seq long, digest string, merkle_root string, signature_hex string, key_id string, leaf string, path array<string>, proof_root string, attestation_hex string"
 
 
-def capsules(chain: DataFrame, sealed: DataFrame, interval: int, asked: DataFrame | None = None, seed: bytes | None = None, public_hex: str | None = None) -> DataFrame:
+def capsules(chain: DataFrame, sealed: DataFrame, asked: DataFrame | None = None, seed: bytes | None = None, public_hex: str | None = None) -> DataFrame:
     """One capsule for each row of the chain that is asked for (sequence_id), or for all rows.
 
-    sealed: signed checkpoints of `interval` rows. status: ok; uncheckpointed, in the tail behind the last checkpoint;
+    sealed: signed checkpoints, however far apart. status: ok; uncheckpointed, in the tail behind the last checkpoint;
     before_merkle, whose checkpoint has no root; not_found, for an asked sequence that the ledger lacks. With a seed a
     capsule of such an older checkpoint gets an attestation instead (status attested), provided that the chain up to it
     is whole, its digest is that of its rows, and its own signature holds for public_hex.
     """
-    proofs = K.proofs(chain, interval).withColumnRenamed("merkle_root", "proof_root")
-    rows = chain.select("employee_id", "chain_seq", *ROW).join(proofs, ["employee_id", "chain_seq"])
+    which = None if asked is None else chain.join(asked.select("sequence_id").distinct(), "sequence_id", "left_semi").select("employee_id", "chain_seq")
+    # Rows behind the last checkpoint have a leaf and a path among themselves, though nothing vouches for them.
+    marks = sealed.select("employee_id", "last_seq").unionByName(CH.tails(chain).selectExpr("employee_id", "tail_seq as last_seq"))
+    proofs = SE.proofs(chain, marks, asked=which).select("employee_id", "chain_seq", F.col("sealed_at").alias("last_seq"), "leaf", "path", F.col("merkle_root").alias("proof_root"))
+    rows = chain.select("employee_id", "chain_seq", *ROW).join(proofs, ["employee_id", "chain_seq"], "left")
     held = sealed.select("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "merkle_root", "signature_hex", "key_id")
-    out = rows.join(held, ["employee_id", "checkpoint"], "left")
-    out = out.withColumn("status", K.capsule_status(F.lit(True), F.when(F.col("last_seq") >= F.col("chain_seq"), F.col("last_seq")), F.col("merkle_root")))
+    out = rows.join(held, ["employee_id", "last_seq"], "left")
+    out = out.withColumn("status", K.capsule_status(F.lit(True), F.when(F.col("checkpoint").isNotNull(), F.col("last_seq")), F.col("merkle_root")))
     if seed is not None:
-        out = _attested(out, chain, interval, seed, public_hex)
+        out = _attested(out, chain, sealed, seed, public_hex)
     else:
         out = out.withColumn("attestation_hex", F.lit(None).cast("string"))
     if asked is not None:
@@ -43,11 +47,11 @@ def attestation(prefix: str = "") -> Column:
     return F.concat_ws("|", F.lit(ATTESTED), *[F.col(prefix + c).cast("string") for c in ("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "proof_root")])
 
 
-def _attested(out: DataFrame, chain: DataFrame, interval: int, seed: bytes, public_hex: str | None) -> DataFrame:
+def _attested(out: DataFrame, chain: DataFrame, sealed: DataFrame, seed: bytes, public_hex: str | None) -> DataFrame:
     whole = CH.report(chain).select("employee_id", F.col("last_verified").alias("_whole"))
-    now = K.fixed(chain, interval).select("employee_id", "checkpoint", F.col("digest").alias("_digest"))
+    now = SE.digests(SE.leaves(chain, sealed)).select("employee_id", F.col("sealed_at").alias("last_seq"), F.col("digest").alias("_digest"))
     old = out.where("status = 'before_merkle'").select("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "proof_root", "signature_hex").distinct()
-    old = old.join(whole, "employee_id").join(now, ["employee_id", "checkpoint"])
+    old = old.join(whole, "employee_id").join(now, ["employee_id", "last_seq"])
     fit = (F.col("_whole") >= F.col("last_seq")) & (F.col("_digest") == F.col("digest")) & S.signature_valid(F.unhex(F.lit(public_hex)), F.col("digest"), F.unhex("signature_hex"))
     made = old.where(fit).select("employee_id", "checkpoint", S.signature(attestation(), seed).alias("attestation_hex"))
     out = out.join(made, ["employee_id", "checkpoint"], "left")
@@ -65,11 +69,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verified(made: DataFrame, public_hex: str) -> DataFrame:
-    """Adds verdict: VALID, or the first check that fails: MALFORMED, SIGNATURE_INVALID, LEAF_MISMATCH, ROOT_MISMATCH.
+    """Adds verdict: VALID, or the first check that fails: MALFORMED, SIGNATURE_INVALID, LEAF_MISMATCH, ROOT_MISMATCH, PLACE_MISMATCH
+    (the path is not that of the row's place between first_seq and last_seq).
 
     public_hex is a key that the reader trusts already; nothing in a capsule vouches for itself.
     """
-    needed = ("sequence_id", "chain_seq", "checkpoint", "digest", "signature_hex", "leaf", "path", "proof_root")
+    needed = ("sequence_id", "chain_seq", "checkpoint", "first_seq", "last_seq", "digest", "signature_hex", "leaf", "path", "proof_root")
     whole = F.lit(True)
     for c in needed:
         whole = whole & F.col(c).isNotNull()
@@ -78,5 +83,5 @@ def verified(made: DataFrame, public_hex: str) -> DataFrame:
     later = S.signature_valid(public, attestation(), F.unhex("attestation_hex"))
     signed = own & (F.col("merkle_root").isNotNull() | later)
     root = F.coalesce("merkle_root", "proof_root")
-    verdict = F.when(~whole, "MALFORMED").when(~signed, "SIGNATURE_INVALID").when(K.leaf(X.serialised()) != F.col("leaf"), "LEAF_MISMATCH").when(K.proved_root(F.col("leaf"), F.col("path")) != root, "ROOT_MISMATCH").otherwise("VALID")
+    verdict = F.when(~whole, "MALFORMED").when(~signed, "SIGNATURE_INVALID").when(K.leaf(X.serialised()) != F.col("leaf"), "LEAF_MISMATCH").when(K.proved_root(F.col("leaf"), F.col("path")) != root, "ROOT_MISMATCH").when(~SE.placed(F.col("path"), F.col("chain_seq") - F.col("first_seq"), F.col("last_seq") - F.col("first_seq") + 1), "PLACE_MISMATCH").otherwise("VALID")
     return made.withColumn("verdict", verdict)
