@@ -1,7 +1,7 @@
 import pytest
 
 from tests.parity import same
-from tidemark.plans import catalogue, evidence, history, sealing  # noqa: F401
+from tidemark.plans import catalogue, evidence, history, sealing, watching  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))

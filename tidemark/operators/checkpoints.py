@@ -72,6 +72,21 @@ def dual_trigger(pending: Column, elapsed_s: Column, rows: int = 25, seconds: in
     return F.when(pending >= rows, "count").when((pending > 0) & (elapsed_s >= seconds), "time")
 
 
+def due(chain: DataFrame, sealed: DataFrame, now: Column, rows: int = 25, seconds: int = 60, keys: Sequence[str] = ("employee_id",)) -> DataFrame:
+    """For every key with rows behind its newest checkpoint: pending, elapsed and trigger (see `dual_trigger`).
+
+    sealed: keys, last_seq, sealed_when. elapsed: whole seconds from the newest checkpoint to now, from the first waiting row
+    where there is none, never below 0."""
+    waiting = unsealed(chain, sealed, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("pending"), F.min("created_at").alias("_first"))
+    last = sealed.groupBy(*keys).agg(F.max_by("sealed_when", "last_seq").alias("_sealed")).alias("s")
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}"))
+    both = waiting.alias("w").join(last, match, "left")
+    elapsed = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.coalesce("_sealed", "_first"), now)).cast("long")
+    return both.select(*[f"w.{k}" for k in keys], "pending", elapsed.alias("elapsed")).withColumn("trigger", dual_trigger(F.col("pending"), F.col("elapsed"), rows, seconds))
+
+
 def scheduled_after(last: Column, latest: Column, interval: int) -> Column:
     """The sequence to seal after, once the latest row reaches the next multiple of the interval; else null."""
     done = F.coalesce(last, F.lit(0))

@@ -306,14 +306,19 @@ def checkpoints_fixed_interval(spark, sf_dir):
 _TAIL = f", tail as (select c.* from chain c left join (select employee_id, max(last_seq) as done from sealed where n_rows = {INTERVAL} group by 1) using (employee_id) where chain_seq > coalesce(done, 0))"
 
 
-@query(CHAIN + ", " + _sealed("chain") + _TAIL + ", t as (select employee_id, count(*) as pending, (date_diff('microsecond', min(created_at), max(created_at)) // 1000000)::bigint as elapsed from tail group by 1) select employee_id, case when pending >= 6 then 'count' when elapsed >= 86400 then 'time' end as trigger from t")
+NOW = "2024-01-31 00:00:00"
+
+
+@query(CHAIN + ", " + _sealed("chain") + _TAIL + f""", t as (select employee_id, count(*) as pending, min(created_at) as first from tail group by 1), c as (select s.employee_id, max(created_at) as sealed from sealed s join chain c on c.employee_id = s.employee_id and c.chain_seq = s.last_seq where n_rows = {INTERVAL} group by 1),
+w as (select employee_id, pending, greatest(0, date_diff('microsecond', coalesce(sealed, first), timestamp '{NOW}') // 1000000)::bigint as elapsed from t left join c using (employee_id))
+select employee_id, pending, elapsed, case when pending >= 6 then 'count' when elapsed >= 259200 then 'time' end as trigger from w""")
 def checkpoint_dual_trigger(spark, sf_dir):
-    """Whether the rows behind every employee's last full checkpoint are due for sealing, and why."""
-    t = detect.micros(F.col("created_at"))
+    """Whether the rows behind every employee's last full checkpoint are due for sealing, and why: by their number, or by the
+    time since that checkpoint (sealed with its last row), since the first row where there is none."""
     chain = _chain(spark, sf_dir)
-    tail = K.unsealed(chain, K.fixed(chain, INTERVAL).where(f"n_rows = {INTERVAL}"))
-    rows = tail.groupBy("employee_id").agg(F.count(F.lit(1)).alias("pending"), F.floor((F.max(t) - F.min(t)) / 1_000_000).alias("elapsed"))
-    return rows.select("employee_id", K.dual_trigger(F.col("pending"), F.col("elapsed"), 6, 86400).alias("trigger"))
+    sealed = K.fixed(chain, INTERVAL).where(f"n_rows = {INTERVAL}")
+    named = sealed.join(chain.selectExpr("employee_id", "chain_seq as last_seq", "created_at as sealed_when"), ["employee_id", "last_seq"])
+    return K.due(chain, named, F.lit(NOW).cast("timestamp_ntz"), 6, 259200)
 
 
 @query(CHAIN + f", t as (select employee_id, max(chain_seq) as latest, max(chain_seq) - 10 as last from chain group by 1) select employee_id, case when latest >= (floor(greatest(last, 0) / {INTERVAL}) + 1) * {INTERVAL} then greatest(last, 0) end as after from t")
