@@ -274,12 +274,9 @@ def test_evidence_export_is_sealed(spark, tmp_path):
     assert seal["digest"] == hashlib.sha256("".join(hashes).encode()).hexdigest() and S.ed25519_valid(S.ed25519_public(seed), seal["digest"].encode(), bytes.fromhex(seal["signature_hex"]))
 
 
-def test_batch_and_context_rules(spark):
+def test_batch_rules(spark):
     batch = spark.createDataFrame([("a@x",), ("A@x ",)], "email string")
     assert tuple(rules.batch_errors(batch).first()) == (False, True) and tuple(rules.batch_errors(batch, 1).first()) == (True, True)
-    rows = [("a", 100, 150), ("b", 100, 161), ("c", 200, 240), ("d", 10, 60), ("e", 100, 150), ("e", 101, 150)]
-    got = rules.context_errors(spark.createDataFrame(rows, "nonce string, issued_at long, expires_at long"), F.lit(110)).collect()
-    assert sorted(tuple(r) for r in got) == [("b", "too_long"), ("c", "from_the_future"), ("d", "expired"), ("e", "nonce_used")]
 
 
 def test_scores_freshness_and_durations(spark):
@@ -290,10 +287,7 @@ def test_scores_freshness_and_durations(spark):
     assert [one(X.duration(F.lit(x))) for x in (1.5, 90.0, 7200.0, 172800.0)] == ["1.50 s", "1.5 min", "2.0 hours", "2.0 days"]
 
 
-def test_admission_and_unknown_ids(spark):
-    held, offered = ([(i, 50 * i, "h", "r") for i in range(a, b)] for a, b in ((1, 3), (2, 5)))
-    names = "checkpoint_id long, sequence_id long, checkpoint_hash string, merkle_root string"
-    assert [r["checkpoint_id"] for r in trust.admitted(spark.createDataFrame(held, names), spark.createDataFrame(offered, names)).orderBy("checkpoint_id").collect()] == [3, 4]
+def test_unknown_ids(spark):
     sound = spark.createDataFrame([(1,)], "salary_id long")
     assert [r[0] for r in replay.unknown_ids(sound, spark.createDataFrame([(1,), (9,)], "salary_id long")).collect()] == [9]
 

@@ -35,18 +35,7 @@ def repeated_dates(salaries: DataFrame) -> DataFrame:
     return salaries.groupBy("employee_id", "effective_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def repeated_sequences(rows: DataFrame, column: str = "sequence_id") -> DataFrame:
-    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
 def batch_errors(batch: DataFrame, most: int = 20) -> DataFrame:
     """A batch's faults: too many rows, e-mails that repeat whatever their case."""
     rows = batch.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("email"))).alias("emails"), F.count("email").alias("named"))
     return rows.select((F.col("n") > most).alias("too_many"), (F.col("emails") < F.col("named")).alias("repeated_email"))
-
-
-def context_errors(contexts: DataFrame, now: Column, most_s: int = 60, skew_s: int = 5) -> DataFrame:
-    """Signed actor contexts (nonce, issued_at, expires_at in seconds): expired, too long, from the future, or a nonce used before."""
-    rows = O.previous(contexts, ["nonce"], F.lit(0), ["issued_at"], {"used": "issued_at"})
-    fault = F.when(F.col("expires_at") < now, "expired").when(F.col("expires_at") - F.col("issued_at") > most_s, "too_long").when(F.col("issued_at") > now + skew_s, "from_the_future").when(F.col("used").isNotNull(), "nonce_used")
-    return rows.select("nonce", fault.alias("fault")).where("fault IS NOT NULL")

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tidemark.operators import ordered as O
 
 #: Checkpoints that one window of a comparison looks at.
 BUCKET = 1 << 16
-FIELDS = ("checkpoint_id", "sequence_id", "checkpoint_hash", "merkle_root")
 #: What two checkpoint lists must agree on, and the form of published hashes and signatures.
-COMPARED = (*FIELDS, "signature_hex", "key_id")
+COMPARED = ("checkpoint_id", "sequence_id", "checkpoint_hash", "merkle_root", "signature_hex", "key_id")
 HEX_64, HEX_128 = "^[0-9a-f]{64}$", "^[0-9a-f]{128}$"
 #: Fixed value: the most witness signatures of a checkpoint.
 MOST_WITNESSES = 20
@@ -103,48 +102,82 @@ def quorum(statements: DataFrame, threshold: int, keys: Sequence[str] = (), orig
     return rows.select(*keys, "sequence_id", status.alias("status"), "valid")
 
 
-def heads(ours: DataFrame, published: DataFrame, statements: DataFrame, threshold: int, minimum: int = 0) -> DataFrame:
-    """One row, status and the number of witnesses of each kind: independent witnesses' whole histories against ours.
+def heads(ours: DataFrame, published: DataFrame, statements: DataFrame, threshold: int, minimum: int = 0, keys: Sequence[str] = (), origin_key: str | None = None) -> DataFrame:
+    """The keys, status and the number of witnesses of each kind, one row for each of the keys' values that a statement has
+    (one row without keys): independent witnesses' whole histories against ours.
 
-    published: witness and checkpoints (COMPARED); statements: witness, prefix_digest, key_id, domain, valid of their
-    heads. A witness disagrees if a place of its history differs from ours; it has too much, or it lags, or its digest is
-    not that of our history, or it is current. Any that disagrees fails; else the quorum of the current ones decides, so
-    missing or lagging witnesses leave it unknown. Below the minimum nothing is known.
+    published: keys, witness and checkpoints (COMPARED); statements: keys, witness, prefix_digest, key_id, domain, valid of
+    their heads. A witness disagrees if a place of its history differs from ours; it has too much, or it lags, or its digest
+    is not that of our history, or it is current. Any that disagrees fails; else the quorum of the current ones decides, in
+    which the origin's own key does not count, so missing or lagging witnesses leave it unknown. Below the minimum nothing is
+    known.
     """
-    named = statements.select("witness").distinct()
-    a, b = placed(ours).alias("a"), placed(published, ["witness"]).alias("b")
+    a, b = placed(ours, keys).alias("a"), placed(published, [*keys, "witness"]).alias("b")
     same = F.lit(True)
     for f in COMPARED:
         same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-    seen = b.join(a, F.col("a.place") == F.col("b.place"), "left").groupBy("b.witness").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.place").isNull()).alias("more"), F.count_if(F.col("a.place").isNotNull() & ~same).alias("other"))
-    last = prefix_digests(ours).agg(F.max_by("prefix_digest", "checkpoint_id").alias("_digest"), F.count(F.lit(1)).alias("_all"), F.coalesce(F.max("sequence_id"), F.lit(0)).alias("_newest"))
-    held = named.join(seen, "witness", "left").crossJoin(last).join(statements, "witness")
+    seen = b.join(a, _matched("a", "b", keys) & (F.col("a.place") == F.col("b.place")), "left")
+    seen = seen.groupBy(*[F.col(f"b.{k}").alias(k) for k in (*keys, "witness")]).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a.place").isNull()).alias("more"), F.count_if(F.col("a.place").isNotNull() & ~same).alias("other"))
+    last = prefix_digests(ours, keys).groupBy(*keys).agg(F.max_by("prefix_digest", "checkpoint_id").alias("_digest"), F.count(F.lit(1)).alias("_all"), F.max("sequence_id").alias("_newest"))
+    held = statements.alias("s").join(seen.alias("o"), _matched("s", "o", [*keys, "witness"]), "left").select("s.*", "n", "more", "other")
+    held = held.alias("h").join(last.alias("l"), _matched("h", "l", keys), "left").select("h.*", "_digest", F.coalesce("_all", F.lit(0)).alias("_all"), F.coalesce("_newest", F.lit(0)).alias("_newest"))
     kind = F.when(F.col("more") > 0, "too_much").when(F.col("other") > 0, "disagrees").when(F.coalesce("n", F.lit(0)) < F.col("_all"), "lags").when(~F.col("prefix_digest").eqNullSafe(F.col("_digest")), "other_digest").otherwise("current")
     held = held.withColumn("kind", kind)
-    current = quorum(held.where("kind = 'current'").withColumn("sequence_id", F.col("_newest")), threshold).select("status")
     kinds = ("disagrees", "too_much", "lags", "other_digest", "current")
-    # Aggregates without keys give one row even where nothing is current.
-    out = held.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds]).crossJoin(last).crossJoin(current.agg(F.max("status").alias("_status")))
+    out = held.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.coalesce(F.max("_all"), F.lit(0)).alias("_all"), F.coalesce(F.max("_newest"), F.lit(0)).alias("_newest"))
+    current = quorum(held.where("kind = 'current'").withColumn("sequence_id", F.col("_newest")), threshold, keys, origin_key).groupBy(*keys).agg(F.max("status").alias("_status"))
+    out = out.alias("h").join(current.alias("q"), _matched("h", "q", keys), "left").select("h.*", "_status")
     status = F.when((F.col("_all") == 0) | (F.col("_newest") < minimum) | F.lit(threshold < 2), "unknown").when(F.col("disagrees") > 0, "fail").otherwise(F.coalesce("_status", F.lit("unknown")))
-    return out.select(status.alias("status"), *kinds)
+    return out.select(*keys, status.alias("status"), *kinds)
 
 
-def prefix_digests(checkpoints: DataFrame, tag: str = "prefix") -> DataFrame:
-    """A digest of each checkpoint together with all before it: hashes folded in order."""
-    import hashlib
+#: What a prefix is signed under: a label of this library.
+PREFIX = "tidemark/checkpoint-prefix/1\n"
 
-    def step(before: str, row: tuple) -> tuple:
-        now = hashlib.sha256(f"{tag}|{before}|{'|'.join(map(str, row))}".encode()).hexdigest()
-        return now, (now,)
 
-    return O.in_order(checkpoints, [], ["checkpoint_id"], FIELDS, "prefix_digest string", lambda: "", step)
+def prefix_digests(checkpoints: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds prefix_digest: SHA-256 of a label and the list, as JSON without spaces and with sorted names, of all fields that
+    lists must agree on, of this checkpoint and all before it.
 
+    A list is one stream of rows whose state is the digest so far, so any length fits; lists of different keys are
+    independent. Null fields are written as null."""
 
-def admitted(existing: DataFrame, offered: DataFrame) -> DataFrame:
-    """Offered checkpoints that an append-only store may take: beyond its newest id and sequence, and rising."""
-    top = existing.agg(F.coalesce(F.max("checkpoint_id"), F.lit(0)).alias("_id"), F.coalesce(F.max("sequence_id"), F.lit(0)).alias("_seq"))
-    return placed(offered).crossJoin(top).where("checkpoint_id > _id AND sequence_id > _seq AND rising").drop("_id", "_seq", "place", "rising")
+    def step(state: tuple, row: tuple) -> tuple:
+        digest, more = state
+        digest.update((("," if more else "") + row[0]).encode())
+        now = digest.copy()
+        now.update(b"]")
+        return (digest, True), (now.hexdigest(),)
 
+    def start() -> tuple:
+        return hashlib.sha256(f"{PREFIX}[".encode()), False
 
-def latest_only(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
+    rows = checkpoints.withColumn("_json", F.to_json(F.struct(*sorted(COMPARED)), {"ignoreNullFields": "false"}))
+    return O.in_order(rows, keys, ["checkpoint_id"], ["_json"], "prefix_digest string", start, step).drop("_json")
+
+
+def admission(existing: DataFrame, offered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The keys, verdict, held and added (checkpoints) of whole lists that are offered to append-only stores, each of which
+    takes a list only if it begins with all that the store holds.
+
+    In this order: empty, without any checkpoint; shorter than what is held; invalid, if a checkpoint is not well formed or
+    ids or sequences do not rise; changed, if any place that is held differs in any field; else accepted, with `added` new
+    ones. A store with nothing takes any valid list. Stores that nothing is offered to have no row."""
+    a, b = placed(existing, keys).alias("a"), well_formed(offered, keys).alias("b")
+    same = F.lit(True)
+    for f in COMPARED:
+        same = same & F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
+    both = b.join(a, _matched("a", "b", keys) & (F.col("a.place") == F.col("b.place")), "left")
+    offers = both.groupBy(*[F.col(f"b.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("fit")).alias("_bad"), F.count_if(F.col("a.place").isNotNull() & ~same).alias("_other"))
+    held = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_held"))
+    out = offers.alias("o").join(held.alias("h"), _matched("o", "h", keys), "left").select("o.*", F.coalesce("_held", F.lit(0)).alias("held"))
+    verdict = F.when(F.col("_n") == 0, "empty").when(F.col("_n") < F.col("held"), "shorter").when(F.col("_bad") > 0, "invalid").when(F.col("_other") > 0, "changed").otherwise("accepted")
+    return out.select(*keys, verdict.alias("verdict"), "held", F.when(verdict == "accepted", F.col("_n") - F.col("held")).otherwise(0).alias("added"))
+
+
+def admitted(existing: DataFrame, offered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The checkpoints that the stores take, with ordinal, their place in the store: those of accepted lists behind what is
+    held. Writing these again changes the list and is refused."""
+    taken = admission(existing, offered, keys).where("verdict = 'accepted'")
+    rows = placed(offered, keys).drop("rising").withColumnRenamed("place", "ordinal")
+    return rows.alias("o").join(taken.alias("t"), _matched("o", "t", keys)).where("ordinal > held").select("o.*")

@@ -9,7 +9,7 @@ from tidemark.functions import secrets as S
 from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
-from tidemark.operators import detect, replay, search, trust
+from tidemark.operators import detect, replay, search
 from tidemark.plans import catalogue as Q
 from tidemark.plans.catalogue import BAD, CHAIN, INTERVAL, query
 from tidemark.sources import bundle, capsules
@@ -316,25 +316,6 @@ def payload_diff_counts(spark, sf_dir):
 # Trust and streams.
 
 
-@query(_SEALED + """, o as (select count(*) as n from sealed) select 'fail' as status, 1::bigint as disagrees, 1::bigint as too_much, 1::bigint as lags, 1::bigint as other_digest, 2::bigint as current from o where n > 0""")
-def witness_heads(spark, sf_dir):
-    """All checkpoints in one order against six witnesses: two that hold all of them, and one of each that does not."""
-    sealed = K.fixed(_chain(spark, sf_dir), INTERVAL)
-    ours = sealed.select((F.col("employee_id").cast("long") * 1_000_000 + F.col("checkpoint") + 1).alias("checkpoint_id"), "digest", "merkle_root").selectExpr("checkpoint_id", "checkpoint_id * 1000 as sequence_id", "digest as checkpoint_hash", "merkle_root", "concat(digest, merkle_root) as signature_hex", "'k1' as key_id")
-    top = ours.agg(F.max("checkpoint_id")).first()[0] or 0
-    each = [ours.withColumn("witness", F.lit(w)) for w in ("a", "b", "odd")]
-    each.append(ours.withColumn("witness", F.lit("other")).withColumn("merkle_root", F.when(F.col("checkpoint_id") == top, F.lit("0" * 64)).otherwise(F.col("merkle_root"))))
-    each.append(ours.where(F.col("checkpoint_id") < top).withColumn("witness", F.lit("late")))
-    each.append(ours.unionByName(ours.where(F.col("checkpoint_id") == top).withColumns({"checkpoint_id": F.col("checkpoint_id") + 1, "sequence_id": F.col("sequence_id") + 1})).withColumn("witness", F.lit("long")))
-    published = each[0]
-    for x in each[1:]:
-        published = published.unionByName(x)
-    digest = trust.prefix_digests(ours).orderBy(F.col("checkpoint_id").desc()).first()
-    digest = digest["prefix_digest"] if digest else ""
-    said = spark.createDataFrame([(w, "x" if w == "odd" else digest, f"key {w}", f"at {w}", True) for w in ("a", "b", "odd", "other", "late", "long")], "witness string, prefix_digest string, key_id string, domain string, valid boolean")
-    return trust.heads(ours, published, said, 2)
-
-
 @query(CHAIN + f" select employee_id, chain_seq - {INTERVAL} as sealed_after, chain_seq as sealed_at, 'count' as reason from chain where chain_seq % {INTERVAL} = 0")
 def stream_seal(spark, sf_dir):
     """The checkpoint scheduler over a ledger that arrives in four files, one a trigger."""

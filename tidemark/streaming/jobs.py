@@ -109,11 +109,6 @@ def transitions(statuses: DataFrame, key: str = "monitor") -> DataFrame:
     return statuses.select(key, F.col("checked_at").cast("long").alias("checked_at"), "status").groupBy(key).applyInPandasWithState(follow, f"{key} string, checked_at long, status string, before string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def fresh(contexts: DataFrame, nonce: str = "nonce", at: str = "issued_at", keep: str = "6 hours") -> DataFrame:
-    """Contexts whose nonce has not been seen within `keep`; older nonces leave the state."""
-    return contexts.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, keep).dropDuplicatesWithinWatermark([nonce])
-
-
 def detected(stream: DataFrame, base: str, per: str = "detect") -> Callable[[], DataFrame]:
     """The periodic detector: keeps each micro-batch's rows and works out the flags of all rows kept, so that changes,
     bursts and precedence hold across batches. Returns a function that reads the flags of the newest batch.
