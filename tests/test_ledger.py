@@ -191,7 +191,9 @@ def test_redaction_at_any_depth(spark):
     texts = [json.dumps(x, ensure_ascii=bool(i % 2)) for i, x in enumerate(made)]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.redacted_json(F.col("t")).alias("r")).orderBy("i").select("r").collect()]
     assert [json.loads(x) for x in got] == [hide(x) for x in made]
-    assert [r[0] for r in spark.createDataFrame([(None,), ("not json [",)], "t string").select(X.redacted_json(F.col("t"))).collect()] == [None, X.REDACTED]
+    odd = [None, "not json [", '{"x": 1, email: "a@b.org"}', '{"x": 1 "email": "a@b.org"}', '{"email": a@b.org}', '{"email": "a" "b"}', '{"x": 1,}', "{}", ' { "email" : "a@b.org" } ', '{"x": -1.5e3, "ok": true}']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", X.redacted_json(F.col("t"))).orderBy("i").select(F.col("*")).toDF("i", "r").select("r").collect()]
+    assert got == [None, *[X.REDACTED] * 6, "{}", ' { "email" : "[REDACTED]" } ', '{"x": -1.5e3, "ok": true}']
 
 
 def test_write_mask_with_keyed_index(spark):

@@ -18,6 +18,9 @@ PLACEHOLDERS = ("national_id_encrypted", "contact_info_encrypted")
 #: A sensitive key and its value in JSON without nesting or escaped keys.
 FLAT_SECRET = r'("(?i:' + "|".join(SENSITIVE) + r')"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}"\s]+)'
 
+#: A whole JSON object without nesting or escapes.
+FLAT = r'^\s*\{\s*(?:"[^"{}\[\]\\]*+"\s*:\s*(?:"[^"{}\[\]\\]*+"|-?[0-9][0-9.eE+-]*|true|false|null)\s*(?:,\s*(?=")|(?=\})))*+\}\s*$'
+
 
 def serialised(prefix: str = "") -> Column:
     """A row's bytes before the previous hash: fields joined by |, null payloads as the word null."""
@@ -78,7 +81,7 @@ def redacted_json(text: Column) -> Column:
 
         return values.map(one, na_action="ignore")
 
-    flat = text.rlike(r"^\s*\{[^{}\[\]\\]*\}\s*$")
+    flat = text.rlike(FLAT)
     return F.when(flat, F.regexp_replace(text, FLAT_SECRET, f'$1"{REDACTED}"')).otherwise(nested(F.when(~flat, text)))
 
 
