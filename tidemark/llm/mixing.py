@@ -52,7 +52,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), ratio: float =
     docs: doc_id, text, source, and `quality` (a positive weight; null or not positive: 1) if named. Size: words of the
     text, null text 0. A null source is a source of its own. Documents of size 0 take nothing. Repeated rows each count,
     with equal keys; ties go by doc_id, then size. The document in which a budget ends is taken if that brings the sum
-    nearer to the target. An empty table gives an empty result. The result depends on the rows and the seed alone.
+    nearer to the target. An empty table gives an empty result. Other columns are ignored. The result depends on the rows and
+    the seed alone.
     """
     n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(C.WORD_JAVA)), F.lit(0)).cast("long") if size is None else size
     grade = F.lit(1.0) if quality is None else F.when(F.col(quality) > 0, F.col(quality).cast("double")).otherwise(F.lit(1.0))

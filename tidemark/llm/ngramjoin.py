@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT)
     component_id is the smallest doc_id reachable by links, itself included. Two documents link if the Jaccard
     similarity of their shingle sets is at least `percent` / 100, bounds included. A null text, or one without words,
     has an empty set and links with nothing. Rows of equal doc_id are one node. A null doc_id has no component. Texts are
-    whole; equal sets, and so repeated rows, are one component. An empty table gives an empty result.
+    whole; equal sets, and so repeated rows, are one component. An empty table gives an empty result. Other columns are
+    ignored.
     """
     all_rows = C.settle(sized(docs, width), "join-sized")
     keys = all_rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("shared").alias("shared"))
