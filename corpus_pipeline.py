@@ -53,7 +53,8 @@ class _Rows:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a quality rule rejects."""
+    """Drops documents that a quality rule rejects. A null or empty text has no words and goes. Rows are judged each by
+    itself, so repeats and ties need no rule; an empty table stays empty."""
     rows = _Rows(docs)
     return rows.back(quality.cascade(rows.plain, text=rows.text, keep=tuple(rows.own)).where("kept"))
 
@@ -84,7 +85,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose text leaks a benchmark item."""
+    """Drops rows whose text leaks a benchmark item. A null or empty text leaks nothing and stays. Each row is judged by its
+    own text, whatever its doc_id; repeated rows all stay or all go; an empty table stays empty."""
     rows = _Rows(docs)
     keyed = rows.keyed(distinct=False)
     searched = keyed.select(F.col("row_id").alias("doc_id"), F.col(rows.text).alias("text"))
@@ -93,7 +95,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document that is left."""
+    """doc_id, size, source_size, target and taken of every document that is left. A null or empty text has size 0 and is
+    taken 0 words; a null source is one of its own; repeated rows each count; an empty table stays empty."""
     graded = mixing.graded(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.mix(graded, quality="quality").select("doc_id", "size", "source_size", "target", "taken")
 
