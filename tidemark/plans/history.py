@@ -15,12 +15,19 @@ SKIPPED = "sequence_id % 7 in (2, 3)"
 
 _P = "case when action = 'DELETE' then old_value_text else new_value_text end"
 _E = "substr(json_extract_string(p, '$.effective_date'), 1, 10)"
-_VERSIONS = D.with_sql("corrected") + f""",
+
+
+def _sound(as_of: str) -> str:
+    """CTEs up to `sound`: the whole salary writes of the corrected ledger up to a time."""
+    return D.with_sql("corrected") + f""",
 entered as (select employee_id, sequence_id, created_at::date as day, action = 'DELETE' as gone, try_cast(json_extract_string(p, '$.amount') as decimal(12,2)) as amount,
   case when list_contains(coalesce(json_keys(p), []), 'salary_history_id') then try_cast(json_extract_string(p, '$.salary_history_id') as bigint) else row_id end as salary_id,
   coalesce(case when regexp_full_match({_E}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast({_E} as date) end, created_at::date) as effective
-  from (select *, {_P} as p from corrected where table_name = 'salary_history' and action in ('INSERT', 'UPDATE', 'DELETE') and created_at <= timestamp '{AS_OF}')),
-sound as (select * from entered where salary_id is not null and (gone or amount is not null)),
+  from (select *, {_P} as p from corrected where table_name = 'salary_history' and action in ('INSERT', 'UPDATE', 'DELETE') and created_at <= timestamp '{as_of}')),
+sound as (select * from entered where salary_id is not null and (gone or amount is not null))"""
+
+
+_VERSIONS = _sound(AS_OF) + f""",
 tracked as (select 'actual' as track, * from sound union all select 'counterfactual', * from sound where not ({SKIPPED})),
 versions as (select *, greatest(day, effective) as since, lead(day) over (partition by track, employee_id, salary_id order by sequence_id) as until from tracked)"""
 
