@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import secrets as S
 from tidemark.operators import checkpoints as K
-from tidemark.operators import trust
+from tidemark.operators import cosign, trust
 from tidemark.plans.catalogue import _LISTS, CHAIN, INTERVAL, _chain, _lists, _sealed, query
+from tidemark.sources import shared
 
 KEYS = ["employee_id"]
 _JSON = """'{"checkpoint_hash":"' || digest || '","checkpoint_id":' || checkpoint_id || ',"key_id":"k1","merkle_root":"' || merkle_root || '","sequence_id":' || sequence_id || ',"signature_hex":"' || signature || '"}'"""
@@ -75,3 +77,50 @@ def _said(ours: DataFrame) -> DataFrame:
     digest = F.sha2(F.concat(F.lit(trust.PREFIX + "["), F.array_join("_rows.j", ","), F.lit("]")), 256)
     said = lists.select("employee_id", F.explode(F.array(*map(F.lit, WITNESSES))).alias("witness"), digest.alias("_digest")).where(_THERE)
     return said.select("employee_id", "witness", F.when(F.col("witness") == "odd", "x").otherwise(F.col("_digest")).alias("prefix_digest"), F.expr(_KEY).alias("key_id"), F.concat(F.lit("at "), "witness").alias("domain"), F.lit(True).alias("valid"))
+
+
+#: Who signs with which seed, and what is registered: d has no domain, e has the key of a.
+SEEDS = {"a": b"a" * 32, "b": b"b" * 32, "c": b"c" * 32, "d": b"d" * 32, "e": b"a" * 32}
+DOMAINS = {"a": "Alpha", "b": "beta ", "c": "gamma", "d": " ", "e": "epsilon"}
+#: Which statements there are, what name they bear, and whether they sign the list as it is or an older digest.
+_SIGNS = "case signer when 'a' then true when 'b' then employee_id % 5 <> 4 when 'c' then employee_id % 5 in (0, 2) when 'd' then employee_id % 5 = 3 else employee_id % 7 = 3 end"
+_NAMED = "case when signer = 'c' and employee_id % 5 = 2 then 'a' else signer end"
+_STALE = "signer = 'b' and employee_id % 5 = 1"
+
+_COSIGNED = CHAIN + ", " + _sealed("chain") + f""",
+signed as (select employee_id, checkpoint + 1 as checkpoint_id, last_seq as sequence_id, digest, merkle_root, digest || merkle_root as signature from sealed),
+heads as (select employee_id, sha256({_LABEL} || string_agg({_JSON}, ',' order by checkpoint_id) || ']') as prefix_digest from signed group by 1),
+registry as (select unnest({list(SEEDS)}) as witness, unnest({[s[:1].decode() for s in SEEDS.values()]}) as held_key, nullif(lower(trim(unnest({list(DOMAINS.values())}))), '') as domain),
+said as (select *, {_NAMED} as witness, case when {_STALE} then 'older' else prefix_digest end as over from (select *, unnest({list(SEEDS)}) as signer, unnest(range(1, {len(SEEDS)} + 1)) as place from heads) where {_SIGNS}),
+checked as (select s.employee_id, s.place, s.witness, r.held_key, r.domain, over = prefix_digest and o.held_key = r.held_key as valid, row_number() over (partition by s.employee_id, s.witness order by place) > 1 as again
+  from said s left join registry r on r.witness = s.witness join registry o on o.witness = s.signer),
+verdicts as (select *, case when again then 'malformed' when domain is null then 'untrusted'
+  when exists (select 1 from checked e where e.employee_id = c.employee_id and e.place < c.place and e.valid and not e.again and e.domain is not null and (e.held_key = c.held_key or e.domain = c.domain)) then 'counted'
+  when valid then 'verified' else 'invalid' end as verdict from checked c)"""
+
+
+def _cosigned(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sealed = K.fixed(_chain(spark, sf_dir), INTERVAL)
+    ours = sealed.select("employee_id", (F.col("checkpoint") + 1).alias("checkpoint_id"), F.col("last_seq").alias("sequence_id"), F.col("digest").alias("checkpoint_hash"), "merkle_root", F.concat("digest", "merkle_root").alias("signature_hex"), F.lit("k1").alias("key_id"))
+    heads = shared.stored(cosign.newest(ours, KEYS), "heads")
+    said = None
+    for place, (signer, seed) in enumerate(SEEDS.items(), 1):
+        rows = heads.select("*", F.lit(place).alias("place"), F.lit(signer).alias("signer")).where(_SIGNS)
+        over = F.when(F.expr(_STALE), "older").otherwise(F.col("prefix_digest"))
+        rows = rows.select("employee_id", "place", F.expr(_NAMED).alias("witness"), S.signature(cosign.message(over), seed).alias("signature_hex"))
+        said = rows if said is None else said.unionByName(rows)
+    registry = spark.createDataFrame([(w, S.ed25519_public(SEEDS[w]).hex(), DOMAINS[w]) for w in SEEDS], "witness string, public_key string, domain string")
+    return heads, said, registry
+
+
+@query(_COSIGNED + " select employee_id, place, witness, verdict from verdicts")
+def witness_statements(spark, sf_dir):
+    """Signed statements of up to five witnesses on every employee's list: good ones, a stale one, a name that repeats, one
+    whose domain is not registered, one with a key that counts already."""
+    return cosign.verdicts(*_cosigned(spark, sf_dir), S.ed25519_public(b"o" * 32).hex(), KEYS)
+
+
+@query(_COSIGNED + " select employee_id, case when bool_or(verdict in ('malformed', 'counted', 'invalid')) then 'fail' when bool_or(verdict = 'untrusted') or count(*) filter (verdict = 'verified') < 2 then 'unknown' else 'pass' end as status, count(*) as total, count(*) filter (verdict = 'verified') as valid from verdicts group by 1")
+def witness_signed_quorum(spark, sf_dir):
+    """Whether two independent witnesses have signed every employee's list, by signatures that are verified."""
+    return cosign.quorum(*_cosigned(spark, sf_dir), 2, S.ed25519_public(b"o" * 32).hex(), KEYS)
