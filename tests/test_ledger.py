@@ -14,7 +14,7 @@ from tidemark.operators import detect, limits, replay, rules, trust
 from tidemark.operators import sealed as SE
 from tidemark.sources import bundle, capsules, imports
 from tidemark.sources import derived as D
-from tidemark.streaming import jobs
+from tidemark.streaming import detection, jobs
 
 ANCHORS = "checkpoint_id long, sequence_id long, checkpoint_hash string, merkle_root string, signature_hex string, key_id string"
 LEDGER = "sequence_id long, actor_user_id int, employee_id int, action string, table_name string, row_id int, old_value_text string, new_value_text string, severity string, created_at timestamp_ntz, created_at_text string"
@@ -298,8 +298,8 @@ def test_unknown_ids(spark):
 def test_streams_equal_batches(spark, tmp_path, files):
     rows = D.ledger(spark, SF)
     jobs.arriving(rows, f"{tmp_path}/ledger", "sequence_id", files)
-    flags = jobs.detected(jobs.source(spark, f"{tmp_path}/ledger", 1), str(tmp_path))()
-    assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, detect.flags(rows).collect()))
+    detection.run(jobs.source(spark, f"{tmp_path}/ledger", 1), str(tmp_path))
+    assert sorted(map(tuple, detection.flags(spark, str(tmp_path)).collect())) == sorted(map(tuple, detect.flags(rows).collect()))
     sealed = jobs.sealing(jobs.source(spark, f"{tmp_path}/ledger", 1), 5, 172_800)
     jobs.to_files(sealed, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())

@@ -52,12 +52,21 @@ def burst_starts(ledger: DataFrame, more_than: int = 3) -> DataFrame:
 
 def incidents(ledger: DataFrame, more_than: int = 3) -> DataFrame:
     """The first start of each incident: starts at most an hour after the one before belong to its incident."""
-    return grouped(ledger, more_than).where(F.col("sequence_id") == F.col("root")).drop("root")
+    return first_starts(grouped(ledger, more_than))
+
+
+def first_starts(starts: DataFrame) -> DataFrame:
+    return starts.where(F.col("sequence_id") == F.col("root")).drop("root")
 
 
 def grouped(ledger: DataFrame, more_than: int = 3) -> DataFrame:
     """Every burst start with the root of its incident, the sequence of its first start: the flag that stands for it."""
-    starts = burst_starts(ledger, more_than).withColumn("_t", micros(F.col("created_at")))
+    return rooted(burst_starts(ledger, more_than))
+
+
+def rooted(starts: DataFrame) -> DataFrame:
+    """Burst starts with root."""
+    starts = starts.withColumn("_t", micros(F.col("created_at")))
     day = F.floor(F.col("_t") / (24 * HOUR))
     starts = O.previous(starts, [], day, ["_t", "sequence_id"], {"_before": "_t"})
     opens = F.col("_before").isNull() | (F.col("_t") - F.col("_before") > HOUR)
@@ -76,7 +85,12 @@ def open_flags(reviewed: DataFrame) -> DataFrame:
 
 def flags(ledger: DataFrame) -> DataFrame:
     """sequence_id, employee_id, reason: one flag for each row, in order of precedence; affected: the events it stands for."""
-    named = [(salary_changes(ledger), "salary_change", F.lit(1)), (deletions(ledger), "data_deletion", F.lit(1)), (incidents(ledger), "deactivation_burst", F.col("n_ahead"))]
+    return ranked(salary_changes(ledger), deletions(ledger), incidents(ledger))
+
+
+def ranked(changes: DataFrame, deleted: DataFrame, bursts: DataFrame) -> DataFrame:
+    """The flags of what was found, one for each row."""
+    named = [(changes, "salary_change", F.lit(1)), (deleted, "data_deletion", F.lit(1)), (bursts, "deactivation_burst", F.col("n_ahead"))]
     every = [df.select("sequence_id", "employee_id", F.struct(F.lit(i).alias("rank"), F.lit(reason).alias("reason"), n.cast("long").alias("affected")).alias("flag")) for i, (df, reason, n) in enumerate(named)]
     out = every[0].unionByName(every[1]).unionByName(every[2]).groupBy("sequence_id").agg(F.first("employee_id").alias("employee_id"), F.min("flag").alias("flag"))
     return out.select("sequence_id", "employee_id", "flag.reason", "flag.affected")

@@ -616,11 +616,3 @@ def _streamed(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
 def stream_chain(spark, sf_dir):
     events = jobs.source(spark, f"{sf_dir}/events.parquet").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k").selectExpr(*D.select(D.LEDGER))
     return _streamed(spark, jobs.chained(events))
-
-
-@query(_FLAGS + " select sequence_id, employee_id, reason, affected from flags")
-def stream_detect(spark, sf_dir):
-    """The periodic detector over four micro-batches: the ledger is written as four files, and read one a trigger."""
-    base = _shared(spark, "detect")
-    jobs.arriving(D.ledger(spark, sf_dir), f"{base}/ledger", "sequence_id", 4)
-    return jobs.detected(jobs.source(spark, f"{base}/ledger", 1), base)()

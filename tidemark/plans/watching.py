@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.plans.catalogue import BAD, _bad_chain, _links, query
+from tidemark.plans.catalogue import _FLAGS, BAD, _bad_chain, _links, query
 from tidemark.sources import derived as D
-from tidemark.streaming import monitor
+from tidemark.sources import shared
+from tidemark.streaming import detection, monitor
 
 PARTS = 3
 
@@ -46,3 +47,12 @@ def stream_seal_timed(spark, sf_dir):
 def stream_seal_boundary(spark, sf_dir):
     """Checkpoints at the multiples of an interval, as rows come."""
     return monitor.in_turn(D.ledger(spark, sf_dir), "sequence_id", PARTS, lambda rows, _: monitor.sealing(rows, interval=EVERY), "schedule")
+
+
+@query(_FLAGS + " select sequence_id, employee_id, reason, affected from flags")
+def stream_detect(spark, sf_dir):
+    """The flags of the ledger as it comes in parts, the detector being started again for each."""
+    base = shared.folder(spark, "detect")
+    for rows in monitor.fed(D.ledger(spark, sf_dir), "sequence_id", PARTS, base):
+        detection.run(rows, base)
+    return detection.flags(spark, base)

@@ -109,32 +109,6 @@ def transitions(statuses: DataFrame, key: str = "monitor") -> DataFrame:
     return statuses.select(key, F.col("checked_at").cast("long").alias("checked_at"), "status").groupBy(key).applyInPandasWithState(follow, f"{key} string, checked_at long, status string, before string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
-def detected(stream: DataFrame, base: str, per: str = "detect") -> Callable[[], DataFrame]:
-    """The periodic detector: keeps each micro-batch's rows and works out the flags of all rows kept, so that changes,
-    bursts and precedence hold across batches. Returns a function that reads the flags of the newest batch.
-
-    Rows and flags of a batch go to folders of its number and replace what is there, so a batch that runs again changes
-    nothing. Like the service that it stands for, each refresh looks at the whole ledger.
-    """
-    spark = stream.sparkSession
-    schema = stream.schema
-
-    def work(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{base}/{per}-rows/batch={batch}")
-        # A batch that was cut short may have left a later folder; only those up to this one count.
-        kept = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", f"{base}/{per}-rows").parquet(f"{base}/{per}-rows").where(F.col("batch") <= batch).drop("batch")
-        detect.flags(kept).write.mode("overwrite").parquet(f"{base}/{per}-flags/batch={batch}")
-
-    each_batch(stream, work, f"{base}/{per}-state").awaitTermination()
-
-    def newest() -> DataFrame:
-        found = spark.read.parquet(f"{base}/{per}-flags")
-        last = found.agg(F.max("batch")).first()[0]
-        return found.where(F.col("batch") == last).drop("batch")
-
-    return newest
-
-
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
     """Runs `work` on each micro-batch: all that is there, once, or at an interval. One query takes the place of a lock."""
     writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)

@@ -16,25 +16,30 @@ from tidemark.sources import shared
 from tidemark.streaming import jobs
 
 
-def in_turn(rows: DataFrame, order: str, parts: int, job: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
-    """What a streaming job makes of rows that come in `parts`, by growing `order`. After each part the job starts again from
-    its checkpoint and runs until nothing is left, so every part but the first is met after a restart.
-
-    job: a stream of the rows and the folder of its own to its output stream. Rows are sorted into parts and written once;
-    a part is as many files as Spark writes.
-    """
+def fed(rows: DataFrame, order: str, parts: int, base: str) -> Iterator[DataFrame]:
+    """Streams of rows that come in `parts`, by growing `order`: one after each part, over all that is there by then. Rows are
+    sorted into parts and written once; a part is as many files as Spark writes."""
     spark = rows.sparkSession
-    base = shared.folder(spark, name)
     low, high = rows.agg(F.min(order), F.max(order)).first()
     place = F.least(F.floor((F.col(order) - low) * parts / ((high - low) or 1)), F.lit(parts - 1)) if low is not None else F.lit(0)
     rows.withColumn("part", place.cast("int")).write.partitionBy("part").parquet(f"{base}/all")
     held = spark.read.schema(T.StructType([*rows.schema, T.StructField("part", T.IntegerType())])).parquet(f"{base}/all")
-    out = None
     for i in range(parts):
         held.where(F.col("part") == i).drop("part").write.mode("append").parquet(f"{base}/ledger")
-        out = job(spark.readStream.schema(rows.schema).parquet(f"{base}/ledger"), base)
+        yield spark.readStream.schema(rows.schema).parquet(f"{base}/ledger")
+
+
+def in_turn(rows: DataFrame, order: str, parts: int, job: Callable[[DataFrame, str], DataFrame], name: str) -> DataFrame:
+    """What a streaming job makes of rows that come in `parts`, by growing `order`. After each part the job starts again from
+    its checkpoint and runs until nothing is left, so every part but the first is met after a restart.
+
+    job: a stream of the rows and the folder of its own to its output stream.
+    """
+    base = shared.folder(rows.sparkSession, name)
+    for stream in fed(rows, order, parts, base):
+        out = job(stream, base)
         jobs.to_files(out, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/out")
+    return rows.sparkSession.read.schema(out.schema).parquet(f"{base}/out")
 
 
 def verified(chain: DataFrame, key: str = "employee_id", position: str = "chain_seq", stale_s: int | None = None) -> DataFrame:
