@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,12 @@ def repeated_dates(salaries: DataFrame) -> DataFrame:
     return salaries.groupBy("employee_id", "effective_date").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def batch_errors(batch: DataFrame, most: int = 20) -> DataFrame:
-    """A batch's faults: too many rows, e-mails that repeat whatever their case."""
-    rows = batch.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("email"))).alias("emails"), F.count("email").alias("named"))
-    return rows.select((F.col("n") > most).alias("too_many"), (F.col("emails") < F.col("named")).alias("repeated_email"))
+def batch_errors(batch: DataFrame, most: int = 20, keys: Sequence[str] = ()) -> DataFrame:
+    """The faults of each batch, by the keys: too many rows, e-mails that repeat whatever their case."""
+    rows = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.lower(F.trim("email"))).alias("emails"), F.count("email").alias("named"))
+    return rows.select(*keys, (F.col("n") > most).alias("too_many"), (F.col("emails") < F.col("named")).alias("repeated_email"))
+
+
+def repeated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values of the keys that more than one row has, with their number."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

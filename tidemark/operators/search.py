@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import ordered as O
+
+#: Ids that one window of a numbering looks at.
+BUCKET = 1 << 16
 
 
 def search(ledger: DataFrame, actor: int | None = None, action: str | None = None, table: str | None = None, severity: str | None = None, sequence: int | None = None, employee: int | None = None, blind_index: str | None = None) -> DataFrame:
@@ -114,7 +118,7 @@ def directory(employees: DataFrame, roles: DataFrame, departments: DataFrame, sa
 def find_employees(rows: DataFrame, text: str | None = None, department: str | None = None, active: bool | None = None) -> DataFrame:
     """By id (# and EMP- ignored) or part of name or e-mail; by department unless all; by activity."""
     if text:
-        bare = text.strip().upper().removeprefix("EMP-").removeprefix("#")
+        bare = text.strip().lstrip("#").upper().replace("EMP-", "").strip()
         match = F.col("full_name").ilike(f"%{text}%") | F.col("email").ilike(f"%{text}%")
         rows = rows.where(match | (F.col("employee_id") == int(bare)) if bare.isascii() and bare.isdigit() else match)
     if department and department.lower() != "all":
@@ -122,6 +126,13 @@ def find_employees(rows: DataFrame, text: str | None = None, department: str | N
     return rows if active is None else rows.where(F.col("is_active") == active)
 
 
+def paged(rows: DataFrame, size: int, order: str = "employee_id") -> DataFrame:
+    """Adds page (from 1, in order, `size` rows each) and pages, for every row: no single task numbers them all."""
+    out = O.numbered(rows, [], F.floor(F.col(order) / BUCKET), [order], "_n")
+    total = rows.agg(pages(F.count(F.lit(1)), size).alias("pages"))
+    return out.withColumn("page", F.ceil(F.col("_n") / size)).drop("_n").crossJoin(F.broadcast(total))
+
+
 def field_changes(ledger: DataFrame) -> DataFrame:
     """sequence_id, key, old, new, change (Added, Removed, Changed) for every key that differs between the payloads."""
     old, new = (F.coalesce(X.payload(F.col(c)), F.create_map().cast("map<string,string>")) for c in ("old_value_text", "new_value_text"))

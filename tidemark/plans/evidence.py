@@ -9,12 +9,12 @@ from tidemark.functions import secrets as S
 from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
-from tidemark.operators import detect, replay, search
+from tidemark.operators import detect, replay, rules, search
 from tidemark.plans import catalogue as Q
 from tidemark.plans.catalogue import BAD, CHAIN, INTERVAL, query
 from tidemark.sources import bundle, capsules
 from tidemark.sources import derived as D
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, monitor
 
 #: A seed for examples: not a secret.
 SEED = bytes(range(32))
@@ -318,18 +318,47 @@ def payload_diff_counts(spark, sf_dir):
 
 @query(CHAIN + f" select employee_id, chain_seq - {INTERVAL} as sealed_after, chain_seq as sealed_at, 'count' as reason from chain where chain_seq % {INTERVAL} = 0")
 def stream_seal(spark, sf_dir):
-    """The checkpoint scheduler over a ledger that arrives in four files, one a trigger."""
-    base = Q._shared(spark, "seal")
-    jobs.arriving(D.ledger(spark, sf_dir), f"{base}/ledger", "sequence_id", 4)
-    return Q._streamed(spark, jobs.sealing(jobs.source(spark, f"{base}/ledger", 1), INTERVAL, None))
+    """The checkpoint scheduler over a ledger that arrives in four parts, started again for each."""
+    return monitor.in_turn(D.ledger(spark, sf_dir), "sequence_id", 4, lambda rows, _: jobs.sealing(rows, INTERVAL, None), "seal")
 
 
 @query("select user_id::varchar as monitor, epoch_us(ts) as checked_at, event_type as status, before from (select *, coalesce(lag(event_type) over (partition by user_id order by ts, event_id), 'intact') as before from events) where event_type <> before")
 def stream_transitions(spark, sf_dir):
-    """Alerts when the kind of a user's events changes, over a stream of four files in order of time."""
-    base = Q._shared(spark, "alerts")
+    """Alerts when the kind of a user's events changes, over a stream of four parts in order of time."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     t = detect.micros(F.col("ts"))
     statuses = events.select(F.col("user_id").cast("string").alias("monitor"), t.alias("checked_at"), F.col("event_type").alias("status"))
-    jobs.arriving(statuses, f"{base}/events", "checked_at", 4)
-    return Q._streamed(spark, jobs.transitions(jobs.source(spark, f"{base}/events", 1)))
+    return monitor.in_turn(statuses, "checked_at", 4, lambda rows, _: jobs.transitions(rows), "alerts")
+
+
+# Pages, batches, scores and repeats.
+
+
+@query(D.with_sql("employees", "roles", "departments") + " select employee_id, title, ceil(row_number() over (order by employee_id) / 20.0)::bigint as page, ceil(count(*) over () / 20.0)::bigint as pages from employees join roles using (role_id) join departments using (department_id)")
+def directory_pages(spark, sf_dir):
+    """Every page of the directory, in order of id."""
+    rows = search.directory(*(D.table(spark, sf_dir, t) for t in ("employees", "roles", "departments")))
+    return search.paged(rows, 20).select("employee_id", "title", "page", "pages")
+
+
+_BATCH = {"batch": "case when employee_id % 2 = 0 then 'even ' || cast(floor(employee_id / 40) as int) else 'odd ' || cast(floor(employee_id / 50) as int) end", "email": "case when employee_id % 160 < 40 and employee_id % 8 = 0 then 'Shared@example.com' when employee_id % 160 < 40 and employee_id % 8 = 4 then 'SHARED@example.com' else email end"}
+
+
+@query(D.with_sql("employees") + f" select batch, count(*) > 20 as too_many, count(distinct lower(trim(email))) < count(email) as repeated_email from (select {', '.join(D.select(_BATCH))} from employees) group by 1")
+def rule_batches(spark, sf_dir):
+    """Employees entered in batches, some of which are too large or have an e-mail twice."""
+    return rules.batch_errors(D.table(spark, sf_dir, "employees").selectExpr(*D.select(_BATCH)), keys=["batch"])
+
+
+@query(BAD + ", " + Q._report("bad") + " select employee_id, round_even(100.0 * ((n_mismatch = 0)::int + (n_gap = 0)::int + (n_orphan = 0)::int) / 3, 0)::int as score from report")
+def integrity_scores(spark, sf_dir):
+    """Of the three checks of every chain the percentage that passes."""
+    each = [F.when(F.col(c) == 0, "pass").otherwise("fail") for c in ("n_mismatch", "n_gap", "n_orphan")]
+    return CH.report(Q._bad_chain(spark, sf_dir)).select("employee_id", CH.score(F.array(*each)).alias("score"))
+
+
+@query(Q._LISTS + " select employee_id, sequence_id, count(*) as n from (select * from ours union all select * from theirs) group by 1, 2 having count(*) > 1")
+def repeated_sequences(spark, sf_dir):
+    """Sequences that two checkpoints of an employee have, when published lists are put to ours."""
+    ours, theirs = Q._lists(spark, sf_dir)
+    return rules.repeated(ours.unionByName(theirs), ["employee_id", "sequence_id"])
