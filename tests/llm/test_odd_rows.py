@@ -353,14 +353,54 @@ def test_prefixes_of_a_long_piece_are_not_encoded(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rng = random.Random(9)
     text = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20_000)) + "\n" + "\n".join(f"word{i}" for i in range(5_000))
-    count = tokens.Counter(path)
-    encode, asked = count.encode, []
-    count.encode = lambda texts: asked.extend(texts) or encode(texts)
+    stepped, encode, asked = tokens.Steps(path), tokens.encoder(path), []
+    stepped.count.encode = lambda texts: asked.extend(texts) or encode(texts)
     import pyarrow as pa
 
-    total, fit = tokens._batch(pa.array([text], pa.large_string()), count, True, 512)
-    assert sum(map(len, asked)) <= 3 * len(text)
-    assert encode([text]) == [total[0]] and encode([text[: fit[0]]])[0] <= 512 < encode([text[: fit[0] + 1]])[0]
+    [(steps, width)] = stepped(pa.array([text], pa.large_string()))
+    counts = tokens._decoded(0, width, steps)
+    assert not asked and len(counts) == len(text) + 1
+    for k in (1, 77, 512, 19_999, 20_001, 30_000, len(text)):
+        assert encode([text[:k]]) == [counts[k]]
+
+
+def test_steps_equal_the_tokenizer_and_tokens_stand_as_it_leaves_them(spark, docs):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(10)
+    u, encode = tokens.Units(path), tokens.encoder(path)
+    assert u.ranks
+    vocab = [x for x in sorted(u.vocab) if u.stand("", x)]
+    for a, b in ((rng.choice(vocab), rng.choice(vocab)) for _ in range(20_000)):
+        assert u.stand(a, b) == ([x.value for x in u.model.tokenize(a + b)] == [a, b]), (a, b)
+    # Parts of one token, and runs of one character, where merges of equal rank meet.
+    for t in rng.sample([x for x in vocab if len(x) > 2], 5_000) + ["-" * n for n in range(2, 60)] + ["Ġ" * n for n in range(2, 60)]:
+        k = rng.randrange(1, len(t))
+        a, b = t[:k], t[k:]
+        if u.stand("", a) and u.stand("", b) and a in u.vocab and b in u.vocab:
+            assert u.stand(a, b) == ([x.value for x in u.model.tokenize(a + b)] == [a, b]), (a, b)
+    texts = ["we're you'll I've o'clock", "a\nb c\td", "x<|endoftext|>y z", "Слово 漢字 🙂é a\u0301", "=" * 300 + " " + "-" * 70, "no  single space", "tail ", " head", "", "\x00\x7f\x80\xff end"]
+    texts += ["".join(rng.choice(["'re", "don't", "9", "\n", "é", "🙂", "=", "word", " of", " 12", "\x85", "<|endo"]) for _ in range(12)) for _ in range(100)]
+    for text, (steps, width) in zip(texts, tokens.Steps(path)(pa.array(texts, pa.large_string()))):
+        assert tokens._decoded(0, width, steps).tolist() == [encode([text[:k]])[0] for k in range(len(text) + 1)], text
+
+
+def test_budgets_from_a_stored_table_of_small_blocks(spark, docs, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = tokens.encoder(path)
+    monkeypatch.setattr(tokens, "BLOCK", 7)
+    rows = list({d: t for d, t, _ in TEXTS if d is not None and len(t or "") < 3000}.items())
+    assert rows
+    table = tokens.step_table(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    counts = {d: [encode([(t or "")[:k]])[0] for k in range(len(t or "") + 1)] for d, t in rows}
+    assert table.count() == sum(-(-len(x) // 7) for x in counts.values())
+    for limit in (0, 3, 40):
+        got = {r["doc_id"]: (r["n_tokens"], r["over_limit"], r["fit_chars"]) for r in tokens.budgets(table, limit).collect()}
+        assert got == {d: (x[-1], x[-1] > limit, max(k for k, n in enumerate(x) if n <= limit)) for d, x in counts.items()}
 
 
 def test_url_cascade_equals_membership(spark):
