@@ -17,6 +17,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -193,21 +194,26 @@ class Units:
         if found == b"":
             if len(self.stepped) > CACHE:
                 self.stepped.clear()
-            found = self._shared(unit) if len(unit) <= SHORT else _packed(self.prefixes(unit))
-            if unit in _ENDINGS:
-                found = _packed([0, 1, 2, 1])
-            elif found is not None and _WITHIN.search(unit):
-                # The changes within a character count at its end.
-                changes, held = [], 0
-                for j, change in enumerate(found, 1):
-                    held += change - (change >> 7 << 8)
-                    if j == len(unit) or unit[j] not in _INNER:
-                        changes.append(held)
-                        held = 0
-                found = bytes(x & 255 for x in changes) if all(-128 <= x < 128 for x in changes) else None
-            self.stepped[unit] = found
+            found = self.stepped[unit] = self.worked(unit)
         return found
 
+    def worked(self, unit: str) -> bytes | None:
+        """Steps that are not remembered."""
+        if unit in _ENDINGS:
+            # Cut short it is no ending: the apostrophe stands by itself.
+            return _packed([0, 1, 2, 1])
+        found = self._shared(unit) if len(unit) <= SHORT else _packed(self.prefixes(unit))
+        if found is None or not _WITHIN.search(unit):
+            return found
+        # The changes within a character count at its end.
+        changes, held = [], 0
+        for j, change in enumerate(found, 1):
+            held += change - (change >> 7 << 8)
+            if j == len(unit) or unit[j] not in _INNER:
+                changes.append(held)
+                held = 0
+        return bytes(x & 255 for x in changes) if all(-128 <= x < 128 for x in changes) else None
+
     def _shared(self, unit: str) -> bytes:
         """The change of the count with each byte of a short pre-token: what others that start alike have found is kept."""
         known, vocab, stand, longest = self.shared, self.vocab, self.stand, self.longest
@@ -363,7 +369,7 @@ class _AsciiSteps(dict):
     def __missing__(self, unit: str) -> bytes | None:
         if len(self) > CACHE:
             self.clear()
-        found = self[unit] = self.units.steps(unit.translate(_LETTERS))
+        found = self[unit] = self.units.worked(unit.translate(_LETTERS))
         return found
 
 
@@ -401,10 +407,11 @@ class Steps:
         return self.units(unit.translate(_LETTERS))
 
     def _learn(self, pieces: list[str]) -> None:
+        """Steps of pieces that are not ASCII."""
         if len(self.known) > CACHE:
             self.known.clear()
         new = [x for x in pieces if x not in self.known]
-        plain = [x for x in new if x.startswith(" ") and not x.isascii() and not _RUN.search(x) and not self._added(x)]
+        plain = [x for x in new if x.startswith(" ") and not _RUN.search(x) and not self._added(x)]
         # Such pieces end where the next one's space is, so all of them are split as one text.
         found, at, end = self.units.split("".join(plain)) if plain else [], 0, 0
         for piece in plain:
@@ -415,11 +422,23 @@ class Steps:
                 at += 1
             self.known[piece] = None if None in parts else b"".join(parts)
         for piece in new:
-            if piece.isascii() and not self._added(piece):
-                self.known[piece] = self._ascii(piece)
-            elif piece not in self.known:
+            if piece not in self.known:
                 self.known[piece] = _narrow(self.wide(piece))
 
+    def _cut(self, text: str) -> bytes | None:
+        """Steps of a text that is cut before its spaces: stretches of ASCII pieces as one, other pieces by themselves."""
+        head, *rest = text.split(" ")
+        groups = [(ascii, list(x)) for ascii, x in groupby([head, *(" " + x for x in rest)], str.isascii)]
+        self._learn(list(dict.fromkeys(x for ascii, group in groups if not ascii for x in group)))
+        parts = []
+        for ascii, group in groups:
+            if ascii:
+                stretch = "".join(group)
+                parts.append(_narrow(self.wide(stretch)) if self._added(stretch) else self._ascii(stretch))
+            else:
+                parts.extend(map(self.known.__getitem__, group))
+        return None if None in parts else b"".join(parts)
+
     def _added(self, text: str) -> bool:
         return self.units.added is not None and self.units.added.search(text) is not None
 
@@ -434,12 +453,7 @@ class Steps:
             if text.isascii() and not self._added(text):
                 found = self._ascii(text)
             elif ok and text:
-                head, *rest = text.split(" ")
-                pieces = [head, *(" " + x for x in rest)]
-                if not all(map(self.known.__contains__, pieces)):
-                    self._learn(list(dict.fromkeys(pieces)))
-                parts = [self.known[x] for x in pieces]
-                found = None if None in parts else b"".join(parts)
+                found = self._cut(text)
             if found is None:
                 steps = self.wide(text)
                 found = _narrow(steps)
@@ -449,6 +463,11 @@ class Steps:
             yield found, 1
 
 
+@lru_cache(maxsize=2)
+def stepper(path: str) -> Steps:
+    return Steps(path)
+
+
 def _narrow(steps: np.ndarray) -> bytes | None:
     """Steps as signed bytes, or None where one does not fit."""
     small = steps.astype(np.int8)
@@ -499,7 +518,7 @@ def step_table(docs: DataFrame, model: str, text: str = "text", keep: tuple[str,
     schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in own), "n_bytes long, n_tokens long, block long, base long, width int, steps binary, least long, later long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stepped = Steps(model)
+        stepped = stepper(model)
         for batch in C.slices(batches):
             texts = C.plain(batch.column("text"))
             size = pc.binary_length(texts).to_pylist()
