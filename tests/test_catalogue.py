@@ -1,7 +1,7 @@
 import pytest
 
 from tests.parity import same
-from tidemark.plans import actors, bands, catalogue, evidence, history, sealing, watching, witnesses  # noqa: F401
+from tidemark.plans import actors, bands, catalogue, evidence, exchange, history, sealing, watching, witnesses  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
