@@ -221,6 +221,44 @@ def test_warc(spark, tmp_path):
     assert warc.write(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_records_of_other_writers(spark, tmp_path):
+    import gzip
+
+    def made(kind, block, content=None, **more):
+        head = [("WARC-type", kind), ("warc-record-id", "<urn:uuid:1>"), ("Content-length", str(len(block))), *((k.replace("_", "-"), v) for k, v in more.items())]
+        if content:
+            head.append(("Content-Type", content))
+        return b"WARC/1.0\r\n" + "".join(f"{k}:{v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = "application/http; msgtype=response"
+    good = [
+        made("warcinfo", b"software: x\r\n", "application/warc-fields", warc_block_digest="sha1:" + warc.base32_sha1(b"software: x\r\n")),
+        made("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", "application/http; msgtype=request"),
+        made("response", b"HTTP/1.1 200 OK\r\ncontent-length: 2\r\n\r\nhi", http, WARC_Target_URI="http://a/\r\n b"),
+        made("response", b"HTTP/1.1 200 OK\r\n\r\nno length", http, WARC_Payload_Digest="sha256:ff"),
+        made("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nhi", http, WARC_Truncated="length", WARC_Payload_Digest="SHA1:" + hashlib.sha1(b"hi").hexdigest()),
+        made("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http),
+        made("metadata", b""),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in good))
+    got = warc.read(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string")).orderBy("offset").collect()
+    assert [(r["record_type"], r["payload"] and bytes(r["payload"]), r["payload_bytes"]) for r in got] == [
+        ("warcinfo", b"software: x\r\n", 13), ("request", b"", 0), ("response", b"hi", 2), ("response", b"no length", 9), ("response", b"hi", 2), ("revisit", None, None), ("metadata", b"", 0)]
+    assert got[2]["url"] == "http://a/ b" and {r["record_id"] for r in got} == {"<urn:uuid:1>"} and {r["page_id"] for r in got} == {None}
+    assert [r["payload_digest"] for r in got] == [None if x is None else warc.base32_sha1(x) for x in (b"software: x\r\n", b"", b"hi", b"no length", b"hi", None, b"")]
+    bad = [
+        made("warcinfo", b"x", warc_block_digest="sha1:" + "A" * 32),
+        made("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nhi", http),
+        made("response", b"HTTP/1.1 200 OK\r\n\r\nhi", http, WARC_Payload_Digest="sha1:" + "A" * 32),
+        good[0][:-1],
+        good[0].replace(b"warc-record-id", b"warc-record"),
+        b"WARC/1.0\r\nno field\r\n\r\n\r\n\r\n",
+    ]
+    for data in bad:
+        with pytest.raises(warc.WarcError):
+            warc.parse(data)
+
+
 def test_mix(spark, docs):
     got = mixing.mix(docs).collect()
     sizes = Counter((d, len(words(t))) for d, t, _ in TEXTS)
@@ -419,6 +457,20 @@ def test_url_cascade_equals_membership(spark):
     assert urls.judge(pages.limit(0), listed).count() == 0
 
 
+def test_url_cascade_in_many_blocks_joined_by_block(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BLOCK_WORDS", 1)
+    hosts = [f"h{i}.example" for i in range(400)] + ["", "x"]
+    universe = spark.createDataFrame([(h, i % 3 == 0) for i, h in enumerate(hosts)], "key string, listed boolean")
+    asked = spark.createDataFrame([(h,) for h in hosts * 2], "host string")
+    want = Counter((h, i % 3 == 0) for i, h in enumerate(hosts))
+    for most in (urls.MAX_SCALAR_BLOCKS, 0):
+        monkeypatch.setattr(urls, "MAX_SCALAR_BLOCKS", most)
+        levels = urls.build(universe)
+        assert levels[0].n_blocks > 8 and all((x.value is None) == (most == 0) for x in levels)
+        got = urls.member(asked, "host", levels, "listed").collect()
+        assert Counter((r["host"], r["listed"]) for r in got) == want + want
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     items = [(i, _prose(rng, 30) + f" answer{i} key{i} token{i}") for i in range(12)] + [(90, None), (91, ""), (0, "again " + _prose(rng, 20))]

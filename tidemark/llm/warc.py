@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
 _MANIFEST = "path string, records long, bytes long"
-_RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
+_RECORDS = "record_id string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
 
 
 class WarcError(ValueError):
@@ -81,27 +81,66 @@ def members(stream) -> Iterator[tuple[int, bytes]]:
         offset += used
 
 
+def _headers(lines: bytes) -> dict[str, str]:
+    """Named fields by lower-case name; a line that begins with white space goes on with the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in lines.decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name is not None:
+            fields[name] = f"{fields[name]} {line.strip()}".strip()
+        elif line:
+            name, mark, value = line.partition(":")
+            if not mark:
+                raise WarcError(f"no named field: {line!r}")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
+def _verified(stated: str | None, data: bytes, what: str) -> str:
+    """The base32 SHA-1 of data; an error if the stated digest is another one. Digests that are not SHA-1 are not verified."""
+    own = base32_sha1(data)
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() == "sha1" and value.upper() != own and value.lower() != hashlib.sha1(data).hexdigest():
+        raise WarcError(f"the {what} digest differs")
+    return own
+
+
 def parse(data: bytes) -> dict:
-    """The fields of one record, with its frame and digests verified."""
+    """The fields of one record, with its frame and those digests verified that it states.
+
+    Records of other writers are read too: names of fields in any case, folded lines, no digests, ids of any form (then
+    page_id and refers_to are null) and any type. The payload of an HTTP response or request is what follows its header, of
+    any other record its block; a revisit has none, and its size and digest are what it states, else null.
+    """
     head, mark, rest = data.partition(b"\r\n\r\n")
     version, _, lines = head.partition(b"\r\n")
     if not mark or not version.startswith(b"WARC/"):
         raise WarcError("no WARC header")
-    fields = dict(x.split(": ", 1) for x in lines.decode().split("\r\n"))
-    size = int(fields["Content-Length"])
+    fields = _headers(lines)
+    for name in ("warc-type", "warc-record-id", "content-length"):
+        if name not in fields:
+            raise WarcError(f"no {name}")
+    size = int(fields["content-length"])
     block, tail = rest[:size], rest[size:]
     if len(block) != size or tail != b"\r\n\r\n":
         raise WarcError("the block is not as long as Content-Length says")
-    if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
-        raise WarcError("the block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = int(re.search(rb"\r\nContent-Length: (\d+)", http)[1])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    full = fields["WARC-Type"] == "response"
-    if full and (len(payload) != stated or base32_sha1(payload) != digest):
-        raise WarcError("the payload digest differs")
+    if "warc-block-digest" in fields:
+        _verified(fields["warc-block-digest"], block, "block")
+    kind, asked = fields["warc-type"].lower(), fields.get("warc-payload-digest")
+    web = fields.get("content-type", "").lower().startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if web else (b"", b"", block)
+    length = re.search(rb"(?i)\r\nContent-Length:[ \t]*(\d+)", http)
+    stated = int(length[1]) if length else None
+    if kind == "revisit":
+        payload, n = None, stated
+        digest = asked.partition(":")[2] if asked and asked.lower().startswith("sha1:") else None
+    else:
+        n, digest = len(payload), _verified(asked, payload, "payload")
+        if kind == "response" and stated not in (None, n) and "warc-truncated" not in fields:
+            raise WarcError("the payload is not as long as the HTTP header says")
     number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(k, ""))) else None
-    return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload": payload if full else None, "payload_bytes": stated, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To")}
+    return {"record_id": fields["warc-record-id"], "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to")}
 
 
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -152,10 +191,10 @@ def write(pages: DataFrame, folder: str, least: int = 0, level: int = 6) -> Data
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives in column `path`, verified: page_id, url, payload (null for revisits and where not
+    """The records of the archives in column `path`, verified: record_id, page_id, url, payload (null for revisits and where not
     asked for), payload_bytes, payload_digest, record_type, refers_to, path, offset. A damaged archive is an error."""
-    names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"]
-    types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["record_id", "page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
