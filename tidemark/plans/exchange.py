@@ -1,11 +1,17 @@
-"""Import files: employees written as CSV, read back and judged row by row."""
+"""What comes from outside: import files judged row by row, and excerpts of chains verified without their beginning."""
 
 from __future__ import annotations
 
-from tidemark.plans.catalogue import query
+from pyspark.sql import functions as F
+
+from tidemark.operators import chain as CH
+from tidemark.plans.catalogue import _SERIAL, BAD, _bad_chain, query
 from tidemark.sources import derived as D
 from tidemark.sources import imports, shared
 
+#: Positions of an excerpt.
+EXCERPT = 20
+
 _CASE = "employee_id % 17"
 #: Import rows with the faults of a careless file, by expressions that Spark and DuckDB share: names without letters, with
 #: quotes and commas, shared and missing addresses, unknown roles and departments, days and salaries that are none.
@@ -41,3 +47,18 @@ def import_faults(spark, sf_dir):
     path = shared.folder(spark, "import")
     imports.write(rows, path)
     return imports.faults(imports.read(spark, path), tables["roles"], tables["departments"]).selectExpr("national_id", "array_join(faults, ',') as faults")
+
+
+_EXCERPTS = f""", cut as (select *, (chain_seq - 1) // {EXCERPT} as excerpt, sha256({_SERIAL} || previous_hash) as recomputed from bad),
+held as (select *, recomputed <> entry_hash as mismatch, chain_seq <> coalesce(lag(chain_seq) over w, chain_seq - 1) + 1 as gap, previous_hash <> coalesce(lag(recomputed) over w, previous_hash) as orphan
+  from cut window w as (partition by employee_id, excerpt order by chain_seq))"""
+
+
+@query(BAD + _EXCERPTS + " select employee_id, excerpt, min(chain_seq) as first_seq, count(*) as entries, count(*) filter (mismatch) as mismatches, count(*) filter (gap) as gaps, count(*) filter (orphan) as orphans from held group by 1, 2")
+def chain_excerpts(spark, sf_dir):
+    """Every chain cut into excerpts, each verified as if it had come alone: its first row is trusted, position and previous
+    hash included, so a row missing between two excerpts shows in neither, and all else within one does."""
+    rows = _bad_chain(spark, sf_dir).withColumn("excerpt", F.floor((F.col("chain_seq") - 1) / EXCERPT))
+    held = CH.links(rows, ("employee_id", "excerpt"), seed=None)
+    counts = [F.count_if(F.col(c)).alias(n) for c, n in (("mismatch", "mismatches"), ("gap", "gaps"), ("orphan", "orphans"))]
+    return held.groupBy("employee_id", "excerpt").agg(F.min("chain_seq").alias("first_seq"), F.count(F.lit(1)).alias("entries"), *counts)
