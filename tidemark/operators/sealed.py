@@ -38,32 +38,38 @@ def _joined(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str = "inne
     return a.alias("a").join(b.alias("b"), _same("a", "b", columns), how).select("a.*", *more)
 
 
-def leaves(chain: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS, position: str = "chain_seq") -> DataFrame:
+def leaves(chain: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS, position: str = "chain_seq", entries: bool = True) -> DataFrame:
     """The sealed rows of a chain, stored: keys, sealed_after, sealed_at, place (from 0, in the segment), n (rows of the
-    segment), the position, entry_hash and hash (the leaf). marks: keys, last_seq of checkpoints."""
-    rows = CH.bounds(chain, marks, keys, position).where("sealed_at IS NOT NULL")
-    slim = rows.select(*keys, "sealed_after", "sealed_at", position, "entry_hash", K.leaf(X.serialised()).alias("hash"))
-    named = O.numbered(slim, [*keys, "sealed_at"], F.floor(F.col(position) / BUCKET), [position], "place").withColumn("place", F.col("place") - 1)
+    segment), the position, entry_hash (only with `entries`) and hash (the leaf). marks: keys, last_seq of checkpoints."""
+    # Rows are hashed where they are made: no payload goes through the exchanges that follow, and a hash as 32 bytes.
+    own = ["entry_hash"] if entries else []
+    slim = chain.select(*keys, position, *own, F.unhex(K.leaf(X.serialised())).alias("hash"))
+    rows = CH.bounds(slim, marks, keys, position).where("sealed_at IS NOT NULL")
+    named = O.numbered(rows, [*keys, "sealed_at"], F.floor(F.col(position) / BUCKET), [position], "place").withColumn("place", F.col("place") - 1)
     sizes = named.groupBy(*keys, "sealed_at").agg(F.count(F.lit(1)).alias("n"))
-    return shared.stored(_joined(named, sizes, [*keys, "sealed_at"]), "leaves")
+    out = _joined(named, sizes, [*keys, "sealed_at"])
+    return shared.stored(out.select(*keys, "sealed_after", "sealed_at", position, *own, F.lower(F.hex("hash")).alias("hash"), "place", "n"), "leaves")
 
 
 class Tree:
     """The stored trees over `leaves`, one for each segment. layers[i]: keys, sealed_at, block, hashes of up to 2 ** STEP
-    neighbouring nodes of level i * STEP."""
+    neighbouring nodes of level i * STEP; the lowest also has what `beside` names of each leaf, so that paths need not be
+    joined to their rows."""
 
-    def __init__(self, rows: DataFrame, keys: Sequence[str] = KEYS, step: int = STEP):
-        self.keys, self.step, self.layers = [*keys, "sealed_at"], step, []
+    def __init__(self, rows: DataFrame, keys: Sequence[str] = KEYS, step: int = STEP, beside: Sequence[str] = ()):
+        self.keys, self.step, self.layers, self.beside = [*keys, "sealed_at"], step, [], list(beside)
         most = rows.agg(F.max("n")).first()[0] or 0
-        level = rows.select(*self.keys, "place", "hash")
+        level = rows.select(*self.keys, "place", F.unhex("hash").alias("hash"), *self.beside)
         while True:
-            packed = F.array_sort(F.collect_list(F.struct("place", "hash")))
+            more = [] if self.layers else self.beside
+            packed = F.array_sort(F.collect_list(F.struct("place", "hash", *more)))
             blocks = level.groupBy(*self.keys, F.shiftright("place", step).alias("block")).agg(packed.alias("_p"))
-            self.layers.append(shared.stored(blocks.select(*self.keys, "block", F.col("_p.hash").alias("hashes")), "tree"))
+            hashes = F.transform("_p.hash", lambda h: F.lower(F.hex(h)))
+            self.layers.append(shared.stored(blocks.select(*self.keys, "block", hashes.alias("hashes"), *[F.col(f"_p.{c}").alias(f"_all_{c}") for c in more]), "tree"))
             if most <= 1 << step:
                 return
             most = -(-most >> step)
-            level = self.layers[-1].select(*self.keys, F.col("block").alias("place"), F.get(F.get(self._levels(step), F.lit(step)), F.lit(0)).alias("hash"))
+            level = self.layers[-1].select(*self.keys, F.col("block").alias("place"), F.unhex(F.get(F.get(self._levels(step), F.lit(step)), F.lit(0))).alias("hash"))
 
     @staticmethod
     def _levels(count: int) -> Column:
@@ -91,9 +97,11 @@ class Tree:
         top = F.when(F.col("_n") > 1, F.length(F.bin(F.col("_n") - 1))).otherwise(0)
         return _joined(out, height.select(*self.keys, top.alias("_top")), self.keys).where("level <= _top").drop("_top")
 
-    def paths(self, asked: DataFrame | None = None) -> DataFrame:
-        """keys, sealed_at, place, hash, path (left:hash or right:hash by level, none where a node is promoted) of every leaf,
-        or of those asked for (keys, sealed_at, place). Only rows of the tree on the way to an asked leaf are opened."""
+    def paths(self, asked: DataFrame | None = None, root: bool = False) -> DataFrame:
+        """keys, sealed_at, place, hash, path (left:hash or right:hash by level, none where a node is promoted), what the tree
+        has beside, and with `root` merkle_root, of every leaf, or of those asked for (keys, sealed_at, place). Only rows of
+        the tree on the way to an asked leaf are opened."""
+        top = ["merkle_root"] if root else []
         heads = None
         for i in reversed(range(len(self.layers))):
             blocks = self.layers[i]
@@ -101,11 +109,15 @@ class Tree:
                 on_way = asked.select(*self.keys, F.shiftright("place", self.step * (i + 1)).alias("block")).distinct()
                 blocks = _joined(blocks, on_way, [*self.keys, "block"], "left_semi")
             up = blocks.withColumn("_levels", self._levels(self.step - 1))
-            up = up.withColumn("_above", F.array().cast("array<string>")) if heads is None else _joined(up, heads, [*self.keys, "block"])
+            if heads is not None:
+                up = _joined(up, heads, [*self.keys, "block"])
+            else:
+                up = up.withColumn("_above", F.array().cast("array<string>"))
+                up = up.withColumn("merkle_root", F.get(F.get(self._levels(self.step), F.lit(self.step)), F.lit(0))) if root else up
             rows = up.select("*", F.posexplode("hashes").alias("_at", "hash"))
             path = F.concat(F.array_compact(F.array(*[self._sibling(d) for d in range(self.step)])), F.col("_above"))
-            rows = rows.select(*self.keys, (F.shiftleft("block", self.step) + F.col("_at")).alias("place"), "hash", path.alias("path"))
-            heads = rows.select(*self.keys, F.col("place").alias("block"), F.col("path").alias("_above"))
+            rows = rows.select(*self.keys, (F.shiftleft("block", self.step) + F.col("_at")).alias("place"), "hash", path.alias("path"), *top, *([] if i else [F.get(f"_all_{c}", F.col("_at")).alias(c) for c in self.beside]))
+            heads = rows.select(*self.keys, F.col("place").alias("block"), F.col("path").alias("_above"), *top)
         return rows if asked is None else _joined(rows, asked.select(*self.keys, "place").distinct(), [*self.keys, "place"], "left_semi")
 
     @staticmethod
@@ -174,13 +186,12 @@ def enclosing(rows: DataFrame, sealed: DataFrame, keys: Sequence[str] = KEYS, po
 def proofs(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = KEYS, position: str = "chain_seq", asked: DataFrame | None = None) -> DataFrame:
     """keys, position, sealed_at, place, n, leaf, path and merkle_root of every sealed row, or of those asked for (keys,
     position)."""
-    rows = leaves(chain, sealed, keys, position)
-    tree = Tree(rows, keys)
-    named = rows.select(*keys, position, "sealed_at", "place", "n")
+    rows = leaves(chain, sealed, keys, position, entries=False)
+    tree = Tree(rows, keys, beside=[position, "n"])
+    named = None
     if asked is not None:
-        named = _joined(named, asked.select(*keys, position).distinct(), [*keys, position], "left_semi")
-    paths = tree.paths(None if asked is None else named).withColumnRenamed("hash", "leaf")
-    return _joined(_joined(named, paths, [*keys, "sealed_at", "place"]), tree.roots(), [*keys, "sealed_at"])
+        named = _joined(rows.select(*keys, position, "sealed_at", "place"), asked.select(*keys, position).distinct(), [*keys, position], "left_semi")
+    return tree.paths(named, root=True).select(*keys, position, "sealed_at", "place", "n", F.col("hash").alias("leaf"), "path", "merkle_root")
 
 
 def sides(place: Column, n: Column) -> Column:
