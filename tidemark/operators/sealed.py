@@ -38,17 +38,27 @@ def _joined(a: DataFrame, b: DataFrame, columns: Sequence[str], how: str = "inne
     return a.alias("a").join(b.alias("b"), _same("a", "b", columns), how).select("a.*", *more)
 
 
+def _short(text: Column) -> Column:
+    """A hash in hex as 32 bytes; any other text behind 33 bytes, so that it comes back as it was."""
+    return F.when(text.rlike("^[0-9a-f]{64}\\z"), F.unhex(text)).otherwise(F.concat(F.lit(bytes(33)), text.cast("binary")))
+
+
+def _long(data: Column) -> Column:
+    return F.when(F.octet_length(data) == 32, F.lower(F.hex(data))).otherwise(F.substring(data, 34, 1 << 30).cast("string"))
+
+
 def leaves(chain: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS, position: str = "chain_seq", entries: bool = True) -> DataFrame:
     """The sealed rows of a chain, stored: keys, sealed_after, sealed_at, place (from 0, in the segment), n (rows of the
     segment), the position, entry_hash (only with `entries`) and hash (the leaf). marks: keys, last_seq of checkpoints."""
     # Rows are hashed where they are made: no payload goes through the exchanges that follow, and a hash as 32 bytes.
     own = ["entry_hash"] if entries else []
-    slim = chain.select(*keys, position, *own, F.unhex(K.leaf(X.serialised())).alias("hash"))
+    slim = chain.select(*keys, position, *[_short(F.col(c)).alias(c) for c in own], F.unhex(K.leaf(X.serialised())).alias("hash"))
     rows = CH.bounds(slim, marks, keys, position).where("sealed_at IS NOT NULL")
     named = O.numbered(rows, [*keys, "sealed_at"], F.floor(F.col(position) / BUCKET), [position], "place").withColumn("place", F.col("place") - 1)
     sizes = named.groupBy(*keys, "sealed_at").agg(F.count(F.lit(1)).alias("n"))
     out = _joined(named, sizes, [*keys, "sealed_at"])
-    return shared.stored(out.select(*keys, "sealed_after", "sealed_at", position, *own, F.lower(F.hex("hash")).alias("hash"), "place", "n"), "leaves")
+    held = shared.stored(out.select(*keys, "sealed_after", "sealed_at", position, *own, "hash", "place", "n"), "leaves")
+    return held.withColumns({"hash": F.lower(F.hex("hash")), **{c: _long(F.col(c)) for c in own}})
 
 
 class Tree:
@@ -64,8 +74,8 @@ class Tree:
             more = [] if self.layers else self.beside
             packed = F.array_sort(F.collect_list(F.struct("place", "hash", *more)))
             blocks = level.groupBy(*self.keys, F.shiftright("place", step).alias("block")).agg(packed.alias("_p"))
-            hashes = F.transform("_p.hash", lambda h: F.lower(F.hex(h)))
-            self.layers.append(shared.stored(blocks.select(*self.keys, "block", hashes.alias("hashes"), *[F.col(f"_p.{c}").alias(f"_all_{c}") for c in more]), "tree"))
+            held = shared.stored(blocks.select(*self.keys, "block", F.col("_p.hash").alias("hashes"), *[F.col(f"_p.{c}").alias(f"_all_{c}") for c in more]), "tree")
+            self.layers.append(held.withColumn("hashes", F.transform("hashes", lambda h: F.lower(F.hex(h)))))
             if most <= 1 << step:
                 return
             most = -(-most >> step)
