@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.streaming.keyed import folded
 
 #: What the digest is taken of begins with this: a label of this library.
 LABEL = "tidemark/actor-context/1"
@@ -72,21 +72,13 @@ def watched(contexts: DataFrame, keys: DataFrame, order: str, keep_s: int | None
     owner, which leaves the state when nothing has shown it for keep_s seconds; contexts expire long before. With None it
     stays, as it must where a stream runs until nothing is left: there a timer would keep it from ending."""
 
-    def claim(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-        else:
-            owner = tuple(state.get) if state.exists else None
-            for row in pd.concat(list(parts)).sort_values(order).itertuples(index=False):
-                mine = tuple(getattr(row, c) for c in OWNER)
-                owner = mine if owner is None else owner
-                out.append((getattr(row, order), group[0], None if mine == owner else "nonce_used"))
-            state.update(owner)
-            if keep_s is not None:
-                state.setTimeoutDuration(keep_s * 1000)
-        yield pd.DataFrame(out, columns=[order, "nonce", "fault"])
+    def claim(owner: bytes | None, rows: list[tuple]) -> tuple[bytes, list[tuple]]:
+        owner = bytes(rows[0][1]) if owner is None else owner
+        return owner, [(at, None if bytes(mine) == owner else "nonce_used") for at, mine in rows]
 
     rows = checked(contexts, keys, **options).where("fault IS NULL")
-    slim = rows.select(order, F.lower("nonce").alias("nonce"), F.col("transaction_id").cast("long").alias("transaction_id"), "user_id", "employee_id", "role", F.lower("signature").alias("signature"))
-    return slim.groupBy("nonce").applyInPandasWithState(claim, f"{order} long, nonce string, fault string", "transaction_id long, user_id string, employee_id string, role string, signature string", "append", GroupStateTimeout.NoTimeout if keep_s is None else GroupStateTimeout.ProcessingTimeTimeout)
+    # Whom a nonce belongs to is told by a digest of all its fields, so that a state of very many nonces stays small.
+    owner = F.struct(F.col("transaction_id").cast("long").alias("transaction_id"), "user_id", "employee_id", "role", F.lower("signature").alias("signature"))
+    slim = rows.select(F.col(order).cast("long").alias(order), F.lower("nonce").alias("nonce"), F.unhex(F.sha2(F.to_json(owner, {"ignoreNullFields": "false"}), 256)).alias("mine"))
+    found = folded(slim, "nonce", [order], [order, "mine"], f"{order} long, fault string", claim, lambda _: (None, []), None if keep_s is None else lambda _: keep_s * 1000)
+    return found.select(order, "nonce", "fault")
