@@ -13,7 +13,7 @@ PARTS = 3
 
 
 def _watched(spark, sf_dir):
-    return monitor.in_turn(_bad_chain(spark, sf_dir), "sequence_id", PARTS, lambda rows, _: monitor.verified(rows), "verify")
+    return monitor.in_turn(_bad_chain(spark, sf_dir), "sequence_id", PARTS, lambda rows, _: monitor.verified(rows), "verify", D.ledger(spark, sf_dir))
 
 
 @query(BAD + ", " + _links("bad") + " select employee_id, chain_seq, mismatch, gap, orphan from checked where mismatch or gap or orphan")
