@@ -327,8 +327,8 @@ def stream_transitions(spark, sf_dir):
     """Alerts when the kind of a user's events changes, over a stream of four parts in order of time."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     t = detect.micros(F.col("ts"))
-    statuses = events.select(F.col("user_id").cast("string").alias("monitor"), t.alias("checked_at"), F.col("event_type").alias("status"))
-    return monitor.in_turn(statuses, "checked_at", 4, lambda rows, _: jobs.transitions(rows), "alerts")
+    statuses = events.select(F.col("user_id").cast("string").alias("monitor"), t.alias("checked_at"), F.col("event_type").alias("status"), "event_id")
+    return monitor.in_turn(statuses, "checked_at", 4, lambda rows, _: jobs.transitions(rows, ties=["event_id"]), "alerts")
 
 
 # Pages, batches, scores and repeats.

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import detect
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, keyed
 
 _OFF = "sequence_id long, employee_id int, created_at timestamp_ntz, hour long, batch long"
 #: The tables that flags are made of.
@@ -21,24 +18,22 @@ FOUND = {"salaries": "sequence_id long, employee_id int", "deletions": "sequence
 def salary_changes(ledger: DataFrame, share: str = "0.30") -> DataFrame:
     """sequence_id, employee_id of salaries as `detect.salary_changes` finds them. State: each employee's last salary.
 
-    Sequences must rise from batch to batch; an employee's new rows of one micro-batch are sorted in memory."""
+    Sequences must rise from batch to batch."""
     percent = int(Decimal(share) * 100)
 
-    def follow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (before,) = state.get if state.exists else (None,)
+    def follow(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        (before,) = state or (None,)
         out = []
-        new = pd.concat(list(parts)).sort_values("sequence_id")
-        for seq, text in zip(new["sequence_id"], new["cents"]):
+        for seq, text in rows:
             now = None if text is None else int(text)
             if now is not None and before is not None and before > 0 and 100 * abs(now - before) > percent * before:
-                out.append((seq, group[0]))
+                out.append((seq,))
             before = now
-        state.update((before,))
-        yield pd.DataFrame(out, columns=["sequence_id", "employee_id"], dtype=object)
+        return (before,), out
 
     # Cents as text, so that null stays null in pandas.
     rows = ledger.where("table_name = 'salary_history' AND action = 'INSERT'").select("sequence_id", "employee_id", (F.col("amount") * 100).cast("long").cast("string").alias("cents"))
-    return rows.groupBy("employee_id").applyInPandasWithState(follow, "sequence_id long, employee_id int", "cents long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.folded(rows, "employee_id", ["sequence_id"], ["sequence_id", "cents"], "sequence_id long", follow).select("sequence_id", "employee_id")
 
 
 def _kept(spark: SparkSession, path: str, schema: str, batch: int) -> DataFrame:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions import text as X
 from tidemark.operators import detect
+from tidemark.streaming import keyed
 
 
 def source(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -33,24 +32,23 @@ def arriving(rows: DataFrame, path: str, order: str, files: int) -> None:
 def chained(ledger: DataFrame, key: str = "employee_id") -> DataFrame:
     """sequence_id, key, chain_seq, previous_hash, entry_hash as rows arrive. State: each key's position and last hash.
 
-    A key's new rows of one micro-batch are sorted in memory; maxFilesPerTrigger bounds them. sequence_id must rise from
-    batch to batch.
+    New rows of one micro-batch are sorted in memory by groups of keys; maxFilesPerTrigger bounds them. sequence_id must rise
+    from batch to batch.
     """
 
-    def grow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, before = state.get if state.exists else (0, X.GENESIS)
-        rows = pd.concat(list(parts)).sort_values("sequence_id")
+    def grow(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        at, before = state or (0, X.GENESIS)
         out = []
-        for seq, serial in zip(rows["sequence_id"], rows["serial"]):
+        for seq, serial in rows:
             now = hashlib.sha256((serial + before).encode()).hexdigest()
             at += 1
-            out.append((seq, group[0], at, before, now))
+            out.append((seq, at, before, now))
             before = now
-        state.update((at, before))
-        yield pd.DataFrame(out, columns=["sequence_id", key, "chain_seq", "previous_hash", "entry_hash"])
+        return (at, before), out
 
     rows = ledger.select("sequence_id", key, X.serialised().alias("serial"))
-    return rows.groupBy(key).applyInPandasWithState(grow, f"sequence_id long, {key} int, chain_seq long, previous_hash string, entry_hash string", "at long, before string", "append", GroupStateTimeout.NoTimeout)
+    made = keyed.folded(rows, key, ["sequence_id"], ["sequence_id", "serial"], "sequence_id long, chain_seq long, previous_hash string, entry_hash string", grow)
+    return made.select("sequence_id", key, "chain_seq", "previous_hash", "entry_hash")
 
 
 def budgets(requests: DataFrame, key: str, at: str, seconds: int = 60, late: str = "1 minute") -> DataFrame:
@@ -64,49 +62,45 @@ def sealing(ledger: DataFrame, rows: int = 25, seconds: int | None = 60, key: st
     `rows` rows (count) or once a row comes `seconds` after the first that waits (time); the count is tested first.
 
     State: how many rows are sealed, how many wait, and since when. With `idle` a processing-time timer also seals what
-    has waited that long while nothing came. A key's new rows of a micro-batch are sorted in memory.
+    has waited that long while nothing came.
     """
 
-    def grow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, waiting, since = state.get if state.exists else (0, 0, 0)
+    def grow(state: tuple | None, new: list[tuple]) -> tuple[tuple, list[tuple]]:
+        done, waiting, since = state or (0, 0, 0)
         out = []
-        if state.hasTimedOut:
-            out.append((group[0], done, done + waiting, "time"))
-            done, waiting = done + waiting, 0
-        else:
-            new = pd.concat(list(parts)).sort_values("sequence_id")
-            for t in new["micros"]:
-                since = int(t) if not waiting else since
-                waiting += 1
-                reason = "count" if waiting >= rows else "time" if seconds is not None and t - since >= seconds * 1_000_000 else None
-                if reason:
-                    out.append((group[0], done, done + waiting, reason))
-                    done, waiting = done + waiting, 0
-        state.update((done, waiting, since))
-        if idle and waiting and seconds is not None:
-            state.setTimeoutDuration(seconds * 1000)
-        yield pd.DataFrame(out, columns=[key, "sealed_after", "sealed_at", "reason"])
+        for (t,) in new:
+            since = int(t) if not waiting else since
+            waiting += 1
+            reason = "count" if waiting >= rows else "time" if seconds is not None and t - since >= seconds * 1_000_000 else None
+            if reason:
+                out.append((done, done + waiting, reason))
+                done, waiting = done + waiting, 0
+        return (done, waiting, since), out
+
+    def late(state: tuple) -> tuple[tuple, list[tuple]]:
+        done, waiting, since = state
+        return (done + waiting, 0, since), [(done, done + waiting, "time")]
 
     timed = ledger.select("sequence_id", key, detect.micros(F.col("created_at")).alias("micros"))
-    timer = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return timed.groupBy(key).applyInPandasWithState(grow, f"{key} int, sealed_after long, sealed_at long, reason string", "done long, waiting long, since long", "append", timer)
+    wait = (lambda x: seconds * 1000 if x[1] and seconds is not None else None) if idle else None
+    return keyed.folded(timed, key, ["sequence_id"], ["micros"], "sealed_after long, sealed_at long, reason string", grow, late, wait)
 
 
-def transitions(statuses: DataFrame, key: str = "monitor") -> DataFrame:
+def transitions(statuses: DataFrame, key: str = "monitor", ties: Sequence[str] = ()) -> DataFrame:
     """key, checked_at, status, before: the rows of (key, checked_at, status) whose status is not that of the one before;
-    before the first it counts as intact. State: the last status."""
+    before the first it counts as intact. Columns `ties` order rows of one time. State: the last status."""
 
-    def follow(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before = state.get[0] if state.exists else "intact"
+    def follow(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        (before,) = state or ("intact",)
         out = []
-        for t, now in pd.concat(list(parts)).sort_values("checked_at")[["checked_at", "status"]].itertuples(index=False):
+        for t, now in rows:
             if now != before:
-                out.append((group[0], t, now, before))
+                out.append((t, now, before))
             before = now
-        state.update((before,))
-        yield pd.DataFrame(out, columns=[key, "checked_at", "status", "before"])
+        return (before,), out
 
-    return statuses.select(key, F.col("checked_at").cast("long").alias("checked_at"), "status").groupBy(key).applyInPandasWithState(follow, f"{key} string, checked_at long, status string, before string", "last string", "append", GroupStateTimeout.NoTimeout)
+    rows = statuses.select(key, F.col("checked_at").cast("long").alias("checked_at"), "status", *ties)
+    return keyed.folded(rows, key, ["checked_at", *ties], ["checked_at", "status"], "checked_at long, status string, before string", follow)
 
 
 def each_batch(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
