@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import secrets as S
 from tidemark.operators import trust
+from tidemark.sources import shared
 
 #: What a statement is signed under: a label of this library. The signed bytes are it and the hex digest of the list, which
 #: covers every field of every checkpoint (`trust.prefix_digests`).
@@ -67,6 +68,7 @@ def verdicts(heads: DataFrame, statements: DataFrame, registry: DataFrame, origi
     rows = rows.where(F.col("_n") <= trust.MOST_WITNESSES).join(_registered(registry), F.col("witness") == F.col("_name"), "left").drop("_name", "_n")
     rows = rows.alias("r").join(heads.alias("h"), trust._matched("r", "h", keys), "left").select("r.*", "prefix_digest")
     # Only what names a registered key is verified: null gives false without a check.
+    rows = shared.spread(rows, *keys, "place")
     valid = S.signature_valid(F.unhex("public_key"), message(F.col("prefix_digest")), F.unhex("signature_hex"))
     rows = rows.withColumn("valid", valid)
     each = F.struct("place", "witness", "signature_hex", "public_key", "domain", "valid")
