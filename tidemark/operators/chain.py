@@ -96,8 +96,9 @@ def bounds(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee
     """
     marks = sealed.where(F.col("last_seq") > 0).select(*keys, F.col("last_seq").cast("long").alias("_at")).distinct().withColumn("_mark", F.lit(True))
     both = chain.withColumn("_at", F.col(position).cast("long")).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    both = O.carried(both.withColumn("_up", 2 * F.col("_at") + F.when(F.col("_mark"), 1).otherwise(0)), keys, F.floor(F.col("_at") / bucket), ["_up"], F.col("_at"), "sealed_after", F.col("_mark"))
-    both = O.carried(both.withColumn("_down", -F.col("_up")), keys, -F.floor(F.col("_at") / bucket), ["_down"], F.col("_at"), "sealed_at", F.col("_mark"))
+    both = both.withColumn("_up", 2 * F.col("_at") + F.when(F.col("_mark"), 1).otherwise(0)).withColumn("_down", -F.col("_up"))
+    up = O.carried(both, keys, F.floor(F.col("_at") / bucket), ["_up"], F.col("_at"), "sealed_after", F.col("_mark"))
+    both = O.carried(up, keys, -F.floor(F.col("_at") / bucket), ["_down"], F.col("_at"), "sealed_at", F.col("_mark"), both)
     return both.where(~F.col("_mark")).select(*chain.columns, F.coalesce("sealed_after", F.lit(0)).cast("long").alias("sealed_after"), "sealed_at")
 
 

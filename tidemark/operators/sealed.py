@@ -53,7 +53,9 @@ def leaves(chain: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS, posit
     # Rows are hashed where they are made: no payload goes through the exchanges that follow, and a hash as 32 bytes.
     own = ["entry_hash"] if entries else []
     slim = chain.select(*keys, position, *[_short(F.col(c)).alias(c) for c in own], F.unhex(K.leaf(X.serialised())).alias("hash"))
-    rows = CH.bounds(slim, marks, keys, position).where("sealed_at IS NOT NULL")
+    # Stored, as the steps that follow read their input several times, and would build the chain anew for each.
+    slim, marks = shared.stored(slim, "hashed"), shared.stored(marks.select(*keys, "last_seq"), "marks")
+    rows = shared.stored(CH.bounds(slim, marks, keys, position).where("sealed_at IS NOT NULL"), "bounded")
     named = O.numbered(rows, [*keys, "sealed_at"], F.floor(F.col(position) / BUCKET), [position], "place").withColumn("place", F.col("place") - 1)
     sizes = named.groupBy(*keys, "sealed_at").agg(F.count(F.lit(1)).alias("n"))
     out = _joined(named, sizes, [*keys, "sealed_at"])
@@ -168,6 +170,7 @@ def binding(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = KEYS, pos
 
     fail: a position that is not above 0 or that the list has twice; rows that are gone, or the last of them; another digest,
     count or root. Else unknown where the list has no root or count, and pass."""
+    sealed = shared.stored(sealed.select(*keys, "last_seq", "n_rows", "digest", "merkle_root"), "list")
     now = made(chain, sealed.where("last_seq > 0"), keys, position).select(*keys, F.col("sealed_at").alias("last_seq"), F.col("last_seq").alias("_last"), F.col("n_rows").alias("_n"), F.col("digest").alias("_digest"), F.col("merkle_root").alias("_root"))
     times = sealed.groupBy(*keys, "last_seq").agg(F.count(F.lit(1)).alias("_times"))
     both = _joined(_joined(sealed.select(*keys, F.col("last_seq").cast("long").alias("last_seq"), "n_rows", "digest", "merkle_root"), times, [*keys, "last_seq"]), now, [*keys, "last_seq"], "left")

@@ -9,6 +9,7 @@ from tidemark.functions import text as X
 from tidemark.operators import sealed as SE
 from tidemark.plans.catalogue import _SERIAL, BAD, CHAIN, _bad_chain, _chain, query
 from tidemark.sources import derived as D
+from tidemark.sources import shared
 
 #: Rows that a checkpoint was sealed after, by employee and in the whole ledger.
 MARKED = "sequence_id % 5 = 0"
@@ -65,6 +66,7 @@ _SAID = f"case when {_KIND} = 2 then null when {_KIND} = 3 then repeat('0', 64)
 def _list(spark, sf_dir) -> DataFrame:
     chain = _chain(spark, sf_dir)
     said = SE.made(chain, _marks(chain)).selectExpr("employee_id", "last_seq", "n_rows", *[x.strip() for x in _SAID.split(", case")[:1]], "case" + _SAID.split(", case")[1])
+    said = shared.stored(said, "said")
     return said.unionByName(said.where(f"{_KIND} = 5"))
 
 
