@@ -3,10 +3,13 @@
 A byte is eight binary decisions, each with a context tree over the preceding bytes. At every node the Krichevsky-
 Trofimov estimate of the node competes with the product of its children, and the posterior of that competition mixes
 the estimates of all depths. Counts come from the whole training part: (DEPTH + 1)-grams of bytes are counted by Spark.
-A context is split further if it has at least a share of the training bytes that falls with the fourth root of their
-number (`share`), so the tree grows with the input, but so slowly that it stays fit for broadcast: at most
-1 + DEPTH / share contexts; the bytes of a node outside its split children are one more child. The frozen tree gives each byte one of a few states and each state the log probabilities of all
-symbols, so scoring is two table look-ups a byte and depth.
+
+Every context of the corpus is a node (`gram_logs`). The contexts that end in the same TOP bytes are a subtree, which a
+task works out by itself, up and down; what is above has at most 256 contexts for TOP = 2, whatever the input. The result
+is the log probability of each gram that occurs anywhere. Grams with at least the share FREQUENT of all places are known
+to every task, the others are looked up in shards, like words. With `split`, only contexts that have this share of the
+training bytes are nodes (`train`), and the tree is broadcast; the bytes of a node outside its split children are one more
+child.
 
 Word counts are exact. Words that have at least the share FREQUENT of all tokens, at most 1 / FREQUENT words, are known to
 every task. The others go to shards: a slice of texts sends each shard its rarer words once, with the documents that have
@@ -32,6 +35,8 @@ SPLIT = 1 / 4096
 SPLIT_BYTES = 1e8
 #: Share of all tokens from which on a word is sent to all tasks, and the most bytes of such a word.
 FREQUENT, FREQUENT_BYTES = 1e-6, 128
+#: Contexts that share so many last bytes are worked out together, and the grams that a task takes at a time, in whole subtrees.
+TOP, BLOCK_GRAMS = 2, 200_000
 #: The symbol that ends a text and stands before it: no byte of UTF-8.
 END = 255
 _NO_ID = np.iinfo(np.int64).min
@@ -50,35 +55,51 @@ def sequence(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return seq, np.arange(len(owner)) + np.repeat(start - first, size + 1), owner
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-    return codes, np.bincount(inverse, weights=np.concatenate([y for _, y in parts])).astype(np.int64)
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    codes, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return codes, *(np.bincount(inverse, weights=np.concatenate([x[j] for x in parts])).astype(np.int64) for j in (1, 2))
+
+
+def gram_codes(texts: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The run of depth + 1 bytes that ends at each symbol, the latest byte lowest; the symbols' texts."""
+    seq, at, owner = sequence(texts, depth)
+    code = np.zeros(len(at), np.int64)
+    for j in range(depth + 1):
+        code |= seq[at - j].astype(np.int64) << (8 * j)
+    return code, owner
 
 
 def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """code, n: how often each run of depth + 1 bytes occurs in column text; the latest byte is the lowest of the code."""
+    """code, n, trained: how often each run of depth + 1 bytes occurs in column text, and how often where column held, if
+    there is one, is false; the latest byte is the lowest of the code."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        parts: list[tuple[np.ndarray, ...]] = []
         held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(dict(zip(("code", "n", "trained"), parts[0])))
+
         for batch in C.slices(batches, most=3 << 20):
-            seq, at, _ = sequence(C.plain(batch.column("text")), depth)
-            code = np.zeros(len(at), np.uint64)
-            for j in range(depth + 1):
-                code |= seq[at - j].astype(np.uint64) << np.uint64(8 * j)
-            parts.append(np.unique(code, return_counts=True))
-            held += len(parts[-1][0])
+            away = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
+            for kind in (False, True):
+                code, _ = gram_codes(C.plain(batch.column("text").filter(pa.array(away == kind))), depth)
+                codes, n = np.unique(code, return_counts=True)
+                parts.append((codes, n, n * (not kind)))
+                held += len(codes)
             if held > 3_000_000:
                 parts = [_merged(parts)]
                 held = len(parts[0][0])
                 if held > 1_500_000:
-                    yield pa.RecordBatch.from_pydict({"code": parts[0][0].astype(np.int64), "n": parts[0][1]})
+                    yield out()
                     parts, held = [], 0
         if parts:
-            codes, n = _merged(parts)
-            yield pa.RecordBatch.from_pydict({"code": codes.astype(np.int64), "n": n})
+            parts = [_merged(parts)]
+            yield out()
 
-    return docs.select(F.col("text").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    held = F.col("held") if "held" in docs.columns else F.lit(False)
+    counted = docs.select(F.col("text").alias("text"), held.alias("held")).mapInArrow(run, "code long, n long, trained long")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -178,10 +199,151 @@ def train(docs: DataFrame, depth: int = DEPTH, split: float | None = None) -> Tr
     return Tree(levels)
 
 
-_SENT = {"shard": pa.int64(), "slice": pa.int64(), "words": pa.binary(), "trained": pa.binary(), "width": pa.binary(), "at": pa.binary(), "times": pa.binary(), "docs": pa.binary(), "held": pa.binary(), "tokens": pa.binary(), "bytes": pa.binary(), "score": pa.binary(), "own_known": pa.binary(), "own_logs": pa.binary()}
-_SENT_SQL = "shard long, slice long, words binary, trained binary, width binary, at binary, times binary, docs binary, held binary, tokens binary, bytes binary, score binary, own_known binary, own_logs binary"
-_REPLY = {k: _SENT[k] for k in ("slice", "at", "docs", "held", "tokens", "bytes", "score", "own_known", "own_logs")} | {"known": pa.binary(), "logs": pa.binary(), "distinct": pa.int64()}
-_REPLY_SQL = "slice long, at binary, docs binary, held binary, tokens binary, bytes binary, score binary, own_known binary, own_logs binary, known binary, logs binary, distinct long"
+def _low(keys: np.ndarray, d: int) -> np.ndarray:
+    """The keys (context above a byte) with contexts of d bytes."""
+    return keys & ((1 << 8 * (d + 1)) - 1)
+
+
+def _evidence(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return _lgamma(zero + 0.5) + _lgamma(one + 0.5) - np.log(np.pi) - _lgamma(zero + one + 1)
+
+
+class _Level:
+    """The binary nodes of all contexts of one depth: key (context above the node's number 1 to 255, ascending), counts of
+    both bits, log evidence, log weighted probability, and the posterior that the node's own estimate is kept."""
+
+    def __init__(self, key: np.ndarray, zero: np.ndarray, one: np.ndarray, below: np.ndarray | None):
+        """below: sums of the children's log weighted probabilities, or None for contexts that have no children."""
+        self.key, self.kt = key, (one + 0.5) / (zero + one + 1)
+        self.zero, self.one = zero, one
+        own = _evidence(zero, one)
+        self.weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
+        self.keep = np.ones(len(own)) if below is None else 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+
+    def above(self, d: int) -> _Level:
+        """The level of depth d, one less than this one's, of which these nodes are all children."""
+        key, at = np.unique(_low(self.key, d), return_inverse=True)
+        return _Level(key, *(np.bincount(at, weights=x).astype(np.float64) for x in (self.zero, self.one, self.weighted)))
+
+    def down(self, done: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the nodes' children start with, from what the nodes start with: the mixture so far and the weight left."""
+        return done + left * self.keep * self.kt, left * (1 - self.keep)
+
+
+def _subtrees(code: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[_Level], np.ndarray]:
+    """Levels from depth up to top of distinct grams, and for each gram and bit the place of its node in the first level."""
+    byte = 256 + (code & 255)
+    number = np.stack([byte >> (8 - k) for k in range(8)])
+    key, at = np.unique(((code & ~np.int64(255))[None, :] | number).ravel(), return_inverse=True)
+    bit = np.stack([(byte >> (7 - k)) & 1 for k in range(8)]).ravel()
+    at, times = at.ravel(), np.tile(n.astype(np.float64), 8)
+    one = np.bincount(at, weights=times * bit, minlength=len(key))
+    levels = [_Level(key, np.bincount(at, weights=times, minlength=len(key)) - one, one, None)]
+    for d in range(depth - 1, top - 1, -1):
+        levels.append(levels[-1].above(d))
+    return levels, at.reshape(8, -1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(code, n, trained) of whole subtrees, BLOCK_GRAMS or more at a time, of rows in order of subtree."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(table.column(k).to_numpy() for k in ("code", "n", "trained"))
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK_GRAMS:
+            table = pa.Table.from_batches(held)
+            top = table.column("top").to_numpy()
+            cut = int(np.searchsorted(top, top[-1]))
+            if cut:
+                yield arrays(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+            rows = len(top) - cut
+    if rows:
+        yield arrays(pa.Table.from_batches(held))
+
+
+def gram_logs(grams: DataFrame, shards: int, depth: int = DEPTH) -> DataFrame:
+    """code, n, shard, logp for each row of grams (code, n, trained): the log10 probability of the last byte after the
+    others, by the exact weighting over all contexts of the training texts. Grams that no training text has are given
+    with trained 0. A task holds the grams of one subtree, at most 256 ** (depth + 1 - TOP) whatever the input; the driver
+    gets at most 255 rows for each context of TOP - 1 bytes."""
+    top = min(TOP, depth)
+    context = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * top) - 1)) if top else F.col("code") * 0
+    dealt = grams.select("code", "n", "trained", context.alias("top")).repartition("top").sortWithinPartitions("top")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, _, trained in _blocks(batches):
+            x = _subtrees(code, trained, depth, top)[0][-1]
+            yield pa.RecordBatch.from_pydict({"key": _low(x.key, top - 1), "zero": x.zero, "one": x.one, "weighted": x.weighted})
+
+    start: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    if top:
+        # Sums of decimals, as those of doubles would depend on the order of rows.
+        exact = [F.sum(F.col(k).cast("decimal(38,12)")).cast("double").alias(k) for k in ("zero", "one", "weighted")]
+        found = dealt.mapInArrow(up, "key long, zero double, one double, weighted double").groupBy("key").agg(*exact).toPandas().sort_values("key")
+        levels = [_Level(*(found[k].to_numpy() for k in ("key", "zero", "one", "weighted")))]
+        for d in range(top - 2, -1, -1):
+            levels.append(levels[-1].above(d))
+        done, left = np.zeros(len(levels[-1].key)), np.ones(len(levels[-1].key))
+        for d in range(top):
+            level = levels[top - 1 - d]
+            if d:
+                at = np.searchsorted(levels[top - d].key, _low(level.key, d - 1))
+                done, left = done[at], left[at]
+            done, left = level.down(done, left)
+        start = levels[0].key, done, left
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for code, n, trained in _blocks(batches):
+            levels, nodes = _subtrees(code, trained, depth, top)
+            key = levels[-1].key
+            if start is None:
+                done, left = np.zeros(len(key)), np.ones(len(key))
+            else:
+                at = np.searchsorted(start[0], _low(key, top - 1))
+                done, left = start[1][at], start[2][at]
+            for d in range(top, depth):
+                done, left = levels[depth - d].down(done, left)
+                at = np.searchsorted(levels[depth - d].key, _low(levels[depth - d - 1].key, d))
+                done, left = done[at], left[at]
+            one = np.clip(done + left * levels[0].kt, 1e-9, 1 - 1e-7)
+            logp = np.zeros(len(code))
+            for k in range(8):
+                p = one[nodes[k]]
+                logp += np.log10(np.where((code >> (7 - k)) & 1, p, 1 - p))
+            yield pa.RecordBatch.from_pydict({"code": code, "n": n, "shard": _gram_shards(code, shards), "logp": logp})
+
+    return dealt.mapInArrow(down, "code long, n long, shard long, logp double")
+
+
+def _gram_shards(code: np.ndarray, shards: int) -> np.ndarray:
+    return (C.spread(code.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
+
+class Grams:
+    """The log probabilities of the grams that every task knows."""
+
+    def __init__(self, code: np.ndarray, logp: np.ndarray, depth: int):
+        self.code, self.logp, self.depth = code, logp, depth
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums for each text over the grams that are known; code and text of each place that has another one."""
+        code, owner = gram_codes(texts, self.depth)
+        at = pc.fill_null(pc.index_in(pa.array(code), value_set=pa.array(self.code)), -1).to_numpy()
+        known = at >= 0
+        total = np.bincount(owner[known], weights=self.logp[at[known]], minlength=len(texts))
+        return total, code[~known], owner[~known]
+
+
+_SENT = {"shard": pa.int64(), "slice": pa.int64(), "words": pa.binary(), "trained": pa.binary(), "width": pa.binary(), "at": pa.binary(), "times": pa.binary(), "docs": pa.binary(), "held": pa.binary(), "tokens": pa.binary(), "bytes": pa.binary(), "score": pa.binary(), "own_known": pa.binary(), "own_logs": pa.binary(), "grams": pa.binary(), "gram_width": pa.binary(), "gram_at": pa.binary(), "gram_times": pa.binary()}
+_SENT_SQL = "shard long, slice long, words binary, trained binary, width binary, at binary, times binary, docs binary, held binary, tokens binary, bytes binary, score binary, own_known binary, own_logs binary, grams binary, gram_width binary, gram_at binary, gram_times binary"
+_REPLY = {k: _SENT[k] for k in ("slice", "at", "docs", "held", "tokens", "bytes", "score", "own_known", "own_logs")} | {"known": pa.binary(), "logs": pa.binary(), "gram_at": pa.binary(), "tree": pa.binary(), "distinct": pa.int64()}
+_REPLY_SQL = "slice long, at binary, docs binary, held binary, tokens binary, bytes binary, score binary, own_known binary, own_logs binary, known binary, logs binary, gram_at binary, tree binary, distinct long"
 _FOUND_SQL = "doc_id long, held_out boolean, n_words long, n_bytes long, score double, known long, logs double, distinct long"
 
 
@@ -206,7 +368,25 @@ def frequent_words(rows: DataFrame, least_share: float = FREQUENT) -> tuple[pa.A
     return pa.array(found["word"].tolist(), pa.large_binary()), found["trained"].to_numpy(np.int64)
 
 
-def _send(batches: Iterator[pa.RecordBatch], shards: int, tree: Tree, words: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _tree_scores(texts: pa.Array, tree: Tree | Grams) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each text's sum of what the task knows; of the other grams, in order: code, text and times."""
+    score, codes, ats, times = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = 0
+    for x in C.cuts(pa.RecordBatch.from_arrays([texts], names=["text"]), most=2 << 20):
+        found = tree.scores(x.column("text"))
+        if isinstance(tree, Grams):
+            found, code, owner = found
+            # A code has 40 bits at most for DEPTH bytes of context, a text's place in the slice 16.
+            pair, n = np.unique((code << 16) | (owner + at), return_counts=True)
+            codes.append(pair >> 16), ats.append(pair & 0xFFFF), times.append(n)
+        score.append(found)
+        at += x.num_rows
+    code = np.concatenate(codes)
+    order = np.argsort(code, kind="stable")
+    return np.concatenate(score), (code[order], np.concatenate(ats)[order].astype(np.uint16), np.concatenate(times)[order].astype(np.uint32))
+
+
+def _send(batches: Iterator[pa.RecordBatch], shards: int, tree: Tree | Grams, words: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     number = 0
     for batch in C.slices(batches):
         for low in range(0, batch.num_rows, P.MOST_ROWS):
@@ -214,7 +394,7 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int, tree: Tree, words: pa.
             n, name = part.num_rows, P.slice_number(number)
             number += 1
             texts = C.plain(part.column("text"))
-            score = np.concatenate([tree.scores(x.column("text")) for x in C.slices([pa.RecordBatch.from_arrays([texts], names=["text"])], most=2 << 20)])
+            score, grams = _tree_scores(texts, tree)
             held = part.column("held").to_numpy(zero_copy_only=False).astype(bool)
             dictionary, ids, off = C.word_ids(texts, lower=True)
             owner = C.owners(off)
@@ -237,20 +417,34 @@ def _send(batches: Iterator[pa.RecordBatch], shards: int, tree: Tree, words: pa.
             named = dictionary.cast(pa.large_binary()).take(pa.array(by_shard)).to_pylist()
             cut = np.searchsorted(shard[by_shard], np.arange(shards + 1))
             pairs = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+            gram, gram_at, gram_times = grams
+            first = P.runs(gram)
+            gram_shard = _gram_shards(gram[first], shards)
+            gram_order = np.argsort(gram_shard, kind="stable")
+            gram_cut = np.searchsorted(gram_shard[gram_order], np.arange(shards + 1))
+            gram_width = np.diff(np.append(first, len(gram)))
             ids_ = pc.fill_null(part.column("doc_id"), _NO_ID).to_numpy(zero_copy_only=False)
             meta = {"shard": name % shards, "slice": name, "docs": P.pack_ids(ids_), "held": held.tobytes(), "tokens": np.diff(off).astype(np.int64).tobytes(), "bytes": pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "score": score.tobytes(), **own}
             out: dict[str, list] = {k: [meta.get(k)] for k in _SENT}
-            for s in np.flatnonzero(np.diff(cut)):
+            for s in np.flatnonzero(np.diff(cut) + np.diff(gram_cut)):
                 x, y = cut[s], cut[s + 1]
                 p = slice(pairs[x], pairs[y])
-                row = {"shard": int(s), "slice": name, "words": b"\n".join(named[x:y]), "trained": trained[x:y].tobytes(), "width": width[x:y].tobytes(), "at": at[p].tobytes(), "times": times[p].astype(np.uint32).tobytes()}
+                row = {"shard": int(s), "slice": name}
+                if y > x:
+                    row |= {"words": b"\n".join(named[x:y]), "trained": trained[x:y].tobytes(), "width": width[x:y].tobytes(), "at": at[p].tobytes(), "times": times[p].astype(np.uint32).tobytes()}
+                mine = gram_order[gram_cut[s] : gram_cut[s + 1]]
+                if len(mine):
+                    width_ = gram_width[mine]
+                    place = np.repeat(first[mine] - np.cumsum(width_) + width_, width_) + np.arange(width_.sum())
+                    row |= {"grams": gram[first[mine]].tobytes(), "gram_width": width_.astype(np.uint16).tobytes(), "gram_at": gram_at[place].tobytes(), "gram_times": gram_times[place].tobytes()}
                 for k in _SENT:
                     out[k].append(row.get(k))
             yield P.rows(out, _SENT)
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each slice: known tokens and sums of log10(count + 1), by document; and the shard's distinct training words."""
+def _answer(table: pa.Table, logs: pa.Table) -> pa.Table:
+    """For each slice: known tokens and sums of log10(count + 1), by document; the sums of the tree's logs; and the shard's
+    distinct training words. logs: code and logp of the shard's grams."""
     import pandas as pd
 
     rows = {k: table.column(k).to_pylist() for k in _SENT if k != "shard"}
@@ -263,6 +457,14 @@ def _answer(table: pa.Table) -> pa.Table:
     for i, x in enumerate(rows["docs"]):
         if x is not None:
             add(**{k: rows[k][i] for k in ("slice", "docs", "held", "tokens", "bytes", "score", "own_known", "own_logs")})
+    asked = [i for i, x in enumerate(rows["grams"]) if x is not None]
+    if asked:
+        order = np.argsort(logs.column("code").to_numpy())
+        code, logp = logs.column("code").to_numpy()[order], logs.column("logp").to_numpy()[order]
+        for i in asked:
+            value = np.repeat(logp[np.searchsorted(code, np.frombuffer(rows["grams"][i], np.int64))], np.frombuffer(rows["gram_width"][i], np.uint16))
+            has, place = np.unique(np.frombuffer(rows["gram_at"][i], np.uint16), return_inverse=True)
+            add(slice=rows["slice"][i], gram_at=has.tobytes(), tree=np.bincount(place, weights=value * np.frombuffer(rows["gram_times"][i], np.uint32)).tobytes())
     sent = [i for i, x in enumerate(rows["words"]) if x is not None]
     if sent:
         named = [rows["words"][i].split(b"\n") for i in sent]
@@ -293,8 +495,11 @@ def _gather(table: pa.Table) -> pa.Table:
         at = np.frombuffer(at, np.uint16)
         known[at] += np.frombuffer(k, np.int64)
         logs[at] += np.frombuffer(x, np.float64)
+    score = np.frombuffer(rows["score"][meta]).copy()
+    for at, x in sorted(x for x in zip(rows["gram_at"], rows["tree"]) if x[1] is not None):
+        score[np.frombuffer(at, np.uint16)] += np.frombuffer(x)
     numbers = lambda k, kind: pa.array(np.frombuffer(rows[k][meta], kind))
-    columns = [pa.array(ids, mask=ids == _NO_ID), numbers("held", bool), numbers("tokens", np.int64), numbers("bytes", np.int64), numbers("score", np.float64), pa.array(known), pa.array(logs), pa.nulls(len(ids), pa.int64())]
+    columns = [pa.array(ids, mask=ids == _NO_ID), numbers("held", bool), numbers("tokens", np.int64), numbers("bytes", np.int64), pa.array(score), pa.array(known), pa.array(logs), pa.nulls(len(ids), pa.int64())]
     return pa.Table.from_arrays(columns, schema=schema)
 
 
@@ -306,13 +511,23 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, split: float |
     base_score adds log10((c + 1) / (N + V + 1)): c the token's training count, N all training tokens, V the distinct
     ones. A null text is empty: it has the end alone. Repeated rows each count. A null held_out trains. An empty table
     gives an empty result; without any training rows the tree is the uniform start. Other columns are ignored.
+    Every context is a node of the tree; with `split` those are that have at least this share of the training bytes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     words, counts = frequent_words(rows, frequent)
-    shared = rows.sparkSession.sparkContext.broadcast((train(rows.where(~F.col("held")), depth, split), words, counts))
     shards = C.shards_for(C.text_bytes(rows, "text"), 32 << 20)
+    if split is None:
+        grams = C.settle(gram_logs(C.settle(gram_counts(rows, depth), "ctw-grams"), shards, depth), "ctw-logs")
+        least = (grams.agg(F.sum("n")).first()[0] or 0) * frequent
+        known = grams.where(F.col("n") >= least).select("code", "logp").toPandas()
+        tree, rare = Grams(known["code"].to_numpy(np.int64), known["logp"].to_numpy(np.float64), depth), grams.where(F.col("n") < least)
+    else:
+        tree = train(rows.where(~F.col("held")), depth, split)
+        rare = rows.sparkSession.createDataFrame([], "code long, shard long, logp double")
+    shared = rows.sparkSession.sparkContext.broadcast((tree, words, counts))
     sent = rows.mapInArrow(lambda b: _send(b, shards, *shared.value), _SENT_SQL)
-    found = C.settle(sent.groupBy("shard").applyInArrow(_answer, _REPLY_SQL).groupBy("slice").applyInArrow(_gather, _FOUND_SQL), "lm-found")
+    asked = sent.groupBy("shard").cogroup(rare.select("shard", "code", "logp").groupBy("shard"))
+    found = C.settle(asked.applyInArrow(_answer, _REPLY_SQL).groupBy("slice").applyInArrow(_gather, _FOUND_SQL), "lm-found")
     # What was found is in files now.
     shared.unpersist()
     trained = (~F.col("held_out")) & F.col("distinct").isNull()
