@@ -28,40 +28,52 @@ WIDTH = 13
 #: What a message is: a question to a shard, or what the slice knows by itself: a repeat, or the first of one.
 _ASK, _LATER, _FIRST = 0, 1, 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-_SENT = {"to": pa.int64(), "shard": pa.int64(), "slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "role": pa.int8()}
-_SENT_SQL = "to long, shard long, slice long, docs binary, at binary, hashes binary, role byte"
-_REPLY = {"slice": pa.int64(), "docs": pa.binary(), "at": pa.binary(), "hashes": pa.binary(), "later": pa.bool_()}
-_REPLY_SQL = "slice long, docs binary, at binary, hashes binary, later boolean"
+#: Most windows of a message of what the slice knows.
+_PIECE = 1 << 17
+
+#: The low seven bytes of hashes, stored as columns: from which bit, and of what kind.
+_LOW = ((0, "<u4"), (32, "<u2"), (48, "u1"))
+#: Windows by document: the documents, how many each has, and their hashes' top bytes and low seven bytes.
+_WINDOWS = {"docs": pa.binary(), "counts": pa.binary(), "tops": pa.binary(), "hashes": pa.binary()}
+_WINDOWS_SQL = "docs binary, counts binary, tops binary, hashes binary"
+_SENT = {"to": pa.int64(), "slice": pa.int64(), **_WINDOWS, "role": pa.int8()}
+_SENT_SQL = f"to long, slice long, {_WINDOWS_SQL}, role byte"
+_REPLY = {"slice": pa.int64(), **_WINDOWS, "later": pa.bool_()}
+_REPLY_SQL = f"slice long, {_WINDOWS_SQL}, later boolean"
 _STATE_SQL = "doc_id long, t long, later binary, at binary, hashes binary"
 
 
 def windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows within a text, their texts, their first words, and the texts' word offsets."""
-    dictionary, ids, off = C.word_ids(texts)
-    h = C.window_hashes(C.word_hashes(dictionary)[ids], width)
+    hashes, off = C.hashed_words(texts)
+    h = C.window_hashes(hashes, width)
     at = np.flatnonzero(C.inside(off, width, len(h)))
     return h[at], C.owners(off)[at], at, off
 
 
-def _send(batches: Iterator[pa.RecordBatch], width: int, shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], width: int, tasks: int) -> Iterator[pa.RecordBatch]:
     """Messages of whole texts: their windows of the first level."""
-    number = 0
+    number, edges = 0, _edges(tasks)
     for ids, part in _sorted_slices(batches, "text"):
         h, owner, _, _ = windows(part.column("text"), width)
-        yield from pack(h, owner, ids, P.slice_number(number), shards, tasks)
+        yield from pack(h, owner, ids, P.slice_number(number), edges)
         number += 1
 
 
-def _send_state(batches: Iterator[pa.RecordBatch], shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
+def _send_state(batches: Iterator[pa.RecordBatch], tasks: int) -> Iterator[pa.RecordBatch]:
     """Messages of a higher level: its candidates."""
-    number = 0
+    number, edges = 0, _edges(tasks)
     for ids, part in _sorted_slices(batches, "hashes"):
         each = [np.frombuffer(x, np.uint64) for x in part.column("hashes").to_pylist()]
-        yield from pack(np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each]), ids, P.slice_number(number), shards, tasks)
+        yield from pack(np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each]), ids, P.slice_number(number), edges)
         number += 1
 
 
+def _edges(tasks: int) -> np.ndarray:
+    """The least hash of each task's range."""
+    return np.array([-(-(k << 64) // tasks) for k in range(tasks)], np.uint64)
+
+
 def _sorted_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """Slices by doc_id, and these."""
     for batch in C.slices(batches, column):
@@ -72,97 +84,121 @@ def _sorted_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[t
             yield ids[by_id], part.take(pa.array(by_id))
 
 
-def _pack_at(at: np.ndarray) -> bytes:
-    """Rising places: their steps are small, so they take far less than two bytes each."""
-    return zlib.compress(np.diff(at.astype(np.uint16), prepend=np.uint16(0)).tobytes(), 1)
-
-
-def _unpack_at(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint16), dtype=np.int64)
-
-
-def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, shards: int, tasks: int) -> Iterator[pa.RecordBatch]:
-    """A slice's messages: to each shard each distinct hash with its first document; and what is a repeat whatever the
-    other slices have. The latter is dealt by slice, not by hash, so a frequent window fills no task. A message names
-    only the documents it speaks of. ids rise with the owner. Each of `tasks` answers for a range of shards."""
+def _packed(ids: np.ndarray, h: np.ndarray) -> dict[str, bytes]:
+    """Windows sorted by document and hash: then the steps between top bytes are small."""
+    start = P.runs(ids)
+    counts = np.diff(start, append=len(ids)).astype(np.uint32)
+    tops = (h >> np.uint64(56)).astype(np.uint8)
+    return {"docs": P.pack_ids(ids[start]), "counts": zlib.compress(counts.tobytes(), 1), "tops": zlib.compress(np.diff(tops, prepend=np.uint8(0)).tobytes(), 1), "hashes": b"".join((h >> np.uint64(at)).astype(kind).tobytes() for at, kind in _LOW)}
+
+
+def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of each row the documents, how many windows each has, and the windows' hashes."""
+    docs, counts, hashes = [], [], []
+    for d, n, tops, low in zip(*(table.column(x).to_pylist() for x in _WINDOWS)):
+        docs.append(P.unpack_ids(d))
+        counts.append(np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64))
+        h = np.cumsum(np.frombuffer(zlib.decompress(tops), np.uint8), dtype=np.uint8).astype(np.uint64) << np.uint64(56)
+        for at, kind in _LOW:
+            h |= np.frombuffer(low, kind, len(h), len(h) * at // 8).astype(np.uint64) << np.uint64(at)
+        hashes.append(h)
+    return docs, counts, hashes
+
+
+def pack(h: np.ndarray, owner: np.ndarray, ids: np.ndarray, number: int, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A slice's messages: to each task, which answers for a range of hashes, each distinct hash with its first document;
+    and what is a repeat whatever the other slices have. The latter is dealt by slice, not by hash, so a frequent window
+    fills no task. A message names only the documents it speaks of. ids rise with the owner."""
+    tasks = len(edges)
     order = np.argsort(h)
-    h, owner = h[order], owner[order]
+    h, owner = h[order], owner[order].astype(np.uint16)
     start = P.runs(h)
-    length = np.diff(np.append(start, len(h)))
-    first = np.minimum.reduceat(owner, start) if len(start) else np.zeros(0, np.int64)
+    length = np.diff(start, append=len(h))
+    first = np.minimum.reduceat(owner, start) if len(start) else owner
     again = ids[owner] > np.repeat(ids[first], length) if len(h) else np.zeros(0, bool)
     both = np.logical_or.reduceat(again, start) if len(start) else again
     out: dict[str, list] = {k: [] for k in _SENT}
-    for role, hashes, who in ((_ASK, h[start], first), (_LATER, h[again], owner[again]), (_FIRST, h[start[both]], first[both])):
-        who = who.astype(np.uint16)
-        cut = P.segments(hashes, shards)
-        for shard in np.flatnonzero(np.diff(cut)):
-            x, y = cut[shard], cut[shard + 1]
-            mine, has = who[x:y], hashes[x:y]
-            by_owner = np.argsort(mine, kind="stable")
-            mine, has = mine[by_owner], has[by_owner]
-            new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (has[1:] != has[:-1])])
-            mine, has = mine[new], has[new]
-            named, at = np.unique(mine, return_inverse=True)
-            to = shard * tasks // shards if role == _ASK else (number * 31 + (number >> 32) * 17 + shard) % tasks
-            for k, v in (("to", int(to)), ("shard", int(shard)), ("slice", number), ("docs", P.pack_ids(ids[named])), ("at", _pack_at(at)), ("hashes", P.pack_hashes(has)), ("role", role)):
-                out[k].append(v)
+
+    def message(to: int, who: np.ndarray, hashes: np.ndarray, role: int) -> None:
+        for k, v in ({"to": to, "slice": number, "role": role} | _packed(ids[who], hashes)).items():
+            out[k].append(v)
+
+    asked = h[start]
+    cut = np.append(np.searchsorted(asked, edges), len(asked))
+    for to in np.flatnonzero(np.diff(cut)):
+        mine, has = first[cut[to] : cut[to + 1]], asked[cut[to] : cut[to + 1]]
+        by_owner = np.argsort(mine, kind="stable")
+        message(int(to), mine[by_owner], has[by_owner], _ASK)
+    to = number * 31 + (number >> 32) * 17
+    for role, who, hashes in ((_LATER, owner[again], h[again]), (_FIRST, first[both], asked[both])):
+        by_owner = np.argsort(who, kind="stable")
+        who, hashes = who[by_owner], hashes[by_owner]
+        new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (hashes[1:] != hashes[:-1])])) if len(who) else []
+        for low in range(0, len(new), _PIECE):
+            piece = new[low : low + _PIECE]
+            message(to % tasks, who[piece], hashes[piece], role)
+            to += 1
     if out["to"]:
         yield P.rows(out, _SENT)
 
 
-def _answer(table: pa.Table, shards: int) -> pa.Table:
+def _answer(table: pa.Table) -> pa.Table:
     """For each slice, the windows that start in a document of smaller id too (later), and those of the smallest."""
+    role = table.column("role").to_numpy()
+    known = table.filter(pa.array(role != _ASK))
+    passed = known.select(["slice", *_WINDOWS]).append_column("later", pa.array(known.column("role").to_numpy() == _LATER))
     out: dict[str, list] = {k: [] for k in _REPLY}
-    number, docs, role = (table.column(x).to_pylist() for x in ("slice", "docs", "role"))
-    at = [_unpack_at(x) for x in table.column("at").to_pylist()]
-    hashes = [P.unpack_hashes(x, shard, shards) for x, shard in zip(table.column("hashes").to_pylist(), table.column("shard").to_pylist())]
-
-    def reply(i: int, mine: np.ndarray, later: bool) -> None:
-        if mine.any():
-            for k, v in (("slice", number[i]), ("docs", docs[i]), ("at", _pack_at(at[i][mine])), ("hashes", hashes[i][mine].tobytes()), ("later", later)):
-                out[k].append(v)
-
-    for i, x in enumerate(role):
-        if x != _ASK:
-            reply(i, np.ones(len(at[i]), bool), x == _LATER)
-    sent = [i for i, x in enumerate(role) if x == _ASK]
-    if len(sent) > 1:
-        h = np.concatenate([hashes[i] for i in sent])
-        ids = np.concatenate([P.unpack_ids(docs[i])[at[i]] for i in sent])
+    sent = table.filter(pa.array(role == _ASK))
+    if sent.num_rows > 1:
+        docs, counts, hashes = _unpacked(sent)
+        each = [np.repeat(d, n) for d, n in zip(docs, counts)]
+        h, ids = np.concatenate(hashes), np.concatenate(each)
         order = np.argsort(h)
         start = P.runs(h[order])
-        length = np.diff(np.append(start, len(h)))
-        least, most = np.minimum.reduceat(ids[order], start), np.maximum.reduceat(ids[order], start)
+        # Slices send a hash once, so those of one slice alone need no answer.
+        length = np.diff(start, append=len(h))
+        more = np.repeat(length > 1, length)
+        order, length = order[more], length[length > 1]
+        start = np.cumsum(length) - length
         later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
-        later[order] = ids[order] > np.repeat(least, length)
-        shared[order] = np.repeat(most > least, length)
-        edge = np.cumsum([0, *(len(at[i]) for i in sent)])
-        for i, x, y in zip(sent, edge[:-1], edge[1:]):
-            reply(i, later[x:y], True)
-            reply(i, shared[x:y] & ~later[x:y], False)
-    return pa.Table.from_pydict(out, schema=pa.schema(list(_REPLY.items())))
+        if len(start):
+            mine = ids[order]
+            least, most = np.minimum.reduceat(mine, start), np.maximum.reduceat(mine, start)
+            later[order] = mine > np.repeat(least, length)
+            shared[order] = np.repeat(most > least, length)
+        edge = np.cumsum([0, *map(len, hashes)])
+        for i, number in enumerate(sent.column("slice").to_pylist()):
+            is_later = later[edge[i] : edge[i + 1]]
+            for which, kind in ((is_later, True), (shared[edge[i] : edge[i + 1]] & ~is_later, False)):
+                if which.any():
+                    for k, v in ({"slice": number, "later": kind} | _packed(each[i][which], hashes[i][which])).items():
+                        out[k].append(v)
+    schema = pa.schema(list(_REPLY.items()))
+    return pa.concat_tables([passed.cast(schema), pa.Table.from_pydict(out, schema=schema)])
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """A slice's replies, by document and kind: the hashes of its repeated windows."""
-    at = [_unpack_at(x) for x in table.column("at").to_pylist()]
-    ids = np.concatenate([P.unpack_ids(d)[x] for d, x in zip(table.column("docs").to_pylist(), at)])
-    later = np.repeat(np.array(table.column("later").to_pylist(), bool), [len(x) for x in at])
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+    docs, counts, hashes = _unpacked(table)
+    later = np.repeat(table.column("later").to_numpy(), [len(x) for x in docs])
+    ids, n, h = np.concatenate(docs), np.concatenate(counts), np.concatenate(hashes)
+    at = np.cumsum(n) - n
     order = np.lexsort((later, ids))
-    ids, later, h = ids[order], later[order], h[order]
+    ids, later, n, at = ids[order], later[order], n[order], at[order]
+    end = np.cumsum(n)
+    h = h[np.arange(len(h)) + np.repeat(at - (end - n), n)]
     start = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (later[1:] != later[:-1])]))
-    blobs = [h[x:y].tobytes() for x, y in zip(start, np.append(start[1:], len(h)))]
+    low = (end - n)[start]
+    blobs = [h[x:y].tobytes() for x, y in zip(low, np.append(low[1:], len(h)))]
     kind = later[start]
     one = pa.array([b if k else None for b, k in zip(blobs, kind)], pa.binary())
     two = pa.array([None if k else b for b, k in zip(blobs, kind)], pa.binary())
     return pa.table({"doc_id": pa.array(ids[start], pa.int64()), "hashes": one, "firsts": two})
 
 
-def _ask(sent: DataFrame, shards: int) -> DataFrame:
+def _ask(sent: DataFrame) -> DataFrame:
     """doc_id, hashes and firsts (arrays of binary, 8 bytes a window) of all documents that share a window."""
-    replies = sent.groupBy("to").applyInArrow(lambda table: _answer(table, shards), _REPLY_SQL)
+    replies = sent.groupBy("to").applyInArrow(_answer, _REPLY_SQL)
     found = replies.groupBy("slice").applyInArrow(_gather, "doc_id long, hashes binary, firsts binary")
     return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("firsts").alias("firsts"))
 
@@ -182,13 +218,8 @@ def repeats(docs: DataFrame, width: int) -> DataFrame:
     One row for each doc_id that has any. A null doc_id is compared with nothing.
     """
     rows = _rows(docs)
-    shards, tasks = _dealt(C.text_bytes(rows, "text"))
-    return _ask(rows.mapInArrow(lambda batches: _send(batches, width, shards, tasks), _SENT_SQL), shards)
-
-
-def _dealt(n_bytes: int) -> tuple[int, int]:
-    """Shards of the hashes, and the tasks that answer for them: both grow with the bytes asked about."""
-    return P.n_shards(n_bytes), C.shards_for(n_bytes)
+    tasks = C.shards_for(C.text_bytes(rows, "text"))
+    return _ask(rows.mapInArrow(lambda batches: _send(batches, width, tasks), _SENT_SQL))
 
 
 def joined(at: np.ndarray, h: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,16 +230,24 @@ def joined(at: np.ndarray, h: np.ndarray, step: int) -> tuple[np.ndarray, np.nda
     return at[has], C.spread(h[has] * _ODD + h[other[has]])
 
 
-def _known(*replies: list | None) -> np.ndarray:
-    return np.frombuffer(b"".join(x for reply in replies for x in reply or ()), np.uint64)
+def _among(h: np.ndarray, *replies: list | None) -> np.ndarray:
+    """Which of the hashes the replies have."""
+    known = np.sort(np.frombuffer(b"".join(x for reply in replies for x in reply or ()), np.uint64))
+    if not len(known):
+        return np.zeros(len(h), bool)
+    at = known.searchsorted(h)
+    at[at == len(known)] = 0
+    return known[at] == h
 
 
 def _places(at: np.ndarray) -> bytes:
-    return zlib.compress(np.diff(at.astype(np.int64), prepend=np.int64(0)).tobytes(), 1)
+    steps = at.astype(np.uint32)
+    steps[1:] -= steps[:-1].copy()
+    return zlib.compress(steps.tobytes(), 1)
 
 
 def _placed(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.int64))
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), np.uint32), dtype=np.int64)
 
 
 def _state(rows: list[tuple[int, int, bytes | None, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -223,27 +262,31 @@ def _first_candidates(batches: Iterator[pa.RecordBatch], width: int) -> Iterator
         replies = list(zip(batch.column("hashes").to_pylist(), batch.column("firsts").to_pylist()))
         h, owner, at, off = windows(C.plain(batch.column("text")), half(width))
         edge = np.searchsorted(owner, np.arange(len(ids) + 1))
-        out = []
-        for i, reply in enumerate(replies):
-            mine = slice(edge[i], edge[i + 1])
-            hit = np.isin(h[mine], _known(*reply))
-            places, hashes = joined(at[mine][hit] - off[i], h[mine][hit], width - half(width))
-            if len(places):
-                out.append((ids[i], t[i], None, places, hashes))
-        yield _state(out)
+        hit = np.zeros(len(h), bool)
+        for x, y, reply in zip(edge[:-1], edge[1:], replies):
+            hit[x:y] = _among(h[x:y], *reply)
+        # The halves overlap, so both lie in one text.
+        places, hashes = joined(at[hit], h[hit], width - half(width))
+        cut = np.searchsorted(places, off)
+        yield _state([(ids[i], t[i], None, places[cut[i] : cut[i + 1]] - off[i], hashes[cut[i] : cut[i + 1]]) for i in np.flatnonzero(np.diff(cut))])
 
 
 def _next_candidates(batches: Iterator[pa.RecordBatch], width: int, last: bool) -> Iterator[pa.RecordBatch]:
     """Where a document's candidates of this width are repeats of smaller ids, and its candidates of twice the width."""
     for batch in batches:
-        out = []
-        for doc, t, at, h, later, firsts in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "t", "at", "hashes", "laters", "firsts"))):
+        out, more, known = [], [], []
+        for row, (doc, t, at, h, later, firsts) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc_id", "t", "at", "hashes", "laters", "firsts")))):
             at, h = _placed(at), np.frombuffer(h, np.uint64)
-            is_later = np.isin(h, _known(later))
-            hit = is_later | np.isin(h, _known(firsts))
-            where = _places(at[is_later]) if is_later.any() else None
-            out.append((doc, t, where, *(joined(at[hit], h[hit], width) if not last else (at[:0], h[:0]))))
-        yield _state(out)
+            is_later = _among(h, later)
+            out.append((doc, t, _places(at[is_later]) if is_later.any() else None))
+            if not last:
+                hit = is_later | _among(h, firsts)
+                # Far apart, so that no window goes on in the next row.
+                more.append(at[hit] + (row << 32))
+                known.append(h[hit])
+        places, hashes = joined(np.concatenate(more), np.concatenate(known), width) if more else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        cut = np.searchsorted(places, np.arange(len(out) + 1, dtype=np.int64) << 32)
+        yield _state([(*row, places[x:y] - (i << 32), hashes[x:y]) for i, (row, x, y) in enumerate(zip(out, cut[:-1], cut[1:]))])
 
 
 def levels(docs: DataFrame, width: int = WIDTH, most: int | None = None) -> Iterator[tuple[int, DataFrame]]:
@@ -269,8 +312,8 @@ def levels(docs: DataFrame, width: int = WIDTH, most: int | None = None) -> Iter
 
 def _raised(state: DataFrame, length: int, n_bytes: int, last: bool) -> DataFrame:
     """The candidates of one length asked for, and what survives to be candidates of the next."""
-    shards, tasks = _dealt(n_bytes)
-    found = _ask(state.mapInArrow(lambda batches: _send_state(batches, shards, tasks), _SENT_SQL), shards)
+    tasks = C.shards_for(n_bytes)
+    found = _ask(state.mapInArrow(lambda batches: _send_state(batches, tasks), _SENT_SQL))
     both = state.select("doc_id", "t", "at", "hashes").join(found.withColumnRenamed("hashes", "laters"), "doc_id")
     return both.mapInArrow(lambda batches: _next_candidates(batches, length, last), _STATE_SQL)
 
