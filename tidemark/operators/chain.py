@@ -24,8 +24,7 @@ def build(ledger: DataFrame, keys: Sequence[str] = ("employee_id",)) -> DataFram
         now = hashlib.sha256((row[0] + before).encode()).hexdigest()
         return (at + 1, now), (at + 1, before, now)
 
-    rows = ledger.withColumn("_serial", X.serialised())
-    return O.in_order(rows, keys, ["sequence_id"], ["_serial"], "chain_seq bigint, previous_hash string, entry_hash string", lambda: (0, X.GENESIS), step).drop("_serial")
+    return O.in_order(ledger, keys, ["sequence_id"], ["_serial"], "chain_seq bigint, previous_hash string, entry_hash string", lambda: (0, X.GENESIS), step, {"_serial": X.serialised()}).drop("_serial")
 
 
 def links(chain: DataFrame, keys: Sequence[str] = ("employee_id",), position: str = "chain_seq", bucket: int = BUCKET, start: int = 0, seed: str | None = X.GENESIS) -> DataFrame:
@@ -94,12 +93,31 @@ def bounds(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee
     Rows and checkpoints are one order, read up and down, so no row is matched with more than its two neighbours.
     Checkpoints that repeat count once.
     """
-    marks = sealed.where(F.col("last_seq") > 0).select(*keys, F.col("last_seq").cast("long").alias("_at")).distinct().withColumn("_mark", F.lit(True))
-    both = chain.withColumn("_at", F.col(position).cast("long")).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    both = both.withColumn("_up", 2 * F.col("_at") + F.when(F.col("_mark"), 1).otherwise(0)).withColumn("_down", -F.col("_up"))
-    up = O.carried(both, keys, F.floor(F.col("_at") / bucket), ["_up"], F.col("_at"), "sealed_after", F.col("_mark"))
-    both = O.carried(up, keys, -F.floor(F.col("_at") / bucket), ["_down"], F.col("_at"), "sealed_at", F.col("_mark"), both)
-    return both.where(~F.col("_mark")).select(*chain.columns, F.coalesce("sealed_after", F.lit(0)).cast("long").alias("sealed_after"), "sealed_at")
+    return bounds_by_bucket(chain, sealed, keys, position, bucket).drop("_bucket")
+
+
+def bounds_by_bucket(chain: DataFrame, sealed: DataFrame, keys: Sequence[str], position: str, bucket: int = BUCKET) -> DataFrame:
+    """`bounds` with `_bucket`, by which, with the keys, the rows are dealt still: windows within it need no exchange.
+
+    A bucket gets the checkpoints next to it, before and after, as marks of its own, so that rows pass one exchange and no
+    join; which these are is worked out from one row a bucket."""
+    within = lambda at: F.floor(at / bucket)
+    at = F.col(position).cast("long")
+    marks = sealed.where(F.col("last_seq") > 0).select(*keys, F.col("last_seq").cast("long").alias("_at")).distinct()
+    ends = chain.select(*keys, within(at).alias("_bucket"), F.lit(None).cast("long").alias("_at")).unionByName(marks.withColumn("_bucket", within(F.col("_at"))))
+    ends = ends.groupBy(*keys, "_bucket").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    by = W.partitionBy(*keys)
+    before = F.last("_high", ignorenulls=True).over(by.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    after = F.last("_low", ignorenulls=True).over(by.orderBy(F.col("_bucket").desc()).rowsBetween(W.unboundedPreceding, -1))
+    beside = ends.withColumns({"_before": before, "_after": after})
+    beside = beside.select(*keys, "_bucket", F.explode(F.array_compact(F.array("_before", "_after"))).alias("_at"))
+    marks = marks.withColumn("_bucket", within(F.col("_at"))).unionByName(beside).withColumn("_mark", F.lit(True))
+    both = chain.withColumn("_at", at).withColumn("_bucket", within(at)).withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    order = 2 * F.col("_at") + F.when(F.col("_mark"), 1).otherwise(0)
+    marked, by = F.when(F.col("_mark"), F.col("_at")), W.partitionBy(*keys, "_bucket")
+    so_far = lambda o: F.last(marked, ignorenulls=True).over(by.orderBy(o).rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumns({"sealed_after": so_far(order), "sealed_at": so_far(order.desc())})
+    return both.where(~F.col("_mark")).select(*chain.columns, F.coalesce("sealed_after", F.lit(0)).cast("long").alias("sealed_after"), "sealed_at", "_bucket")
 
 
 def segments_by(chain: DataFrame, sealed: DataFrame, keys: Sequence[str] = ("employee_id",), position: str = "chain_seq") -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.operators import checkpoints as K
 from tidemark.operators import detect, replay, rules, search
 from tidemark.plans import catalogue as Q
 from tidemark.plans.catalogue import BAD, CHAIN, INTERVAL, query
-from tidemark.sources import bundle, capsules
+from tidemark.sources import bundle, capsules, shared
 from tidemark.sources import derived as D
 from tidemark.streaming import jobs, monitor
 
@@ -187,11 +187,12 @@ select sequence_id, case when n_rows < {INTERVAL} then 'uncheckpointed' when che
 union all select sequence_id + 1000000000, 'not_found', null, null, null from ledger where action = 'DELETE'""")
 def evidence_capsules(spark, sf_dir):
     """A capsule for every row, and for sequences that do not exist; checkpoints of three rows a cycle have no root."""
-    chain = _chain(spark, sf_dir)
+    # Stored, or each step that reads the chain would build it anew.
+    chain = shared.stored(_chain(spark, sf_dir).select("employee_id", "chain_seq", *capsules.ROW, "entry_hash"), "chain")
     sealed = K.fixed(chain, INTERVAL).where(f"n_rows = {INTERVAL}").withColumn("merkle_root", F.expr("CASE WHEN checkpoint % 3 <> 2 THEN merkle_root END")).withColumn("signature_hex", F.lit("")).withColumn("key_id", F.lit("k1"))
     rows = D.ledger(spark, sf_dir)
     asked = rows.select("sequence_id").unionByName(rows.where("action = 'DELETE'").selectExpr("sequence_id + 1000000000 as sequence_id"))
-    made = capsules.capsules(chain, sealed, asked)
+    made = capsules.capsules(chain, sealed, asked, payload=False)
     return made.select("sequence_id", "status", "leaf", F.when(F.col("path").isNotNull(), F.concat_ws(",", "path")).alias("path"), F.col("proof_root").alias("root"))
 
 

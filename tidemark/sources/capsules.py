@@ -10,6 +10,7 @@ from tidemark.functions import text as X
 from tidemark.operators import chain as CH
 from tidemark.operators import checkpoints as K
 from tidemark.operators import sealed as SE
+from tidemark.sources import shared
 
 ROW = ("sequence_id", "actor_user_id", "action", "table_name", "row_id", "old_value_text", "new_value_text", "created_at_text")
 #: What a later attestation of an older checkpoint is signed under: a label of this library.
@@ -17,28 +18,37 @@ ATTESTED = "tidemark/capsule/root-attested-later/1"
 _SCHEMA = "employee_id int, chain_seq long, sequence_id long, actor_user_id int, action string, table_name string, row_id int, old_value_text string, new_value_text string, created_at_text string, status string, checkpoint long, first_seq long, last_seq long, digest string, merkle_root string, signature_hex string, key_id string, leaf string, path array<string>, proof_root string, attestation_hex string"
 
 
-def capsules(chain: DataFrame, sealed: DataFrame, asked: DataFrame | None = None, seed: bytes | None = None, public_hex: str | None = None) -> DataFrame:
+def capsules(chain: DataFrame, sealed: DataFrame, asked: DataFrame | None = None, seed: bytes | None = None, public_hex: str | None = None, payload: bool = True) -> DataFrame:
     """One capsule for each row of the chain that is asked for (sequence_id), or for all rows.
 
     sealed: signed checkpoints, however far apart. status: ok; uncheckpointed, in the tail behind the last checkpoint;
     before_merkle, whose checkpoint has no root; not_found, for an asked sequence that the ledger lacks. With a seed a
     capsule of such an older checkpoint gets an attestation instead (status attested), provided that the chain up to it
     is whole, its digest is that of its rows, and its own signature holds for public_hex.
+
+    Without `payload` only sequence_id of a row comes back, not the rest of ROW, and paths are exchanged with nothing.
     """
-    which = None if asked is None else chain.join(asked.select("sequence_id").distinct(), "sequence_id", "left_semi").select("employee_id", "chain_seq")
+    # Read twice here and once more for each attestation.
+    sealed = shared.stored(sealed.select("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "merkle_root", "signature_hex", "key_id"), "sealed")
+    named = None if asked is None else asked.select("sequence_id").distinct()
+    held = sealed.select(F.col("last_seq").cast("long").alias("sealed_at"), *[c for c in sealed.columns if c != "merkle_root"], F.col("merkle_root").alias("_root"))
     # Rows behind the last checkpoint have a leaf and a path among themselves, though nothing vouches for them.
-    marks = sealed.select("employee_id", "last_seq").unionByName(CH.tails(chain).selectExpr("employee_id", "tail_seq as last_seq"))
-    proofs = SE.proofs(chain, marks, asked=which).select("employee_id", "chain_seq", F.col("sealed_at").alias("last_seq"), "leaf", "path", F.col("merkle_root").alias("proof_root"))
-    rows = chain.select("employee_id", "chain_seq", *ROW).join(proofs, ["employee_id", "chain_seq"], "left")
-    held = sealed.select("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "merkle_root", "signature_hex", "key_id")
-    out = rows.join(held, ["employee_id", "last_seq"], "left")
+    out = SE.proofs_of(SE.hashed(chain, more=["sequence_id"]), sealed, asked=None if named is None else named.where("sequence_id IS NOT NULL"), held=held, tails=True)
+    out = out.withColumnsRenamed({"hash": "leaf", "merkle_root": "proof_root"}).withColumnRenamed("_root", "merkle_root")
+    out = out.withColumn("last_seq", F.col("sealed_at"))
+    if payload:
+        rows = chain.select("employee_id", "chain_seq", *[c for c in ROW if c != "sequence_id"])
+        out = SE.joined(out, rows, ["employee_id", "chain_seq"])
+    else:
+        out = out.withColumns({c.split(" ")[0]: F.lit(None).cast(c.split(" ")[1]) for c in _SCHEMA.split(", ") if c.split(" ")[0] in ROW and c.split(" ")[0] != "sequence_id"})
     out = out.withColumn("status", K.capsule_status(F.lit(True), F.when(F.col("checkpoint").isNotNull(), F.col("last_seq")), F.col("merkle_root")))
     if seed is not None:
         out = _attested(out, chain, sealed, seed, public_hex)
     else:
         out = out.withColumn("attestation_hex", F.lit(None).cast("string"))
     if asked is not None:
-        out = asked.select("sequence_id").distinct().join(out, "sequence_id", "left").withColumn("status", F.coalesce("status", F.lit("not_found")))
+        missing = named.join(chain.select("sequence_id"), "sequence_id", "left_anti").withColumn("status", F.lit("not_found"))
+        out = out.unionByName(missing, allowMissingColumns=True)
     return out.selectExpr(*[f"cast({x.rsplit(' ', 1)[0]} as {x.rsplit(' ', 1)[1]}) as {x.rsplit(' ', 1)[0]}" for x in _SCHEMA.split(", ")])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +28,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of stored steps now: its cleaner acts when the driver collects garbage, which a
+    driver with little to do may not do for half an hour. Nothing depends on it but disk; a session without a driver's JVM
+    at hand, as in Spark Connect, goes on without."""
+    for _ in range(2):
+        gc.collect()
+        if not hasattr(spark, "_jvm"):
+            return
+        spark._jvm.System.gc()
+        time.sleep(0.3)
