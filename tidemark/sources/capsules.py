@@ -30,6 +30,7 @@ def capsules(chain: DataFrame, sealed: DataFrame, asked: DataFrame | None = None
     """
     # Read twice here and once more for each attestation.
     sealed = shared.stored(sealed.select("employee_id", "checkpoint", "first_seq", "last_seq", "digest", "merkle_root", "signature_hex", "key_id"), "sealed")
+    shared.free_shuffles(chain.sparkSession)
     named = None if asked is None else asked.select("sequence_id").distinct()
     held = sealed.select(F.col("last_seq").cast("long").alias("sealed_at"), *[c for c in sealed.columns if c != "merkle_root"], F.col("merkle_root").alias("_root"))
     # Rows behind the last checkpoint have a leaf and a path among themselves, though nothing vouches for them.
